@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, quality_rules, secret_scan, simhash_dedup
+from pyspark.sql import functions as F
+
+from . import chat_format, decontaminate, license_scan, packing, page_text, quality_rules, secret_scan, simhash_dedup, suffix_tree_lm, warc_zstd
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
@@ -23,6 +25,27 @@ def op2_quality_rules(spark, sf_dir):
     return quality_rules.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_html_extraction(spark, sf_dir):
+    return page_text.extract(_table(spark, sf_dir, "pages"))
+
+
+def op4_suffix_tree_lm(spark, sf_dir):
+    return suffix_tree_lm.score(_table(spark, sf_dir, "documents"))
+
+
+def op5_license_scan(spark, sf_dir):
+    files = _table(spark, sf_dir, "documents")
+    return license_scan.scan(files.select("doc_id", "text", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path")))
+
+
+def op6_warc_zstd(spark, sf_dir):
+    return warc_zstd.digests(_table(spark, sf_dir, "pages"))
+
+
+def op8_chat_format(spark, sf_dir):
+    return chat_format.render(_table(spark, sf_dir, "conversations"))
+
+
 def op7_benchmark_decontamination(spark, sf_dir):
     found = decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.drop("text_hash")
@@ -37,10 +60,7 @@ def op10_simhash_dedup(spark, sf_dir):
 
 
 QUERIES = {
-    "op1_best_fit_packing": op1_best_fit_packing,
-    "op2_quality_rules": op2_quality_rules,
-    "op7_benchmark_decontamination": op7_benchmark_decontamination,
-    "op9_secret_scan": op9_secret_scan,
-    "op10_simhash_dedup": op10_simhash_dedup,
-}
-ORACLE: dict[str, str] = {}
+    f.__name__: f
+    for f in (op1_best_fit_packing, op2_quality_rules, op3_html_extraction, op4_suffix_tree_lm, op5_license_scan, op6_warc_zstd, op7_benchmark_decontamination, op8_chat_format, op9_secret_scan, op10_simhash_dedup)
+}
+ORACLE: dict[str, str] = {"op8_chat_format": chat_format.ORACLE_SQL}
