@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,8 +111,6 @@ def stratum_of(c, strata):
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", strata=STRATA) -> DataFrame:
     """Narrow table: doc_id, stratum, the statistics, and the rules' steps."""
-    import pandas as pd
-
     names = [f"step_{k}" for k in RULES]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,8 +167,6 @@ def quality(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", stratum_col: str = "lang", strata=STRATA, **how) -> DataFrame:
     """docs without the rows that a rule rejects, all columns kept."""
-    import pandas as pd
-
     cutoffs = certify(cut(measured(docs), "measures"), labels, **how)
 
     def good(text, stratum) -> bool:
