@@ -68,6 +68,14 @@ def drop_cut(df: DataFrame) -> None:
     remove(df.sparkSession, df._sparrowtext_path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df doesn't have, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(c):
     return F.translate(c, UPPER, LOWER)
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, words_of
+from .common import ascii_lower, cut, fresh, words_of
 
 SHINGLE, BITS, BLOCKS = 5, 64, 16
 
@@ -114,6 +114,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without the rows that hold a benchmark item."""
-    bad = cut(contaminated(docs, benchmark, id_col, text_col, **how).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "contaminated")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_hash"))
+    doc, text = fresh(docs, "_id"), fresh(docs, "_hash")
+    bad = cut(contaminated(docs, benchmark, id_col, text_col, **how).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text)).distinct(), "contaminated")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(text))
     return docs.join(bad, same, "left_anti")

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -34,8 +34,11 @@ PATTERNS = (ASSIGN, r"AKIA[A-Z0-9]+", r"[0-9a-f]+")
 #: As the above, for finding: what [0-9a-f]+ drops as too short need not be marked.
 MARKED = (ASSIGN, r"AKIA[A-Z0-9]+", r"(?<![0-9a-f])[0-9a-f]{32,}")
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
-MARK, BLOCK = "", 128
+#: Private-use characters: MARK stands around matches, OTHER for a MARK that the text itself holds.
+MARK, OTHER, BLOCK = "\ue000", "\ue001", 128
 CLASSES = (20, 28, 40, 64)
+#: How often the class changes from character to character in names like readTimeoutV2 (random base 62: 0.62).
+CHANGES = 0.2
 SPAN = "array<struct<s:int,k:int,e:int,m:string>>"
 
 
@@ -94,7 +97,7 @@ def evidence(m: Column) -> Column:
     coincidence = (x2 + n - k) / (k * (n - 1))
     z_uniform = (F.lit(0.065) - coincidence) / F.sqrt(F.lit(0.13) / (n * (n - 1)) + F.lit(0.0052) / n)
     changes = F.length(F.regexp_replace(m, "[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+", "x")) - 1
-    z_runs = (changes - F.lit(0.12) * (n - 1)) / F.sqrt(F.lit(0.12 * 0.88) * (n - 1))
+    z_runs = (changes - F.lit(CHANGES) * (n - 1)) / F.sqrt(F.lit(CHANGES * (1 - CHANGES)) * (n - 1))
     codes = F.transform(chars, lambda c: F.ascii(c).cast("double"))
     mean = F.aggregate(codes, F.lit(0.0), lambda a, c: a + c) / n
     dev = F.transform(F.array(mean), lambda mu: F.transform(codes, lambda c: c - mu))[0]
@@ -138,7 +141,7 @@ def _plain(spans: Column) -> Column:
 
 
 def _clean(text_col: str) -> Column:
-    return F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit(MARK), F.lit(""))
+    return F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit(MARK), F.lit(OTHER))
 
 
 def _written(spans: Column) -> Column:
@@ -165,8 +168,9 @@ def redact(docs: DataFrame, text_col: str = "text", fdr: float = 0.001, mask: st
     t = _clean(text_col)
     seen = docs.select(_lone(candidates(t), base_spans(t)).alias("c")).select(F.explode("c").alias("x")).select("x.c", "x.z")
     cuts = cutoffs(seen, fdr)
-    found = docs.withColumn("_base", base_spans(t))
-    found = found.withColumn("_spans", F.array_sort(F.concat(_plain(F.col("_base")), _chosen(_lone(candidates(t), F.col("_base")), cuts)))).drop("_base")
+    base, spans = fresh(docs, "_base"), fresh(docs, "_spans")
+    found = docs.withColumn(base, base_spans(t))
+    found = found.withColumn(spans, F.array_sort(F.concat(_plain(F.col(base)), _chosen(_lone(candidates(t), F.col(base)), cuts)))).drop(base)
     text, start = F.col(text_col), F.expr("CAST(named_struct('at', 0, 'out', array()) AS struct<at:int,out:array<string>>)")
 
     def step(a: Column, x: Column) -> Column:  # spans that overlap become one
@@ -174,6 +178,6 @@ def redact(docs: DataFrame, text_col: str = "text", fdr: float = 0.001, mask: st
         piece = F.concat(F.substr(text, a["at"] + 1, x["s"] - a["at"]), F.lit(mask))
         return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(new, F.concat(a["out"], F.array(piece))).otherwise(a["out"]).alias("out"))
 
-    masked = F.aggregate(F.col("_spans"), start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1)))
-    out = found.withColumn(text_col, F.when(F.size("_spans") > 0, masked).otherwise(text)).drop("_spans")
+    masked = F.aggregate(F.col(spans), start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1)))
+    out = found.withColumn(text_col, F.when(F.size(spans) > 0, masked).otherwise(text)).drop(spans)
     return out.withColumn("n_chars", F.length(text_col).cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns and text_col == "text" else out

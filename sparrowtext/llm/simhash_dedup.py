@@ -11,7 +11,7 @@ Components are found by rounds of large-star and small-star contraction, in tabl
 written between rounds.
 
 Edge cases: a null or blank text has fingerprint zero and links like any other; rows with the
-same doc_id are rows of their own; a row with null doc_id keeps its fingerprint and gets its
+same doc_id are rows of their own, but keep_one returns only one of rows equal in id and text; a row with null doc_id keeps its fingerprint and gets its
 component's smallest known id (null if there is none); an empty table gives an empty result;
 other columns of the input are not read.
 """
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, ship
+from .common import cut, drop_cut, fresh, ship
 
 RADIUS = 3
 SEED = 42
@@ -53,19 +53,23 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
 
 
+def _mark(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a signed long)."""
+    """doc_id, mark (hash of the text), fp (the fingerprint's 64 bits as a signed long)."""
     import numpy as np
     import pandas as pd
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.fromiter((fingerprint(t, shingle) for t in b["t"]), np.uint64, len(b)).astype(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "mark": b["mark"], "fp": fp})
 
     ship(docs.sparkSession)
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    return src.mapInPandas(run, "doc_id long, fp long")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), _mark(text_col).alias("mark"), F.col(text_col).alias("t"))
+    return src.mapInPandas(run, "doc_id long, mark long, fp long")
 
 
 def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -123,38 +127,31 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
-    """Row marks (doc_id, fp) and classes (fp, root, component_id)."""
+    """Row marks (doc_id, mark, fp) and classes (fp, root, first: the class's first row in the order of
+    ids, null last, and marks)."""
     fps = cut(fingerprints(docs, id_col, text_col, shingle), "fps")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark"))
+    classes = fps.groupBy("fp").agg(first.alias("first"))
     roots = components(links(classes.select("fp"), radius))
-    joined = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    ids = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return fps, joined.join(ids, "root").select("fp", "root", "component_id")
+    return fps, classes.join(roots, classes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: one row per row of docs."""
     fps, classes = _marked(docs, id_col, text_col, shingle, radius)
-    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = classes.groupBy("root").agg(F.min("first")["doc_id"].alias("component_id"))
+    return fps.join(classes.join(ids, "root"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that with the smallest id; of rows that share this id,
-    one. Of a component without any known id, one row of one fingerprint."""
+    """docs with one row of each component: that with the smallest id (known ids before null); of
+    rows that share this id, one of the text with the smallest hash."""
     fps, classes = _marked(docs, id_col, text_col, 3, RADIUS)
-    firsts = cut(classes.groupBy("root").agg(F.min("component_id").alias("_keep"), F.min("fp").alias("_fp")), "firsts")
-    kept = docs.join(firsts.where("_keep IS NOT NULL"), F.col(id_col) == F.col("_keep"), "left_semi")
-    if not fps.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty():
-        kept = kept.dropDuplicates([id_col])
-    nameless = firsts.where("_keep IS NULL")
-    if nameless.isEmpty():
-        return kept
-
-    def with_fp(batches):
-        for b in batches:
-            b["_fp"] = [fingerprint(t) - (1 << 64) * (fingerprint(t) >> 63) for t in b[text_col]]
-            yield b
-
-    lost = docs.where(F.col(id_col).isNull())
-    lost = lost.mapInPandas(with_fp, lost.withColumn("_fp", F.lit(0).cast("long")).schema)
-    return kept.union(lost.join(nameless.select("_fp"), "_fp", "left_semi").dropDuplicates(["_fp"]).select(*docs.columns))
+    doc, mark = fresh(docs, "_doc"), fresh(docs, "_mark")
+    chosen = classes.groupBy("root").agg(F.min("first").alias("x")).select(F.col("x.doc_id").alias(doc), F.col("x.mark").alias(mark))
+    chosen = cut(chosen, "chosen")
+    kept = docs.join(chosen, F.col(id_col).cast("long").eqNullSafe(F.col(doc)) & (_mark(text_col) == F.col(mark)), "left_semi")
+    repeated = fps.groupBy("doc_id", "mark").count().where("count > 1")
+    if not repeated.isEmpty():
+        kept = kept.withColumn(mark, _mark(text_col)).dropDuplicates([id_col, mark]).drop(mark)
+    return kept
