@@ -180,25 +180,31 @@ def deletions(pages: DataFrame) -> DataFrame:
     where = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)"
     named = pages.select("page_id", "mark", "lines", "in_article", F.lower(F.regexp_extract("url", where, 1)).alias("host"), F.regexp_extract("url", where, 2).alias("path"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        prev = row = None
-        for nxt in _rows(batches):
-            if row is not None and (found := _verdict(prev, row, nxt)):
-                yield found
-            prev, row = row, nxt
-        if row is not None and (found := _verdict(prev, row, None)):
-            yield found
-
-    def _rows(batches):
+    def pages_of(batches):
         for b in batches:
             yield from b.itertuples(index=False)
+        yield None
+
+    def of_host(x, host):
+        return (x.path, list(x.lines)) if x is not None and x.host == host else None
 
-    def _verdict(prev, row, nxt):
-        if row.in_article:
-            return None
-        pick = lambda x: (x.path, list(x.lines)) if x is not None and x.host == row.host else None
-        drop = shared_with_neighbour(pick(prev), pick(row), pick(nxt))
-        return pd.DataFrame({"page_id": pd.array([row.page_id], "Int64") if not pd.isna(row.page_id) else pd.array([None], "Int64"), "mark": [row.mark], "drop": [drop]}) if drop else None
+    def frame(found: list) -> pd.DataFrame:
+        return pd.DataFrame(found, columns=["page_id", "mark", "drop"]).astype({"page_id": "Int64"})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        prev = row = None
+        found: list[tuple] = []
+        for nxt in pages_of(batches):
+            if row is not None and not row.in_article:
+                drop = shared_with_neighbour(of_host(prev, row.host), of_host(row, row.host), of_host(nxt, row.host))
+                if drop:
+                    found.append((None if pd.isna(row.page_id) else int(row.page_id), row.mark, drop))
+            if len(found) >= 2000:
+                yield frame(found)
+                found = []
+            prev, row = row, nxt
+        if found:
+            yield frame(found)
 
     dealt = named.repartitionByRange(shuffle_partitions(spark), "host", "path", "page_id", "mark").sortWithinPartitions("host", "path", "page_id", "mark")
     return dealt.mapInPandas(run, "page_id long, mark long, drop array<int>")
