@@ -52,20 +52,20 @@ def ship(spark: SparkSession) -> None:
     sc._sparrowtext_shipped = True
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, lost executors cost
-    only their own tasks, and the planner knows the table's true size."""
+    only their own tasks, and the planner knows the table's true size. by: a column to write apart by."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sparrowtext_path = path
     return out
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Remove a table that cut() wrote; its readers must be done."""
-    remove(df.sparkSession, df._sparrowtext_path)
+def drop_cut(df: DataFrame, part: str = "") -> None:
+    """Remove a table that cut() wrote, or a part of it ("kind=gram"); its readers must be done."""
+    remove(df.sparkSession, f"{df._sparrowtext_path}/{part}" if part else df._sparrowtext_path)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -1,24 +1,32 @@
 """Language-model scores by a probabilistic suffix tree.
 
 The text is its words, lower-cased (A-Z), each followed by one space, then one end symbol; the tree
-predicts it byte by byte. For each context (the last 0 to `depth` bytes) the next-byte counts of
-all training documents are gathered. A context is a candidate if it makes up at least `least_share`
-of all training bytes, so there are at most (depth + 1) / least_share of them at any corpus size.
+predicts it byte by byte. A context, the last 0 to `depth` bytes, is a candidate if it makes up at
+least `least_share` of all training bytes, so at any corpus size at most 1 / least_share of them
+have one length. Candidates and their next-byte counts are exact, found in two steps. Each task
+writes blobs, the sorted distinct windows (context and next byte) of some megabytes of text with
+their counts, and names the contexts that make up at least half of least_share of a blob. A context
+can gain at most that half from every blob that does not name it, so the sums over the naming blobs
+tell which contexts can be candidates at all, at most 2 / least_share of each length. The blobs are
+then read once more and each window counted for the longest of these contexts that it ends with;
+sums along the suffixes give the counts of all.
+
 A candidate is retained if its distribution diverges from that of its longest proper suffix: twice
 its count times the Kullback-Leibler divergence, a G statistic, must pass the charge of ln(count)
 for each of its symbols (as in BIC); the suffixes of retained contexts stay, too. Distributions
-are smoothed from suffix to context: p(x|c) = (n(x|c) + d * p(x|suffix(c))) / (n(c) + d), with d the
-number of symbols seen after c (Witten-Bell), and the root is smoothed to uniform. A byte is scored
+are smoothed from suffix to context: p(x|c) = (n(x|c) + d * p(x|suffix(c))) / (n(c) + d), with d
+twice the number of symbols seen after c (Witten-Bell, doubled), and the root is smoothed to uniform. A byte is scored
 in the longest retained suffix of what precedes it. As automaton (states are the retained contexts
 and their prefixes) the tree scores a text in one walk.
 
 The base is unigram with add-one smoothing over words. Its counts grow with the corpus and are
 never sent to one place: each task writes chunks of documents as word numbers with the chunk's word
-list; counts are summed per word and joined back to the lists; then each chunk is scored with its
-own list. A chunk is bounded (`chunk_bytes` of text and at least one document).
+list; a window over each word sums its counts and sends the sum back to the chunks' word numbers;
+then each chunk is scored with its own list. A chunk is bounded (`chunk_bytes` of text and at least
+one document) and has a word once, so no word has more rows than there are chunks.
 
-What reaches the driver is the candidates' counts (bounded as above), and the automaton goes back
-as a broadcast of at most that many states times the bytes that occur.
+What reaches the driver is the possible candidates and their counts (bounded as above), and the
+automaton goes back as a broadcast of at most that many states times the bytes that occur.
 
 Edge cases: null text is empty, its one token the end; null doc_id is in training (its text "" has
 no remainder of 2) and is not held out; without training documents all counts are zero and the tree is the uniform root; rows
@@ -29,15 +37,17 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import cut, drop_cut, ship
 
-DEPTH, END, START = 5, 0, 1
+#: END and START are bytes that no UTF-8 text holds.
+DEPTH, END, START = 6, 0xFE, 0xFF
 FOLDS, HELD = 7, 2
+#: Bytes of text whose windows are sorted at once, and windows after which a blob ends: bounds of memory.
+GRAM_BYTES, BLOB_WINDOWS = 4 << 20, 3_000_000
 
 
 def held_out(doc_id) -> bool:
@@ -45,169 +55,306 @@ def held_out(doc_id) -> bool:
 
 
 def packed_words(words: list[bytes]) -> bytes:
-    """The model's symbols of one text. NUL bytes of the text, if any, become U+0001."""
-    line = b" ".join(words) + b" " if words else b""
-    return line.replace(b"\0", b"\1") + bytes([END])
+    """The model's symbols of one text."""
+    return (b" ".join(words) + b" " if words else b"") + bytes([END])
+
+
+def windows_of(lines: bytes):
+    """Distinct windows of DEPTH + 1 symbols (the last one predicted), as sorted numbers, and their counts."""
+    import numpy as np
+
+    a, parts = np.frombuffer(lines, np.uint8), []
+    for at in range(0, len(a) - DEPTH, GRAM_BYTES):
+        part = a[at : at + GRAM_BYTES + DEPTH]
+        keys = np.zeros(len(part) - DEPTH, np.uint64)
+        for k in range(DEPTH + 1):
+            keys <<= np.uint64(8)
+            keys |= part[k : k + len(keys)]
+        parts.append(np.unique(keys[part[DEPTH:] != START], return_counts=True))  # no window predicts a START
+    return parts[0] if len(parts) == 1 else summed(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
+
+
+def summed(keys, n):
+    """Distinct keys, sorted, and the sums of their n."""
+    import numpy as np
+
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def pack_windows(keys, n) -> bytes:
+    """Sorted windows and counts: differences by byte planes, compressed."""
+    import numpy as np
+    import zstandard
+
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    planes = np.concatenate([gaps.view(np.uint8).reshape(-1, 8), n.astype("<u4").view(np.uint8).reshape(-1, 4)], axis=1)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes.T).tobytes())
+
+
+def unpack_windows(blob: bytes):
+    import numpy as np
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(12, -1)
+    gaps = np.ascontiguousarray(planes[:8].T).view(np.uint64).ravel()
+    return np.cumsum(gaps, dtype=np.uint64), np.ascontiguousarray(planes[8:].T).view("<u4").ravel().astype(np.int64)
+
+
+def context(keys, depth: int):
+    """The last `depth` symbols before the predicted one."""
+    import numpy as np
+
+    return (keys >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)
+
 
+SCHEMA = "kind string, chunk long, doc_id long, held boolean, num long, n long, blob binary, depth int, total long"
 
-def first_pass(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
-    """Rows of three kinds: 'doc' (chunk, doc_id, n, blob of word numbers), 'word' (chunk, num, word,
-    n training tokens), 'gram' (num, n)."""
-    import pandas as pd
+
+def first_pass(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, least_share: float) -> DataFrame:
+    """Rows of four kinds: 'doc' (chunk, doc_id, held, n words, blob of word numbers), 'list' (chunk,
+    n words, blob of their training counts and the words), 'gram' (num windows in the blob), 'heavy'
+    (depth, num: the context, n, total: windows in its blob)."""
+    import pyarrow as pa
 
     ship(docs.sparkSession)
-    schema = "kind string, chunk string, doc_id long, held boolean, num long, word binary, n long, blob binary"
 
-    def frame(**cols):
-        out = pd.DataFrame({k: cols.get(k) for k in ("kind", "chunk", "doc_id", "held", "num", "word", "n", "blob")})
-        return out.astype({"doc_id": "Int64", "num": "Int64", "n": "Int64", "held": "boolean"})
+    def batch(kind: str, m: int, **cols):
+        types = {"chunk": pa.int64(), "doc_id": pa.int64(), "held": pa.bool_(), "num": pa.int64(), "n": pa.int64(), "blob": pa.binary(), "depth": pa.int32(), "total": pa.int64()}
+        return pa.RecordBatch.from_arrays([pa.array([kind] * m), *(pa.array(cols[k], t) if k in cols else pa.nulls(m, t) for k, t in types.items())], ["kind", *types])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches):
         import numpy as np
         import zstandard
         from pyspark import TaskContext
 
         part, seq, zip_ = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1)
-        rows, held, numbers, lines, size = [], [], {}, [], 0
-        grams: dict = {"keys": np.empty(0, np.uint64), "n": np.empty(0, np.int64)}
-
-        def add_grams() -> None:
-            if not lines:
+        rows, numbers, lines, size, pending = [], _Numbers(), [], 0, 0
+        keys, n = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+        def add_windows() -> None:
+            nonlocal keys, n, pending
+            if lines:
+                k, m = windows_of(b"".join(lines))
+                keys, n = summed(np.concatenate([keys, k]), np.concatenate([n, m]))
+                lines.clear()
+                pending = 0
+
+        def blob_rows():
+            nonlocal keys, n
+            if not len(keys):
                 return
-            a = np.frombuffer(b"".join(lines), np.uint8)
-            keys = np.zeros(len(a) - DEPTH, np.uint64)
-            for k in range(DEPTH + 1):
-                keys <<= np.uint64(8)
-                keys |= a[k : k + len(keys)]
-            u, n = np.unique(keys[a[DEPTH:] != START], return_counts=True)  # no window predicts a START
-            u, inv = np.unique(np.concatenate([grams["keys"], u]), return_inverse=True)
-            grams["n"] = np.bincount(inv, np.concatenate([grams["n"], n]), len(u)).astype(np.int64)
-            grams["keys"] = u
-            lines.clear()
-
-        def flush():
+            total = int(n.sum())
+            yield batch("gram", 1, num=[total], blob=[pack_windows(keys, n)])
+            least = max(1, math.ceil(least_share / 2 * total))
+            ctx, m = keys >> np.uint64(8), n
+            for d in range(DEPTH, 0, -1):
+                ctx, m = summed(ctx & np.uint64((1 << 8 * d) - 1), m)
+                often = m >= least
+                c, k = ctx[often].astype(np.int64), m[often]
+                for at in range(0, len(c), 200_000):
+                    part_ = slice(at, at + 200_000)
+                    yield batch("heavy", len(c[part_]), num=c[part_], n=k[part_], depth=np.full(len(c[part_]), d, np.int32), total=np.full(len(c[part_]), total))
+            keys, n = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+        def chunk_rows():
             nonlocal seq, size
-            chunk = f"{part}-{seq}"
-            ids = [i for _, i, _ in rows]
-            counts = np.zeros(len(numbers), np.int64)
-            for (_, _, num), h in zip(rows, held):
-                if not h:
-                    counts += np.bincount(num, minlength=len(numbers))
-            blobs = [zip_.compress(num.tobytes()) for _, _, num in rows]
-            yield frame(kind=["doc"] * len(rows), chunk=[chunk] * len(rows), doc_id=ids, held=held.copy(), num=list(range(len(rows))), word=[None] * len(rows), n=[len(x) for _, _, x in rows], blob=blobs)
-            yield frame(kind=["word"] * len(numbers), chunk=[chunk] * len(numbers), doc_id=[None] * len(numbers), held=[None] * len(numbers), num=list(range(len(numbers))), word=list(numbers), n=counts, blob=[None] * len(numbers))
-            rows.clear(), held.clear(), numbers.clear()
+            chunk, counts = part << 24 | seq, np.zeros(len(numbers), np.uint32)
+            for _, held, num in rows:
+                if not held:
+                    counts += np.bincount(num, minlength=len(numbers)).astype(np.uint32)
+            yield batch("list", 1, chunk=[chunk], n=[len(numbers)], blob=[zip_.compress(counts.tobytes() + b"\n".join(numbers))])
+            for at in range(0, len(rows), 1000):
+                some = rows[at : at + 1000]
+                yield batch("doc", len(some), chunk=[chunk] * len(some), doc_id=[i for i, _, _ in some], held=[h for _, h, _ in some], n=[len(x) for _, _, x in some], blob=[zip_.compress(x.tobytes()) for _, _, x in some])
+            rows.clear(), numbers.clear()
             seq, size = seq + 1, 0
 
         start = bytes([START]) * DEPTH
         for b in batches:
-            for doc_id, text in zip(b["doc_id"], b["t"]):
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("t").to_pylist()):
                 words = (text or "").encode("utf-8", "replace").lower().split()
-                get = numbers.setdefault
-                num = np.fromiter((get(w, len(numbers)) for w in words), np.uint32, len(words))
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
-                out = held_out(doc_id)
-                rows.append((None, doc_id, num))
-                held.append(out)
+                num = np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words))
+                held = held_out(doc_id)
+                rows.append((doc_id, held, num))
                 length = sum(map(len, words)) + len(words)
                 size += length
-                if not out:
+                if not held:
                     lines.append(start + packed_words(words))
+                    pending += length
+                if pending >= GRAM_BYTES:
+                    add_windows()
+                    if len(keys) >= BLOB_WINDOWS:
+                        yield from blob_rows()
                 if size >= chunk_bytes:
-                    add_grams()
-                    yield from flush()
-        add_grams()
+                    yield from chunk_rows()
+        add_windows()
+        yield from blob_rows()
         if rows:
-            yield from flush()
-        k, n = grams["keys"].view(np.int64), grams["n"]
-        for at in range(0, len(k), 200_000):
-            m = len(k[at : at + 200_000])
-            none = [None] * m
-            yield frame(kind=["gram"] * m, chunk=none, doc_id=none, held=none, num=k[at : at + m], word=none, n=n[at : at + m], blob=none)
+            yield from chunk_rows()
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    return src.mapInPandas(run, schema)
+    return src.mapInArrow(run, SCHEMA)
+
 
+class _Numbers(dict):
+    """word -> its number, by first appearance."""
 
-def candidates(grams: DataFrame, least: int) -> DataFrame:
-    """depth, ctx (its bytes as a long), sym, n: next-symbol counts of contexts seen at least `least` times."""
-    whole = grams.groupBy("num").agg(F.sum("n").alias("n"))
-    depths = F.expr(f"sequence(0, {DEPTH})")
-    each = whole.select(F.explode(depths).alias("depth"), (F.col("num").bitwiseAND(F.lit(255))).alias("sym"), F.expr("shiftrightunsigned(num, 8)").alias("all"), "n")
-    each = each.select("depth", "sym", F.expr("CASE WHEN depth = 0 THEN 0L ELSE all & shiftrightunsigned(-1L, 64 - 8 * depth) END").alias("ctx"), "n")
-    sums = each.groupBy("depth", "ctx", "sym").agg(F.sum("n").alias("n"))
-    often = sums.groupBy("depth", "ctx").agg(F.sum("n").alias("c")).where((F.col("c") >= least) | (F.col("depth") == 0)).select("depth", "ctx")
-    return sums.join(often, ["depth", "ctx"])
+    def __missing__(self, word):
+        self[word] = n = len(self)
+        return n
+
+
+def listed_words(blob: bytes, n: int):
+    """The training counts and words of a 'list' row."""
+    import numpy as np
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    return np.frombuffer(data[: 4 * n], np.uint32), data[4 * n :].split(b"\n") if n else []
+
+
+def candidates(first: DataFrame, least_share: float):
+    """(depth, ctx, sym, n) arrays: exact next-symbol counts of every context that makes up least_share of the windows."""
+    import numpy as np
+    import pyarrow as pa
+
+    spark = first.sparkSession
+    grams = first.where("kind = 'gram'").select("num", "blob")
+    total, n_blobs = grams.agg(F.coalesce(F.sum("num"), F.lit(0)), F.count("*")).first()
+    least = max(2, math.ceil(least_share * total))
+    heavy = first.where("kind = 'heavy'").groupBy("depth", "num").agg(F.sum("n").alias("n"), F.sum("total").alias("of"))
+    possible = heavy.where(F.col("n") + F.lit(least_share / 2) * (F.lit(total) - F.col("of")) >= least).select("depth", "num").toArrow()
+    depth, ctx = (possible[c].to_numpy().astype(np.int64) for c in ("depth", "num"))
+    order = np.lexsort((ctx, depth))
+    depth, ctx = np.concatenate([[0], depth[order]]), np.concatenate([[0], ctx[order]]).astype(np.uint64)
+    edges = np.searchsorted(depth, np.arange(DEPTH + 2))  # contexts of depth d: edges[d] .. edges[d + 1]
+    known = spark.sparkContext.broadcast((ctx, edges))
+
+    def run(batches):
+        ctx, edges = known.value
+        codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        for b in batches:
+            for blob in b.column("blob"):
+                keys, n = unpack_windows(blob.as_py())
+                state, rest = np.zeros(len(keys), np.int64), np.arange(len(keys))
+                for d in range(DEPTH, 0, -1):
+                    own, mine = ctx[edges[d] : edges[d + 1]], context(keys[rest], d)
+                    if len(own):
+                        at = np.minimum(np.searchsorted(own, mine), len(own) - 1)
+                        hit = own[at] == mine
+                        state[rest[hit]] = edges[d] + at[hit]
+                        rest = rest[~hit]
+                code, n = summed(state << 8 | (keys & np.uint64(255)).astype(np.int64), n)
+                codes, counts = summed(np.concatenate([codes, code]), np.concatenate([counts, n]))  # at most 256 a context
+        for at in range(0, len(codes), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(codes[at : at + 200_000]), pa.array(counts[at : at + 200_000])], ["code", "n"])
+
+    tasks = max(spark.sparkContext.defaultParallelism, int(n_blobs) // 16)  # few tasks: each sums over its blobs
+    counted = grams.coalesce(tasks).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    code, n = (counted[c].to_numpy().astype(np.int64) for c in ("code", "n"))
+    out = []
+    for d in range(DEPTH, -1, -1):  # what is counted for a context counts for its suffix, too
+        own = code >> 8 >= edges[d]
+        c, k = summed(code[own], n[own])
+        state = c >> 8
+        sums = np.bincount(state, k, len(ctx)).astype(np.int64) if len(c) else np.zeros(len(ctx), np.int64)
+        enough = (sums[state] >= least) | (d == 0)
+        out.append((np.full(enough.sum(), d), ctx[state][enough].astype(np.int64), (c & 255)[enough], k[enough]))
+        if d:
+            suffix = ctx[state] & np.uint64((1 << 8 * (d - 1)) - 1)
+            up = edges[d - 1] + np.searchsorted(ctx[edges[d - 1] : edges[d]], suffix)
+            code, n = np.concatenate([code[~own], up << 8 | c & 255]), np.concatenate([n[~own], k])
+    return [np.concatenate(x) for x in zip(*out)]
 
 
 class Tree:
     """The retained contexts as an automaton: step[state, symbol] and logp[state, symbol] (log10)."""
 
     def __init__(self, rows):
-        """rows: (depth, ctx, sym, n) arrays of the candidates."""
+        """rows: (depth, ctx, sym, n) arrays of the candidates, the empty context among them."""
         import numpy as np
 
-        depth, ctx, sym, n = rows
-        dist: dict[tuple[int, int], dict[int, int]] = {}
-        for d, c, s, k in zip(depth.tolist(), ctx.tolist(), sym.tolist(), n.tolist()):
-            dist.setdefault((d, c), {})[s] = k
-        shorter = lambda x: (x[0] - 1, x[1] & ((1 << 8 * (x[0] - 1)) - 1))
-        prob: dict[tuple[int, int], dict[int, float]] = {}
-        root = dist.get((0, 0), {})
-        retained = {(0, 0)}
-        for key in sorted(dist):
-            if key[0] == 0:
-                continue
-            own, parent = dist[key], dist[shorter(key)]
-            total, above = sum(own.values()), sum(parent.values())
-            g = 2 * math.fsum(k * math.log(k / total / (parent[s] / above)) for s, k in own.items())
-            if g > len(own) * math.log(total):
-                retained.add(key)
-        for key in list(retained):  # the suffixes
-            while key[0]:
-                key = shorter(key)
-                retained.add(key)
-        states = set(retained)
-        for d, c in retained:  # the prefixes, so that every state's successor is known
-            for k in range(1, d):
-                states.add((k, c >> 8 * (d - k)))
-        order = sorted(states)
-        index = {k: i for i, k in enumerate(order)}
-        self.symbols = np.array(sorted({*root, END, ord(" ")} | {s for v in dist.values() for s in v}), np.uint8)
+        depth, ctx, sym, n = (np.asarray(x, np.int64) for x in rows)
+        key = depth << 56 | ctx  # orders contexts by depth
+        order = np.lexsort((sym, key))
+        key, sym, n = key[order], sym[order], n[order]
+        own, row = np.unique(np.concatenate([[0], key]), return_inverse=True)  # the contexts; the row's context
+        row = row[1:]
+        total, kinds = np.bincount(row, n, len(own)), np.bincount(row, minlength=len(own))
+        parent = np.searchsorted(own, self._shorter(own))
+        # G statistic of each context against its suffix
+        cell = row << 8 | sym
+        above = n[np.searchsorted(cell, parent[row] << 8 | sym)] if len(n) else n
+        with np.errstate(divide="ignore", invalid="ignore"):
+            g = 2 * np.bincount(row, n * np.log(n / total[row] / (above / total[parent][row])), len(own))
+            kept = (g > kinds * np.log(total)) & (own > 0)
+        depths = own >> 56
+        kept[0] = True
+        for d in range(DEPTH, 0, -1):  # the suffixes
+            kept[parent[kept & (depths == d)]] = True
+        retained = own[kept]
+        states = {0: np.zeros(1, np.int64)}
+        for d in range(1, DEPTH + 1):  # and the prefixes, so that every state's successor is known
+            deeper = retained[retained >> 56 >= d]
+            states[d] = np.unique(d << 56 | (deeper & (1 << 56) - 1) >> 8 * ((deeper >> 56) - d))
+        all_ = np.concatenate([states[d] for d in range(DEPTH + 1)])
+        edges = np.searchsorted(all_ >> 56, np.arange(DEPTH + 2))
+        self.symbols = np.unique(np.concatenate([sym, [END, ord(" ")]])).astype(np.uint8)
         code = np.full(256, len(self.symbols), np.int64)  # one more code for bytes never seen in training
         code[self.symbols] = np.arange(len(self.symbols))
         self.code, m = code, len(self.symbols) + 1
-        uniform = 1 / 256
-        self.step, table = np.zeros((len(order), m), np.int32), np.zeros((len(order), m))
-
-        def longest(d: int, c: int) -> tuple[int, int]:
-            while (d, c) not in index:
-                d, c = d - 1, c & ((1 << 8 * (d - 1)) - 1)
-            return d, c
-
-        longer: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for d, c in order[1:]:
-            longer.setdefault((d - 1, c >> 8), []).append((c & 255, index[d, c]))
-        for i, key in enumerate(order):  # by depth, so the suffix's row is done
-            if key in retained:
-                own = dist.get(key, {})
-                total, kinds = sum(own.values()), max(1, len(own))
-                row = np.full(m, uniform) if key[0] == 0 else table[index[shorter(key)]]
-                row = row * kinds
-                for s, k in own.items():
-                    row[code[s]] += k
-                table[i] = row / (total + kinds)
-            else:
-                table[i] = table[index[longest(*shorter(key))]]
-            if key[0]:  # without a longer match, where the suffix goes
-                self.step[i] = self.step[index[longest(*shorter(key))]]
-            for s, j in longer.get(key, ()):
-                self.step[i, code[s]] = j
+        self.step, table = np.zeros((len(all_), m), np.int32), np.zeros((len(all_), m))
+        suffix = self._longest(all_, self._shorter(all_))
+        where = np.searchsorted(all_, own[kept])  # states of the retained
+        of = np.full(len(all_), -1)
+        of[where] = np.flatnonzero(kept)
+        for d in range(DEPTH + 1):
+            here = np.arange(edges[d], edges[d + 1])
+            table[here] = table[suffix[here]] if d else 1 / 256
+            mine = here[of[here] >= 0]
+            weight = 2.0 * np.maximum(1, kinds[of[mine]])
+            table[mine] *= weight[:, None]
+            lo, hi = np.searchsorted(row, of[mine]), np.searchsorted(row, of[mine], "right")
+            at = np.repeat(mine, hi - lo)
+            cells = np.repeat(lo, hi - lo) + np.arange(len(at)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
+            table[at, code[sym[cells]]] += n[cells]
+            table[mine] /= (total[of[mine]] + weight)[:, None]
+            if d:  # without a longer match, where the suffix goes
+                self.step[here] = self.step[suffix[here]]
+            if d < DEPTH:
+                longer = np.arange(edges[d + 1], edges[d + 2])
+                keys = all_[longer]
+                self.step[np.searchsorted(all_, d << 56 | (keys & (1 << 56) - 1) >> 8), code[keys & 255]] = longer
         self.logp = np.log10(table).astype(np.float32)
-        start = (0, 0)
+        state = np.zeros(1, np.int64)
         for _ in range(DEPTH):
-            start = longest(min(start[0] + 1, DEPTH), (start[1] << 8 | START) & ((1 << 8 * DEPTH) - 1))
-        self.start, self.retained = index[start], len(retained)
+            k = all_[state]
+            d = np.minimum((k >> 56) + 1, DEPTH)
+            state = self._longest(all_, d << 56 | (k << 8 | START) & (1 << 8 * DEPTH) - 1)
+        self.start, self.retained = int(state[0]), len(retained)
+
+    @staticmethod
+    def _shorter(keys):
+        """depth << 56 | context, without its first symbol; the empty one stays."""
+        import numpy as np
+
+        d = np.maximum((keys >> 56) - 1, 0)
+        return d << 56 | keys & ((1 << 8 * d) - 1)
+
+    def _longest(self, all_, keys):
+        """The states that are the longest suffixes of keys."""
+        import numpy as np
+
+        for _ in range(DEPTH + 1):
+            at = np.minimum(np.searchsorted(all_, keys), len(all_) - 1)
+            missing = all_[at] != keys
+            if not missing.any():
+                break
+            keys = np.where(missing, self._shorter(keys), keys)
+        return at
 
     def scores(self, lines: list[bytes], width: int = 512):
         """log10 probability of each line. Lines are walked side by side in slices of `width`
@@ -245,52 +392,68 @@ class Tree:
         return out
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_share: float = 5e-6, chunk_bytes: int = 12 << 20) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_share: float = 2e-6, chunk_bytes: int = 12 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     spark = docs.sparkSession
-    first = cut(first_pass(docs, id_col, text_col, chunk_bytes), "chunks")
-    texts = first.where("kind = 'doc'")
-    of_docs = texts.where("NOT held").agg(F.sum("n").alias("w"), F.count("*").alias("d")).first()
-    grams = first.where("kind = 'gram'").select("num", "n")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    # bounded by (DEPTH + 1) / least_share contexts
-    rows = candidates(grams, max(2, math.ceil(least_share * total))).toPandas()
-    tree = spark.sparkContext.broadcast(Tree([rows[c].to_numpy(np.int64) for c in ("depth", "ctx", "sym", "n")]))
-
-    listed = first.where("kind = 'word'").select(F.col("chunk").alias("of_chunk"), "num", "word", "n")
-    counts = cut(listed.groupBy("word").agg(F.sum("n").alias("c")), "counts")
-    train_docs = of_docs.d or 0
-    n_train = (of_docs.w or 0) + train_docs
-    v = counts.where("c > 0").count() + int(train_docs > 0)
-    known = listed.join(counts, "word").select("of_chunk", "num", "word", "c")
-    below = math.log10(n_train + v + 1)
-    end_score = math.log10(train_docs + 1) - below
+    first = cut(first_pass(docs, id_col, text_col, chunk_bytes, least_share), "chunks", "kind")
+    of_docs = first.where("kind = 'doc' AND NOT held").agg(F.sum("n").alias("w"), F.count("*").alias("d")).first()
+    tree = spark.sparkContext.broadcast(Tree(candidates(first, least_share)))
+    for kind in ("gram", "heavy"):
+        drop_cut(first, f"kind={kind}")
 
-    def run(key, docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+    def words_of_lists(batches):
+        for b in batches:
+            for chunk, n, blob in zip(b.column("chunk").to_pylist(), b.column("n").to_pylist(), b.column("blob")):
+                counts, words = listed_words(blob.as_py(), n)
+                for at in range(0, n, 100_000):
+                    some = words[at : at + 100_000]
+                    cols = [pa.array(some, pa.binary()), pa.array(np.full(len(some), chunk)), pa.array(np.arange(at, at + len(some), dtype=np.int32)), pa.array(counts[at : at + len(some)].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(cols, ["word", "of_chunk", "num", "n"])
+
+    lists = first.where("kind = 'list'").select("chunk", "n", "blob")
+    listed = lists.mapInArrow(words_of_lists, "word binary, of_chunk long, num int, n int")
+    w = Window.partitionBy("word")
+    known = listed.select("of_chunk", "num", F.sum("n").over(w).alias("c"), (F.row_number().over(w.orderBy("of_chunk")) == 1).alias("first")).where("c > 0")
+
+    def run(rows: pa.Table, known: pa.Table) -> pa.Table:
         import zstandard
 
         unzip, model = zstandard.ZstdDecompressor(), tree.value
-        word, c = [b""] * len(words), np.zeros(len(words), np.int64)
-        for i, w, n in zip(words["num"], words["word"], words["c"]):
-            word[i] = bytes(w)
-            c[i] = n
-        value = np.log10(c + 1.0) - below
-        out, group, size = [], [], 0
-        scores: list[float] = []
-        for doc_id, held, blob in zip(docs["doc_id"], docs["held"], docs["blob"]):
-            num = np.frombuffer(unzip.decompress(bytes(blob)), np.uint32)
-            out.append((doc_id, held, len(num) + 1, int((c[num] > 0).sum()) + int(train_docs > 0), n_train, float(math.fsum(value[num])) + end_score))
-            group.append(packed_words([word[i] for i in num.tolist()]))
+        chunk = rows.to_pydict()
+        at = next(i for i, h in enumerate(chunk["held"]) if h is None)  # the list
+        _, word = listed_words(chunk["blob"][at], chunk["n"][at])
+        c = np.zeros(len(word), np.int64)
+        c[known["num"].to_numpy()] = known["c"].to_numpy()
+        value = np.log10(c + 1.0)
+        out: dict[str, list] = {k: [] for k in ("doc_id", "held_out", "n_words", "n_known", "sum_log", "score")}
+        group, size = [], 0
+        for i, blob in enumerate(chunk["blob"]):
+            if i == at:
+                continue
+            num = np.frombuffer(unzip.decompress(blob), np.uint32)
+            for k, v in zip(out, (chunk["doc_id"][i], chunk["held"][i], len(num), int((c[num] > 0).sum()), float(value[num].sum()))):
+                out[k].append(v)
+            group.append(packed_words([word[j] for j in num.tolist()]))
             size += len(group[-1])
             if size > 4 << 20:
-                scores += model.scores(group).tolist()
+                out["score"] += model.scores(group).tolist()
                 group, size = [], 0
-        scores += model.scores(group).tolist()
-        frame = pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"])
-        return frame.assign(score=scores).astype({"doc_id": "Int64"})
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.select("chunk", "doc_id", "held", "blob").groupBy("chunk").cogroup(known.groupBy("of_chunk")).applyInPandas(run, schema)
+        out["score"] += model.scores(group).tolist()
+        firsts = [int(known["first"].to_numpy(zero_copy_only=False).sum())] + [0] * (len(out["score"]) - 1)
+        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+        return pa.table([pa.array(v, t) for v, t in zip([*out.values(), firsts], types)], [*out, "new_words"])
+
+    chunks = first.where("kind IN ('doc', 'list')").select("chunk", "doc_id", "held", "n", "blob")
+    schema = "doc_id long, held_out boolean, n_words long, n_known long, sum_log double, score double, new_words long"
+    scored = cut(chunks.groupBy("chunk").cogroup(known.groupBy("of_chunk")).applyInArrow(run, schema), "scored")
+    train_docs = of_docs.d or 0
+    n_train, end = (of_docs.w or 0) + train_docs, int(train_docs > 0)
+    v = (scored.agg(F.sum("new_words")).first()[0] or 0) + end
+    below, end_score = math.log10(n_train + v + 1), math.log10(train_docs + 1)
+    return scored.select(
+        "doc_id", "held_out", (F.col("n_words") + 1).alias("n_tokens"), (F.col("n_known") + end).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
+        (F.col("sum_log") + F.lit(end_score) - (F.col("n_words") + 1) * F.lit(below)).alias("base_score"), "score",
+    )

@@ -1,0 +1,125 @@
+"""The tree against a direct reading of its definition; base scores against brute force; held-out gain."""
+
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from conftest import SMALL
+
+from sparrowtext.llm import suffix_tree_lm as lm
+
+SCHEMA = "doc_id long, text string"
+
+
+def words_of(text):
+    return (text or "").encode("utf-8", "replace").lower().split()
+
+
+def training(rows):
+    return [(i, t) for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+
+
+def symbols(text):
+    return lm.packed_words(words_of(text))
+
+
+class Direct:
+    """The model, context by context, in dictionaries."""
+
+    def __init__(self, texts, least):
+        counts = defaultdict(Counter)
+        for t in texts:
+            s = bytes([lm.START]) * lm.DEPTH + symbols(t)
+            for i in range(lm.DEPTH, len(s)):
+                for d in range(lm.DEPTH + 1):
+                    counts[s[i - d : i]][s[i]] += 1
+        self.dist = {c: n for c, n in counts.items() if not c or sum(n.values()) >= least}
+        keep = {b""}
+        for c, n in self.dist.items():
+            if c:
+                total, parent = sum(n.values()), self.dist[c[1:]]
+                g = 2 * sum(k * math.log(k / total / (parent[s] / sum(parent.values()))) for s, k in n.items())
+                if g > len(n) * math.log(total):
+                    keep |= {c[i:] for i in range(len(c) + 1)}
+        self.keep = keep
+
+    def prob(self, context, s):
+        n = self.dist.get(context, Counter())
+        lower = self.prob(context[1:], s) if context else 1 / 256
+        kinds = 2 * max(1, len(n))
+        return (n[s] + kinds * lower) / (sum(n.values()) + kinds)
+
+    def score(self, text):
+        s = bytes([lm.START]) * lm.DEPTH + symbols(text)
+        out = 0.0
+        for i in range(lm.DEPTH, len(s)):
+            context = next(s[i - d : i] for d in range(lm.DEPTH, -1, -1) if s[i - d : i] in self.keep)
+            out += math.log10(self.prob(context, s[i]))
+        return out
+
+
+def corpus():
+    r = random.Random(11)
+    vocabulary = ["the", "of", "house", "Überall", "zz", "a", "reading", "reader", "é"]
+    rows = [(i, " ".join(r.choices(vocabulary, k=r.choice([0, 1, 5, 60])))) for i in range(150)]
+    return [*rows, (3, None), (2000, "THE  the\tThe\n\x01"), (2001, "unseen qqq ###"), (None, "of the house"), (None, "of the house"), (2002, "a\x00b the")]
+
+
+def base(rows):
+    c, n = Counter(), 0
+    for _, t in training(rows):
+        w = words_of(t)
+        c.update(w)
+        c["end"] += 0
+        n += len(w) + 1
+    ends = len(training(rows))
+    v = len([k for k in c if c[k]]) + (ends > 0)
+    value = lambda k: math.log10((k + 1) / (n + v + 1))
+    return n, lambda t: sum(value(c[w]) for w in words_of(t)) + value(ends), lambda t: sum(c[w] > 0 for w in words_of(t)) + (ends > 0)
+
+
+@pytest.mark.parametrize("chunk", [200, 1 << 20])
+def test_scores(spark, chunk):
+    rows = corpus()
+    docs = spark.createDataFrame([(i, t, 1, "k", 2) for i, t in rows], SCHEMA + ", n int, kind string, num int").repartition(4)
+    got = lm.score(docs, least_share=1e-9, chunk_bytes=chunk).collect()
+    n, base_score, known = base(rows)
+    model = Direct([t for _, t in training(rows)], 2)
+    want = sorted(((repr(i), i is not None and zlib.crc32(str(i).encode()) % 7 == 2, len(words_of(t)) + 1, known(t), n, round(base_score(t), 6), round(model.score(t), 3)) for i, t in rows))
+    mine = sorted((repr(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 3)) for r in got)
+    for a, b in zip(mine, want, strict=True):
+        assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-5 and abs(a[6] - b[6]) < 5e-3 * max(1, abs(b[6]) / 100), (a, b)
+
+
+def test_distributions_sum_to_one():
+    rows = corpus()
+    counts = Counter()
+    for _, t in training(rows):
+        s = bytes([lm.START]) * lm.DEPTH + symbols(t)
+        for i in range(lm.DEPTH, len(s)):
+            for d in range(lm.DEPTH + 1):
+                counts[d, int.from_bytes(s[i - d : i], "big"), s[i]] += 1
+    tree = lm.Tree([np.array(x, np.int64) for x in zip(*[(*k, n) for k, n in counts.items()])])
+    p = 10.0 ** tree.logp.astype(float)
+    rest = 256 - len(tree.symbols)  # bytes never seen share one code
+    assert np.allclose(p[:, :-1].sum(1) + rest * p[:, -1], 1, atol=1e-5)
+    lines = [symbols(t) for _, t in rows]
+    assert np.allclose(tree.scores(lines, width=8), tree.scores(lines, width=10_000), atol=1e-6)
+
+
+def test_held_out_text_scores_better_than_the_base(spark):
+    # the base gives any unknown word the same probability, however long: less data would favour it
+    got = lm.score(spark.read.parquet(f"{SMALL}/../sf0.1/documents.parquet")).where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
+    assert got.s > got.b
+
+
+def test_nothing_to_learn_from(spark):
+    assert lm.score(spark.createDataFrame([], SCHEMA)).count() == 0
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    got = lm.score(spark.createDataFrame([(held, "ab c"), (held, None)], SCHEMA)).orderBy("n_tokens").collect()
+    assert [(r.n_tokens, r.n_known, r.train_tokens) for r in got] == [(1, 0, 0), (3, 0, 0)]
+    assert abs(got[1].score - 6 * math.log10(1 / 256)) < 1e-3 and got[1].base_score == 0.0
