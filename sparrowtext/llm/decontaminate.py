@@ -2,9 +2,11 @@
 
 Words are lower-cased (A-Z). A shingle is five words (all words of a shorter item). Its weight in
 an item is how rare it is among the items, ln(1 + items / items that have it), times how often it
-occurs. A window is as many words as the item has, at a place where it shares a shingle with the
-item in step with it; a document without any shared shingle has similarity zero, so the search
-for shared shingles loses nothing. Windows and items get weighted 64-bit SimHash fingerprints. These
+occurs. Of each item the rarest shingles are its keys, as many as leave less than the similarity
+asked for of its weight to the others: a document without any of them can't be similar enough, so
+the search for keys loses nothing, and shingles that many items share are no keys. A window of a
+document that has a key is as many words as the item has, at a place where it shares any shingle
+with the item in step with it; all other windows have similarity zero. Windows and items get weighted 64-bit SimHash fingerprints. These
 are cut into `radius` + 1 blocks; by the pigeonhole principle an equality join of the blocks finds
 every window within `radius` bits of its item, and each such pair is verified by the exact weighted
 Jaccard similarity of the shingles. A pair that agrees in several blocks passes in the first only.
@@ -16,14 +18,16 @@ Everything is built-in functions. The items' shingles are broadcast only after a
 under `broadcast_rows`; beyond, the join shuffles. Windows come back to their documents by a table
 whose true size the planner sees.
 
-Edge cases: null or blank text has no words and no windows; items without words are left out;
+Edge cases: null or blank text has no words and no windows; items without words or without id are left out;
 items with equal ids are merged by their longest text; a document shorter than the item is one
 window; rows with the same id and text give one result row each only once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut, fresh, words_of
@@ -45,7 +49,7 @@ def _placed_shingles(words: Column, size: int) -> Column:
 def items_of(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """item_id, n (words), size (of its shingles), sh (shingle hashes by place), total (distinct shingles' weight comes later)."""
     one = benchmark.groupBy(F.col(id_col).cast("long").alias("item_id")).agg(F.max_by(text_col, F.struct(F.length(text_col), F.col(text_col))).alias("t"))
-    w = one.select("item_id", words_of(ascii_lower(F.col("t"))).alias("w")).where(F.size("w") > 0)
+    w = one.select("item_id", words_of(ascii_lower(F.col("t"))).alias("w")).where((F.size("w") > 0) & F.col("item_id").isNotNull())
     sh = F.coalesce(*[F.when(F.size("w") == k, shingles(F.col("w"), k)) for k in range(1, SHINGLE)], shingles(F.col("w"), SHINGLE))
     return w.select("item_id", F.size("w").alias("n"), F.least(F.size("w"), F.lit(SHINGLE)).alias("size"), sh.alias("sh"))
 
@@ -66,36 +70,40 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     at = items.select("item_id", "n", "size", F.posexplode("sh").alias("q", "h"))
     weights = at.select("item_id", "h").distinct().groupBy("h").agg(F.log1p(F.lit(float(n_items)) / F.count("*")).alias("idf"))
     in_item = cut(at.groupBy("item_id", "n", "size", "h").agg(F.count("*").alias("times"), F.min("q").alias("q")).join(weights, "h"), "shingles")
-    known = in_item.select("h", "size", "n", "item_id", "q")
     small = in_item.count() <= broadcast_rows
+    sent = F.broadcast if small else lambda d: d
     sizes = [r["size"] for r in items.select("size").distinct().collect()]  # at most 5
+    none = "doc_id long, text_hash long, item_id long, start int, n_words int, hamming int, similarity double"
+    if not sizes:
+        return docs.sparkSession.createDataFrame([], none)
+    of_item = Window.partitionBy("item_id")
+    rarest = of_item.orderBy(F.desc("idf"), "h").rowsBetween(Window.unboundedPreceding, -1)
+    weight = F.col("times") * F.col("idf")
+    rest = F.sum(weight).over(of_item) - F.coalesce(F.sum(weight).over(rarest), F.lit(0.0))
+    keys = in_item.withColumn("key", rest >= F.lit(similarity * (1 - 1e-9)) * F.sum(weight).over(of_item)).where("key").select("h", "size", "item_id")
+
+    def placed(rows: DataFrame, size: int, *more: str) -> DataFrame:
+        return rows.select("doc_id", "text_hash", *more, F.size("w").alias("len"), F.posexplode(_placed_shingles(F.col("w"), size)).alias("p", "h"))
 
     key = [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash")]
     words = docs.select(*key, words_of(ascii_lower(F.col(text_col))).alias("w"))
-    hits = None
-    for k in sizes:
-        placed = words.select("doc_id", "text_hash", F.size("w").alias("len"), F.posexplode(_placed_shingles(F.col("w"), k)).alias("p", "h"))
-        of_size = known.where(F.col("size") == k).drop("size")
-        found = placed.join(F.broadcast(of_size) if small else of_size, "h").select(
-            "doc_id", "text_hash", "item_id", "n", F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("len") - F.col("n"))).alias("start")
-        )
-        hits = found if hits is None else hits.union(found)
-    none = "doc_id long, text_hash long, item_id long, start int, n_words int, hamming int, similarity double"
-    if hits is None:
-        return docs.sparkSession.createDataFrame([], none)
-    windows = cut(hits.distinct(), "windows")
+    found = [placed(words, k).join(sent(keys.where(F.col("size") == k).drop("size")), "h").select("doc_id", "text_hash", "item_id") for k in sizes]
+    by_doc = cut(reduce(DataFrame.union, found).distinct().groupBy("doc_id", "text_hash").agg(F.collect_set("item_id").alias("maybe")), "candidates")
 
-    # back to the texts of these documents for their windows' shingles
-    by_doc = cut(windows.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "n")).alias("places")), "places")
+    # the texts of these documents, and the windows in step with a shared shingle
     again = docs.select(F.col(text_col).alias("t"), *key).alias("d").join(by_doc.alias("b"), F.expr("d.doc_id <=> b.doc_id AND d.text_hash = b.text_hash"))
-    again = again.select("d.doc_id", "d.text_hash", words_of(ascii_lower(F.col("t"))).alias("w"), "places").dropDuplicates(["doc_id", "text_hash"])
-    again = again.select("doc_id", "text_hash", "w", F.explode("places").alias("x")).select(
-        "doc_id", "text_hash", F.col("x.start").alias("start"), F.col("x.n").alias("n"), F.slice("w", F.col("x.start") + 1, F.col("x.n")).alias("w")
-    )
+    texts = cut(again.select("d.doc_id", "d.text_hash", words_of(ascii_lower(F.col("t"))).alias("w"), "maybe").dropDuplicates(["doc_id", "text_hash"]), "texts")
+    known = in_item.select("h", "size", "n", "item_id", "q")
+    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("len") - F.col("n"))).alias("start")
+    hits = [placed(texts, k, "maybe").join(sent(known.where(F.col("size") == k).drop("size")), "h").where("array_contains(maybe, item_id)").select("doc_id", "text_hash", "item_id", "n", start) for k in sizes]
+    windows = cut(reduce(DataFrame.union, hits).distinct(), "windows")
+    places = windows.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "n")).alias("places"))
+    each = texts.alias("d").join(places.alias("b"), F.expr("d.doc_id <=> b.doc_id AND d.text_hash = b.text_hash")).select("d.doc_id", "d.text_hash", "w", F.explode("places").alias("x"))
+    again = each.select("doc_id", "text_hash", F.col("x.start").alias("start"), F.col("x.n").alias("n"), F.slice("w", F.col("x.start") + 1, F.col("x.n")).alias("w"))
     sh = F.coalesce(*[F.when(F.col("n") == k, shingles(F.col("w"), k)) for k in range(1, SHINGLE)], shingles(F.col("w"), SHINGLE))
     bag = again.select("doc_id", "text_hash", "start", "n", F.explode(sh).alias("h")).groupBy("doc_id", "text_hash", "start", "n", "h").agg(F.count("*").alias("times"))
     plain = F.lit(float(n_items)).alias("_")  # a shingle that no item has is as rare as can be
-    bag = cut(bag.join(F.broadcast(weights) if small else weights, "h", "left").select("doc_id", "text_hash", "start", "n", "h", "times", F.coalesce("idf", F.log1p(plain)).alias("idf")), "bags")
+    bag = cut(bag.join(sent(weights), "h", "left").select("doc_id", "text_hash", "start", "n", "h", "times", F.coalesce("idf", F.log1p(plain)).alias("idf")), "bags")
     place = ["doc_id", "text_hash", "start", "n"]
     win_fp = simhash(bag.withColumn("w", F.col("times") * F.col("idf")), place)
     item_fp = simhash(in_item.withColumn("w", F.col("times") * F.col("idf")), ["item_id", "n"])
@@ -106,7 +114,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     a, b = keyed.select("*", parts), item_fp.select(F.col("item_id").alias("of_item"), F.col("fp").alias("own"), parts)
     # bits below the block, of which no whole block may agree
     earlier = " AND ".join(f"(block <= {i} OR (fp ^ own) & {(2 ** (hi - lo) - 1 << lo) - (1 << 64 if hi == BITS else 0)}L <> 0)" for i, (lo, hi) in enumerate(zip(edges, edges[1:])))
-    near = a.join((F.broadcast(b) if small else b).withColumnsRenamed({"block": "of_block", "part": "of_part"}), F.expr(f"item_id = of_item AND block = of_block AND part = of_part AND bit_count(fp ^ own) <= {radius} AND {earlier}"))
+    near = a.join(sent(b).withColumnsRenamed({"block": "of_block", "part": "of_part"}), F.expr(f"item_id = of_item AND block = of_block AND part = of_part AND bit_count(fp ^ own) <= {radius} AND {earlier}"))
     near = near.select("doc_id", "text_hash", "start", "n", "item_id", F.expr("bit_count(fp ^ own)").alias("hamming"))
     # exact weighted Jaccard: sum of minima over (both sums less the minima)
     shared = near.alias("r").join(bag.alias("g"), F.expr("r.doc_id <=> g.doc_id AND r.text_hash = g.text_hash AND r.start = g.start AND r.n = g.n"))
