@@ -123,3 +123,32 @@ def inherited(own: DataFrame) -> DataFrame:
 def scan(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", templates=None, least: float = 0.6) -> DataFrame:
     """doc_id, path, license, similarity, license_source: one row per file."""
     return inherited(own_licences(files, id_col, text_col, path_col, templates or TEMPLATES, least))
+
+
+def oracle_sql(path: str, templates=None, least: float = 0.6) -> str:
+    """DuckDB: scan() over documents whose path is the given expression, every statement scored; similarities to 6 digits."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({quoted(name)}, {i}, {quoted(t)})" for name, texts in sorted((templates or TEMPLATES).items()) for i, t in enumerate(texts))
+    split = lambda c: f"list_filter(regexp_split_to_array(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '')"
+    return f"""
+WITH t(license, variant, t) AS (VALUES {rows}),
+tt AS (SELECT license, variant, term, count(*) AS tf FROM (SELECT license, variant, unnest({split('t')}) AS term FROM t) GROUP BY ALL),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {path} AS path FROM documents),
+n AS (SELECT count(*)::DOUBLE AS n FROM d),
+df AS (SELECT term, count(*) AS df FROM (SELECT r, unnest(list_distinct({split('text')})) AS term FROM d) WHERE term IN (SELECT term FROM tt) GROUP BY term),
+idf AS (SELECT DISTINCT tt.term, ln(1 + n / (1 + coalesce(df, 0))) AS idf FROM tt LEFT JOIN df USING (term), n),
+w AS (SELECT license, variant, term, tf * idf AS w FROM tt JOIN idf USING (term)),
+wn AS (SELECT license, variant, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
+s AS (SELECT r, unnest(regexp_split_to_array(regexp_replace(text, '([.!?:;])[ \t]+', '\1' || chr(10), 'g'), chr(10))) AS u FROM d),
+su AS (SELECT DISTINCT u FROM s WHERE regexp_matches(u, '[A-Za-z0-9]')),
+v AS (SELECT u, term, count(*) AS tf FROM (SELECT u, unnest({split('u')}) AS term FROM su) GROUP BY ALL),
+vw AS (SELECT u, v.term, tf * coalesce(idf, ln(1 + n)) AS w FROM v LEFT JOIN idf ON v.term = idf.term, n),
+vn AS (SELECT u, sqrt(sum(w * w)) AS norm FROM vw GROUP BY u),
+c AS (SELECT u, license, round(dot / (vn.norm * wn.norm), 9) AS cos FROM (SELECT u, license, variant, sum(vw.w * w.w) AS dot FROM vw JOIN w USING (term) GROUP BY ALL) JOIN vn USING (u) JOIN wn USING (license, variant)),
+b AS (SELECT r, license, cos FROM s JOIN c USING (u) WHERE cos >= {least} QUALIFY row_number() OVER (PARTITION BY r ORDER BY cos DESC, license) = 1),
+own AS (SELECT d.r, doc_id, path, license, cos, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(path, '([^/]*)$', 1) AS name FROM d LEFT JOIN b USING (r)),
+given AS (SELECT dir, license, cos FROM own WHERE license IS NOT NULL AND path IS NOT NULL AND regexp_matches(name, '(?i)^(un)?(licen[cs]e|copying|copyright|notice)s?([-._].*)?$') QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cos DESC, license) = 1),
+near AS (SELECT own.r, given.dir, given.license, given.cos FROM own JOIN given ON own.license IS NULL AND (given.dir = '' OR given.dir = own.dir OR starts_with(own.dir, given.dir || '/')) WHERE own.path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY own.r ORDER BY length(given.dir) DESC) = 1)
+SELECT doc_id, path, coalesce(own.license, near.license) AS license, round(coalesce(own.cos, near.cos), 6) AS similarity, CASE WHEN own.license IS NOT NULL THEN 'own' ELSE near.dir END AS license_source
+FROM own LEFT JOIN near USING (r)
+"""

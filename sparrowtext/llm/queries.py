@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, license_scan, packing, page_text, quality_rules, secret_scan, simhash_dedup, suffix_tree_lm, warc_zstd
@@ -33,9 +32,13 @@ def op4_suffix_tree_lm(spark, sf_dir):
     return suffix_tree_lm.score(_table(spark, sf_dir, "documents"))
 
 
+#: Documents have no paths: the query files them under source, language and hundreds of ids; short ones are notices of their directory.
+PATH = "concat_ws('/', source, lang, CAST(floor(doc_id / 100) AS bigint), CASE WHEN length(text) <= 200 THEN concat('NOTICE-', doc_id) ELSE concat(doc_id, '.txt') END)"
+
+
 def op5_license_scan(spark, sf_dir):
-    files = _table(spark, sf_dir, "documents")
-    return license_scan.scan(files.select("doc_id", "text", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path")))
+    files = _table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(PATH).alias("path"))
+    return license_scan.scan(files).withColumn("similarity", F.round("similarity", 6))
 
 
 def op6_warc_zstd(spark, sf_dir):
@@ -63,4 +66,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_best_fit_packing, op2_quality_rules, op3_html_extraction, op4_suffix_tree_lm, op5_license_scan, op6_warc_zstd, op7_benchmark_decontamination, op8_chat_format, op9_secret_scan, op10_simhash_dedup)
 }
-ORACLE: dict[str, str] = {"op8_chat_format": chat_format.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op5_license_scan": license_scan.oracle_sql(PATH), "op6_warc_zstd": warc_zstd.ORACLE_SQL, "op8_chat_format": chat_format.ORACLE_SQL}

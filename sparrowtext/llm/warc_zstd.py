@@ -234,3 +234,13 @@ def digests(pages: DataFrame, **how) -> DataFrame:
     """Write, read back, and give one row per record: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     back = read_back(archive(pages, **how))
     return back.select("page_id", F.col("payload_bytes").cast("long"), "payload_digest", "record_type", "refers_to", "url")
+
+
+#: DuckDB: what digests() gives of pages whose URLs are plain ASCII.
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+t AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS target FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 1000 AND page_id < target THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id < target THEN target END AS refers_to, coalesce(url, '') AS url
+FROM t
+"""
