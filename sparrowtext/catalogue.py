@@ -17,6 +17,7 @@ from .operators.index import SearchIndex
 from .operators.search import Searcher
 from .plans import parser
 from .plans.query import FILTER, MUST, MUST_NOT, SHOULD, Bool, Fuzzy, Phrase, PointRange, Prefix, Term, Wildcard
+from .sources import corpora
 from .sources.store import Store
 from .streaming.ingest import ingest
 
@@ -388,6 +389,34 @@ def field_summary(s, d):
     return ixs.summary(documents(s, d)).select("field", "term_count", "sum_ttf", "sum_df", "doc_count", "dv_docs", "point_docs")
 
 
+def _files(s, d) -> DataFrame:
+    """The documents as if each were a file."""
+    files = table(s, d, "documents").select("doc_id", F.concat(F.lit("corpus/doc_"), F.col("doc_id")).alias("path"), F.concat(F.lit("doc_"), F.col("doc_id")).alias("title"), F.col("text").alias("contents"), F.octet_length("text").alias("size"), (F.col("doc_id") * 1000).alias("modified"))
+    return files
+
+
+def _all_fields_sql() -> str:
+    n, feature = "(SELECT count(*) FROM documents)", lambda v: f"SELECT doc_id, ({v})::FLOAT::DOUBLE AS v FROM z"
+    freqs = f"""z AS (SELECT doc_id, strlen(text) AS size FROM documents WHERE text IS NOT NULL), fv AS ({feature('(size % 100) / 10.0::DOUBLE + 0.5::DOUBLE')} UNION ALL {feature('(size % 50) / 5.0::DOUBLE + 1')}),
+      fe AS (SELECT v, floor(log2(v)) AS e0 FROM fv), fx AS (SELECT v, CASE WHEN pow(2, e0) > v THEN e0 - 1 WHEN pow(2, e0 + 1) <= v THEN e0 + 1 ELSE e0 END AS e FROM fe),
+      ff AS (SELECT count(*) AS c, sum(((e + 127) * 256 + floor((v / pow(2, e) - 1) * 256))::BIGINT)::BIGINT AS t FROM fx)"""
+    rows = [f"SELECT 'contents', count(DISTINCT term), sum(tf)::BIGINT, count(*), count(DISTINCT doc), 0::BIGINT, 0::BIGINT, count(DISTINCT doc), count(DISTINCT doc) FROM post", "SELECT 'features', 2, t, c, c // 2, 0, 0, 0, 0 FROM ff"]
+    exact = lambda f, dv: f"SELECT '{f}', {n}, {n}, {n}, {n}, {dv}, 0, 0, 0"
+    rows += [exact("path", n), exact("title", 0)]
+    rows += [f"SELECT '{f}', 0, 0, 0, 0, {n}, {n}, 0, 0" for f in ("modified",)] + [f"SELECT '{f}', 0, 0, 0, 0, count(*), count(*), 0, 0 FROM z" for f in ("size", "score", "rating")]
+    rows += [f"SELECT '{f}', 0, 0, 0, 0, 0, count(*), 0, 0 FROM z" for f in ("location", "int_range", "long_range", "float_range", "double_range")]
+    rows += [f"SELECT '{f}', 0, 0, 0, 0, 0, 0, 0, 0" for f in ("notes", "extra_int", "extra_float", "extra_double")]
+    rows += [f"SELECT '{f}', 0, 0, 0, 0, count(*), 0, 0, 0 FROM z" for f in ("dv_count", "dv_hash", "dv_priority")] + [f"SELECT '{f}', 0, 0, 0, 0, {n}, 0, 0, 0" for f in ("dv_category", "dv_tag")]
+    rows += ["SELECT 'sparse_count', 0, 0, 0, 0, count(*), 0, 0, 0 FROM documents WHERE doc_id % 2 = 0"]
+    return f"WITH {sql.postings()}, {freqs} SELECT * FROM ({' UNION ALL '.join(rows)}) r(field, term_count, sum_ttf, sum_df, doc_count, dv_docs, point_docs, norm_docs, vector_docs)"
+
+
+@register("all_field_summary", _all_fields_sql())
+def all_field_summary(s, d):
+    ix = _index(s, d, "files", lambda s, d: (corpora.all_fields(_files(s, d)), "path", corpora.ALL_FIELDS))
+    return ixs.summary(ix).select("field", "term_count", "sum_ttf", "sum_df", "doc_count", "dv_docs", "point_docs", "norm_docs", "vector_docs")
+
+
 @register("feature_freq_encode", """WITH v AS (SELECT doc_id AS doc, ((n_chars % 100) / 10.0::DOUBLE + 0.5::DOUBLE)::FLOAT::DOUBLE AS v FROM documents),
     e AS (SELECT doc, v, floor(log2(v)) AS e0 FROM v), f AS (SELECT doc, v, CASE WHEN pow(2, e0) > v THEN e0 - 1 WHEN pow(2, e0 + 1) <= v THEN e0 + 1 ELSE e0 END AS e FROM e)
     SELECT doc, 'pagerank' AS term, ((e + 127) * 256 + floor((v / pow(2, e) - 1) * 256))::INTEGER AS tf FROM f""")
@@ -410,6 +439,15 @@ def segment_append_search(s, d):
     return scored(Searcher(store.open()).search(_query(_CL), 10))
 
 
+@register("segment_terms", f"""WITH t AS (SELECT unnest(regexp_extract_all(translate(text, {sql.AZ}), '{sql.WORDS}')) AS term FROM documents WHERE doc_id % 2 = 1) SELECT term, count(*) AS ttf FROM t GROUP BY term""")
+def segment_terms(s, d):
+    docs, fields = table(s, d, "documents"), [fd.text("text", level="freqs")]
+    store = Store(s, f"{_dir(s)}/halves-{abs(hash(d))}")
+    store.write(docs.where("doc_id % 2 = 0"), "doc_id", fields, segment="even")
+    store.write(docs.where("doc_id % 2 = 1"), "doc_id", fields, mode="append", segment="odd")
+    return tm.terms(store.open(only="od"), "text").select("term", "ttf")
+
+
 @register("stream_ingest_search", sql.boolean(_CL))
 def stream_ingest_search(s, d):
     import uuid

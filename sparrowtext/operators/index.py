@@ -180,4 +180,7 @@ def summary(index: SearchIndex) -> DataFrame:
     for r in rows[1:]:
         out = out.unionByName(r)
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.join(index.stats, "field", "left").select("field", "level", "norms", "vectors", "doc_values", "dv_docs", "point_docs", *map(zero, ("term_count", "sum_ttf", "sum_df", "doc_count")))
+    held = lambda flag, name: F.when(F.col(flag), F.coalesce("doc_count", F.lit(0))).otherwise(0).cast("long").alias(name)
+    return out.join(index.stats, "field", "left").select(
+        "field", "level", "norms", "vectors", "doc_values", "dv_docs", "point_docs", held("norms", "norm_docs"), held("vectors", "vector_docs"), *map(zero, ("term_count", "sum_ttf", "sum_df", "doc_count"))
+    )

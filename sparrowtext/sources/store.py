@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import fields as fields_
-from ..operators.index import POSTINGS, SearchIndex, all_postings, stat_table, term_table, with_doc
+from ..operators.index import POSTINGS, SearchIndex, all_postings, stat_table, summary, term_table, with_doc
 from ..operators.fields import Field, checked
 
 
@@ -101,10 +101,12 @@ class Store:
         done = self._write_segment(docs, ix.fields, uuid.uuid4().hex)
         return self._commit({"segments": [done] if done else [], "fields": [vars(f) for f in ix.fields], "deletes": []})
 
-    def open(self, version: int | None = None) -> SearchIndex:
+    def open(self, version: int | None = None, only: str = "") -> SearchIndex:
+        """The index, of the last or a given version; only: the segments whose names begin so."""
         now = self.manifest(version)
+        now["segments"] = [s for s in now["segments"] if s["name"].startswith(only)]
         if not now["segments"]:
-            raise FileNotFoundError(f"no index at {self.path}")
+            raise FileNotFoundError(f"no index at {self.path}" + f" with segments {only}..." * bool(only))
         of = lambda t: [f"{self.path}/segments/{s['name']}/{t}" for s in now["segments"]]
         docs = self.spark.read.parquet(*of("docs"))
         post = self.spark.read.schema(POSTINGS).parquet(*of("postings"))
@@ -118,6 +120,17 @@ class Store:
         stats = self.spark.createDataFrame(stats.collect(), stats.schema)
         return SearchIndex(self.spark, fields, docs, post, terms, stats, deleted)
 
+    def summary(self) -> DataFrame:
+        """segment, json: the counts of each field of each segment."""
+        out = None
+        for s in self.manifest()["segments"]:
+            rows = summary(self.open(only=s["name"]))
+            one = rows.select(F.lit(s["name"]).alias("segment"), F.to_json(F.struct(*rows.columns)).alias("json"))
+            out = one if out is None else out.unionByName(one)
+        if out is None:
+            raise FileNotFoundError(f"no index at {self.path}")
+        return out
+
 
 def _field(x: dict) -> Field:
     return fields_.Field(**x)

@@ -1,5 +1,6 @@
 """Index directories: versions, segments, deletes, merges, streams; fields and their values."""
 
+import json
 import math
 import struct
 
@@ -56,6 +57,28 @@ def test_versions_append_delete_merge(spark, tmp_path):
     assert store.open().docs.count() == 3
 
 
+def test_segments_apart(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/ix")
+    store.write(docs(spark, 0, 4), "id", FIELDS, segment="a1")
+    store.write(docs(spark, 4, 10), "id", FIELDS, mode="append", segment="b1")
+    assert store.open(only="b").docs.count() == 6 and len(ranked(store.open(), "common")) == 10
+    with pytest.raises(FileNotFoundError):
+        store.open(only="c")
+    got = {(r.segment, (x := json.loads(r.json))["field"]): x["sum_ttf"] for r in store.summary().collect()}
+    assert got == {("a1", "text"): 12, ("a1", "tag"): 4, ("b1", "text"): 18, ("b1", "tag"): 6}
+
+
+def test_every_kind_of_field(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(4):
+        (tmp_path / "in" / f"doc_{i}.txt").write_text(f"some words {i}\n" * (i + 1))
+    store = Store(spark, f"file://{tmp_path}/ix")
+    store.write(corpora.all_fields(corpora.text_files(spark, f"{tmp_path}/in")), "path", corpora.ALL_FIELDS)
+    by = {r.field: r for r in ixs.summary(store.open()).collect()}
+    assert len(by) == 23 and by["contents"].sum_ttf == 30 and by["contents"].vector_docs == 4 and by["sparse_count"].dv_docs == 2
+    assert by["location"].point_docs == by["double_range"].point_docs == by["path"].dv_docs == 4 and by["features"].sum_df == 8
+
+
 def test_term_filter_reaches_the_scan(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/ix")
     store.write(docs(spark, 0, 50), "id", FIELDS)
