@@ -209,7 +209,7 @@ def term_stats(s, d):
 
 @register("collection_stats", f"{_P} SELECT (SELECT count(*) FROM documents) AS max_doc, count(DISTINCT doc) AS doc_count, sum(tf)::BIGINT AS sum_ttf, count(*) AS sum_df, count(DISTINCT term) AS term_count FROM post")
 def collection_stats(s, d):
-    return documents(s, d).stats.where("field = 'text'").select("max_doc", "doc_count", "sum_ttf", "sum_df", "term_count")
+    return documents(s, d).full_stats().where("field = 'text'").select("max_doc", "doc_count", "sum_ttf", "sum_df", "term_count")
 
 
 @register("norms", f"{_P} SELECT doc, dl AS dl, {sql.q('dl')}::INTEGER AS dl_q FROM dl")

@@ -28,6 +28,10 @@ class SearchIndex:
     deleted: DataFrame | None = None
     extra: dict = dc_field(default_factory=dict)
 
+    def full_stats(self) -> DataFrame:
+        """stats with term_count, which is counted over the terms of all segments."""
+        return self.stats.join(self.terms.groupBy("field").agg(F.count("*").alias("term_count")), "field")
+
     def field(self, name: str) -> Field:
         for f in self.fields:
             if f.name == name:
@@ -91,10 +95,10 @@ def term_table(postings: DataFrame) -> DataFrame:
 
 
 def stat_table(postings: DataFrame, terms: DataFrame, max_doc: int) -> DataFrame:
-    """One row per field: max_doc, doc_count, sum_ttf, sum_df, term_count, min_term, max_term."""
+    """One row per field: max_doc, doc_count, sum_ttf, sum_df, min_term, max_term."""
     by_doc = postings.groupBy("field", "doc").agg(F.count("*").alias("n")).groupBy("field").agg(F.count("*").alias("doc_count"))
-    of_terms = terms.groupBy("field").agg(F.sum("ttf").alias("sum_ttf"), F.sum("df").alias("sum_df"), F.count("*").alias("term_count"), F.min("term").alias("min_term"), F.max("term").alias("max_term"))
-    return of_terms.join(by_doc, "field").select("field", F.lit(max_doc).cast("long").alias("max_doc"), "doc_count", "sum_ttf", "sum_df", "term_count", "min_term", "max_term")
+    of_terms = terms.groupBy("field").agg(F.sum("ttf").alias("sum_ttf"), F.sum("df").alias("sum_df"), F.min("term").alias("min_term"), F.max("term").alias("max_term"))
+    return of_terms.join(by_doc, "field").select("field", F.lit(max_doc).cast("long").alias("max_doc"), "doc_count", "sum_ttf", "sum_df", "min_term", "max_term")
 
 
 def with_doc(df: DataFrame, key: str | list[str]) -> DataFrame:
@@ -181,6 +185,6 @@ def summary(index: SearchIndex) -> DataFrame:
         out = out.unionByName(r)
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     held = lambda flag, name: F.when(F.col(flag), F.coalesce("doc_count", F.lit(0))).otherwise(0).cast("long").alias(name)
-    return out.join(index.stats, "field", "left").select(
+    return out.join(index.full_stats(), "field", "left").select(
         "field", "level", "norms", "vectors", "doc_values", "dv_docs", "point_docs", held("norms", "norm_docs"), held("vectors", "vector_docs"), *map(zero, ("term_count", "sum_ttf", "sum_df", "doc_count"))
     )

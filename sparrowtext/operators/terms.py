@@ -28,4 +28,4 @@ def seek_ceil(index: SearchIndex, field: str, term: str) -> DataFrame:
 
 
 def bounds(index: SearchIndex, field: str) -> DataFrame:
-    return index.stats.where(F.col("field") == field).select("min_term", "max_term", "term_count")
+    return index.full_stats().where(F.col("field") == field).select("min_term", "max_term", "term_count")

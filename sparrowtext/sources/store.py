@@ -4,8 +4,8 @@
 <dir>/segments_<N>                                   JSON; the highest N is the index
 
 A commit writes its tables first and then renames the new list into place, so a reader sees a whole
-version or the one before. Statistics are summed over segments, so scores don't hang on how
-documents were dealt to segments. Postings are range-partitioned and sorted by (field, term, doc):
+version or the one before. The list holds each segment's statistics by field; an index's are their
+sums, so opening one runs no job, and scores don't hang on how documents were dealt to segments. Postings are range-partitioned and sorted by (field, term, doc):
 a search reads the row groups of its terms.
 """
 
@@ -22,6 +22,8 @@ from ..operators import fields as fields_
 from ..operators.index import POSTINGS, SearchIndex, all_postings, stat_table, summary, term_table, with_doc
 from ..operators.fields import Field, checked
 
+STATS = "field string, max_doc long, doc_count long, sum_ttf long, sum_df long, min_term string, max_term string"
+
 
 class Store:
     def __init__(self, spark: SparkSession, path: str):
@@ -72,7 +74,9 @@ class Store:
         post.write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{base}/postings")
         post = self.spark.read.schema(POSTINGS).parquet(f"{base}/postings")
         term_table(post).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{base}/terms")
-        return {"name": name, "max_doc": n}
+        terms = self.spark.read.parquet(f"{base}/terms")
+        stats = [r.asDict() for r in stat_table(post, terms, n).drop("max_doc").collect()]  # a row per field
+        return {"name": name, "max_doc": n, "stats": stats}
 
     def write(self, df: DataFrame, key, fields: list[Field], mode: str = "overwrite", segment: str | None = None) -> int | None:
         """Index df as a new segment; overwrite starts anew, append adds. None if there was no document.
@@ -115,9 +119,7 @@ class Store:
             terms = terms.groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("ttf").alias("ttf"))
         deleted = self.spark.read.parquet(*[f"{self.path}/{d}" for d in now["deletes"]]).distinct() if now["deletes"] else None
         fields = [_field(f) for f in now["fields"]]
-        stats = stat_table(post, terms, sum(s["max_doc"] for s in now["segments"]))
-        # one row per field: kept as rows, so that no search counts again
-        stats = self.spark.createDataFrame(stats.collect(), stats.schema)
+        stats = self.spark.createDataFrame(_summed(now["segments"]), STATS)
         return SearchIndex(self.spark, fields, docs, post, terms, stats, deleted)
 
     def summary(self) -> DataFrame:
@@ -132,5 +134,16 @@ class Store:
         return out
 
 
+def _summed(segments: list[dict]) -> list[tuple]:
+    """The statistics of all segments by field. Terms compare by code points, which is their bytes' order."""
+    by: dict[str, list[dict]] = {}
+    for s in segments:
+        for x in s["stats"]:
+            by.setdefault(x["field"], []).append(x)
+    max_doc = sum(s["max_doc"] for s in segments)
+    total = lambda xs, k: sum(x[k] for x in xs)
+    return [(f, max_doc, total(xs, "doc_count"), total(xs, "sum_ttf"), total(xs, "sum_df"), min(x["min_term"] for x in xs), max(x["max_term"] for x in xs)) for f, xs in by.items()]
+
+
 def _field(x: dict) -> Field:
     return fields_.Field(**x)

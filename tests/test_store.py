@@ -79,6 +79,21 @@ def test_every_kind_of_field(spark, tmp_path):
     assert by["location"].point_docs == by["double_range"].point_docs == by["path"].dv_docs == 4 and by["features"].sum_df == 8
 
 
+def test_opening_runs_no_job(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/ix")
+    store.write(docs(spark, 0, 9), "id", FIELDS, segment="a")
+    store.write(docs(spark, 9, 30), "id", FIELDS, mode="append", segment="b")
+    whole = ixs.build(docs(spark, 0, 30), "id", FIELDS).stats
+    columns = store.open().stats.columns
+    assert sorted(map(tuple, store.open().stats.collect())) == sorted(map(tuple, whole.select(*columns).collect()))
+    spark.sparkContext.setJobGroup("opening", "")
+    ix = store.open()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert ix.stats.columns == columns
+    # listing file footers for the schema is all that may run
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("opening")) <= 2
+
+
 def test_term_filter_reaches_the_scan(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/ix")
     store.write(docs(spark, 0, 50), "id", FIELDS)
@@ -98,6 +113,7 @@ def test_stream(spark, tmp_path):
 
 def test_terms(spark):
     ix = ixs.build(docs(spark, 0, 6), "id", FIELDS, cache=True)
+    assert ix.full_stats().where("field = 'text'").first().term_count == 10
     assert [r.term for r in tm.terms(ix, "text", "w").collect()] == ["word0", "word1", "word2"]
     assert tm.seek_exact(ix, "text", "common").first().df == 6 and tm.seek_exact(ix, "text", "nope").count() == 0
     assert [tuple(tm.seek_ceil(ix, "text", t).first()) for t in ("word1", "worc", "x")] == [("FOUND", "word1"), ("NOT_FOUND", "word0"), ("END", None)]
