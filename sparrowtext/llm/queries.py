@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.corpora import spread
 from . import chat_format, decontaminate, license_scan, packing, page_text, quality_rules, secret_scan, simhash_dedup, suffix_tree_lm, warc_zstd
 
 TOKENIZER = "word_bpe_49k.json"
@@ -13,7 +14,7 @@ CAPACITY = 2048
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_best_fit_packing(spark, sf_dir):
