@@ -293,12 +293,12 @@ def term_vectors(s, d):
 
 @register("analyze_standard", f"WITH {_LISTS} SELECT doc, len(l) AS n, array_to_string(l, ' ') AS tokens FROM lists")
 def analyze_standard(s, d):
-    return table(s, d, "documents").select(F.col("doc_id").alias("doc"), analysis.standard(F.col("text")).alias("t")).select("doc", F.size("t").cast("long").alias("n"), F.array_join("t", " ").alias("tokens"))
+    return corpora.spread(table(s, d, "documents")).select(F.col("doc_id").alias("doc"), analysis.standard(F.col("text")).alias("t")).select("doc", F.size("t").cast("long").alias("n"), F.array_join("t", " ").alias("tokens"))
 
 
 @register("analyze_unicode")
 def analyze_unicode(s, d):
-    return table(s, d, "documents").select(F.col("doc_id").alias("doc"), analysis.unicode(F.col("text")).alias("t")).select("doc", F.size("t").cast("long").alias("n"), F.array_join("t", " ").alias("tokens"))
+    return corpora.spread(table(s, d, "documents")).select(F.col("doc_id").alias("doc"), analysis.unicode(F.col("text")).alias("t")).select("doc", F.size("t").cast("long").alias("n"), F.array_join("t", " ").alias("tokens"))
 
 
 @register("analyze_keyword", "SELECT event_id AS doc, event_type AS term FROM events WHERE event_type IS NOT NULL")

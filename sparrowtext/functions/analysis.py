@@ -14,20 +14,26 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MAX_TOKEN = 255
-_WORD = r"[\p{IsAlphabetic}\p{N}_]"
-STANDARD = rf"{_WORD}+(?:['’][\p{{IsAlphabetic}}\p{{N}}]{_WORD}*)*"
+#: Common characters come first and quantifiers are possessive: what may follow a run is never part of it.
+_WORD = r"[a-z0-9_\p{IsAlphabetic}\p{N}]"
+STANDARD = rf"{_WORD}++(?:['’][a-z0-9\p{{IsAlphabetic}}\p{{N}}]{_WORD}*+)*+"
 _CJK = r"\p{IsIdeographic}\p{IsHiragana}\p{IsKatakana}"
 _LETTER = rf"[\p{{IsAlphabetic}}\p{{M}}&&[^{_CJK}]]"
-_RUN = rf"(?:[\p{{IsAlphabetic}}\p{{M}}\p{{Nd}}_&&[^{_CJK}]]+|[\p{{IsKatakana}}ー]+)"
-UNICODE = rf"{_RUN}(?:(?:(?<={_LETTER})[:·.'’‘](?={_LETTER})|(?<=\p{{Nd}})[,;.'’‘](?=\p{{Nd}})){_RUN})*|[\p{{IsIdeographic}}\p{{IsHiragana}}]"
+_RUN = rf"(?:[\p{{IsAlphabetic}}\p{{M}}\p{{Nd}}_&&[^{_CJK}]]++|[\p{{IsKatakana}}ー]++)"
+UNICODE = rf"{_RUN}(?:(?:(?<={_LETTER})[:·.'’‘](?={_LETTER})|(?<=\p{{Nd}})[,;.'’‘](?=\p{{Nd}})){_RUN})*+|[\p{{IsIdeographic}}\p{{IsHiragana}}]"
 
 
 def _all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
 
 
+def ascii_lower(text: Column) -> Column:
+    """A-Z lower-cased, all else as it is; a text of ASCII alone takes the faster lower()."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
 def standard(text: Column) -> Column:
-    return F.transform(_all(F.translate(text, UPPER, LOWER), STANDARD), lambda t: F.substring(t, 1, MAX_TOKEN))
+    return F.transform(_all(ascii_lower(text), STANDARD), lambda t: F.substring(t, 1, MAX_TOKEN))
 
 
 def unicode(text: Column) -> Column:
@@ -50,6 +56,6 @@ def pieces(text: Column, analyzer: str = "standard") -> tuple[Column, Column]:
     """(raw tokens, gaps around them) for byte offsets; standard and unicode only. The unicode
     analyzer's offsets refer to the lower-cased text."""
     pattern = {"standard": STANDARD, "unicode": UNICODE}[analyzer]
-    folded = F.lower(text) if analyzer == "unicode" else F.translate(text, UPPER, LOWER)
+    folded = F.lower(text) if analyzer == "unicode" else ascii_lower(text)
     folded = F.coalesce(folded, F.lit(""))
     return _all(folded, pattern), F.split(folded, pattern, -1)
