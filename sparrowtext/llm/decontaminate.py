@@ -83,7 +83,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     keys = in_item.withColumn("key", rest >= F.lit(similarity * (1 - 1e-9)) * F.sum(weight).over(of_item)).where("key").select("h", "size", "item_id")
 
     def placed(rows: DataFrame, size: int, *more: str) -> DataFrame:
-        return rows.select("doc_id", "text_hash", *more, F.size("w").alias("len"), F.posexplode(_placed_shingles(F.col("w"), size)).alias("p", "h"))
+        # outer, as the plain form makes Spark compute the shingles a second time, to filter empty arrays
+        return rows.select("doc_id", "text_hash", *more, F.size("w").alias("len"), F.posexplode_outer(_placed_shingles(F.col("w"), size)).alias("p", "h")).where("p IS NOT NULL")
 
     key = [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash")]
     words = docs.select(*key, words_of(ascii_lower(F.col(text_col))).alias("w"))

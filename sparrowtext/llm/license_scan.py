@@ -73,7 +73,7 @@ def own_licences(files: DataFrame, id_col: str, text_col: str, path_col: str, te
     vocabulary = sorted(r.term for r in tmpl.select("term").distinct().collect())  # the templates' terms alone
     held = F.array(*[F.lit(t) for t in vocabulary])
     texts = files.select(F.col(text_col).alias("t"))
-    seen = texts.select(F.explode(F.array_intersect(F.split(ascii_lower(F.coalesce("t", F.lit(""))), NOT_TERM), held)).alias("term"))
+    seen = texts.select(F.explode_outer(F.array_intersect(F.split(ascii_lower(F.coalesce("t", F.lit(""))), NOT_TERM), held)).alias("term")).where("term IS NOT NULL")
     df = seen.groupBy("term").agg(F.count("*").alias("df"))
     n = files.count()
     idf = cut(tmpl.select("term").distinct().join(df, "term", "left").select("term", F.log1p(F.lit(float(n)) / (1 + F.coalesce("df", F.lit(0)))).alias("idf")), "idf")

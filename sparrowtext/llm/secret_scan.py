@@ -166,7 +166,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: f
 def redact(docs: DataFrame, text_col: str = "text", fdr: float = 0.001, mask: str = "[SECRET]") -> DataFrame:
     """docs with every span masked; n_chars, if there is one, follows. Other rows stay as they are."""
     t = _clean(text_col)
-    seen = docs.select(_lone(candidates(t), base_spans(t)).alias("c")).select(F.explode("c").alias("x")).select("x.c", "x.z")
+    seen = docs.select(_lone(candidates(t), base_spans(t)).alias("c"))
+    # outer, as the plain form makes Spark search a second time, to filter empty arrays
+    seen = seen.select(F.explode_outer("c").alias("x")).where("x IS NOT NULL").select("x.c", "x.z")
     cuts = cutoffs(seen, fdr)
     base, spans = fresh(docs, "_base"), fresh(docs, "_spans")
     found = docs.withColumn(base, base_spans(t))
