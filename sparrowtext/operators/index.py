@@ -43,10 +43,11 @@ def _tokenized(docs: DataFrame, f: Field) -> DataFrame:
     """term, doc, pos, dl (tokens of the document) and, at level offsets, byte start and length."""
     if f.level != "offsets":
         toks = docs.select("doc", analysis.ANALYZERS[f.analyzer](F.col(f.source)).alias("t"))
-        return toks.select("doc", F.size("t").alias("dl"), F.posexplode("t").alias("pos", "term"))
+        # outer, as the plain form makes Spark tokenize a second time, to filter empty arrays
+        return toks.select("doc", F.size("t").alias("dl"), F.posexplode_outer("t").alias("pos", "term")).where("pos IS NOT NULL")
     raw, gaps = analysis.pieces(F.col(f.source), f.analyzer)
     both = docs.select("doc", raw.alias("t"), gaps.alias("g"))
-    at = both.select("doc", F.size("t").alias("dl"), F.posexplode(F.arrays_zip("t", F.slice("g", 1, F.size("t")).alias("g"))).alias("pos", "x"))
+    at = both.select("doc", F.size("t").alias("dl"), F.posexplode_outer(F.arrays_zip("t", F.slice("g", 1, F.size("t")).alias("g"))).alias("pos", "x")).where("pos IS NOT NULL")
     w = Window.partitionBy("doc").orderBy("pos")
     rows = at.select("doc", "dl", "pos", F.col("x.t").alias("raw"), F.octet_length("x.g").alias("gap"))
     start = F.sum(F.col("gap") + F.octet_length("raw")).over(w) - F.octet_length("raw")

@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from ..operators import fields as fields_
 from ..operators.index import POSTINGS, SearchIndex, all_postings, stat_table, summary, term_table, with_doc
 from ..operators.fields import Field, checked
-from .corpora import spread
 
 STATS = "field string, max_doc long, doc_count long, sum_ttf long, sum_df long, min_term string, max_term string"
 
@@ -71,7 +70,8 @@ class Store:
         if not n:
             self._fs.delete(self._at(f"segments/{name}"), True)
             return None
-        post = all_postings(spread(docs), fields).repartitionByRange("field", "term", "doc").sortWithinPartitions("field", "term", "doc")
+        # a document's tokens stay in its task: they are grouped without another shuffle
+        post = all_postings(docs.repartition("doc"), fields).repartitionByRange("field", "term", "doc").sortWithinPartitions("field", "term", "doc")
         post.write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{base}/postings")
         post = self.spark.read.schema(POSTINGS).parquet(f"{base}/postings")
         term_table(post).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{base}/terms")
