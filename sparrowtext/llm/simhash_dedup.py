@@ -80,18 +80,19 @@ def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     if radius > 3:
         raise ValueError("two segments with one wildcard cover a radius of at most 3")
-    keyed = classes.select("fp", F.explode(F.expr("sequence(0, 63)")).alias("v")).select(
-        "fp", "v", F.expr("CASE WHEN v < 32 THEN fp & 4294967295L ELSE shiftrightunsigned(fp, 32) END & ~shiftleft(1L, v % 32)").alias("rest")
+    # one number as the key: the variant above bit 32, the segment without the wildcard below
+    keyed = classes.select("fp", F.explode(F.expr("sequence(0L, 63L)")).alias("v")).select(
+        "fp", F.expr("shiftleft(v, 32) | CASE WHEN v < 32 THEN fp & 4294967295L ELSE shiftrightunsigned(fp, 32) END & ~shiftleft(1L, CAST(v % 32 AS int))").alias("key")
     )
+    differ, low, high = "(x.fp ^ y.fp)", "((x.fp ^ y.fp) & 4294967295L)", "shiftrightunsigned(x.fp ^ y.fp, 32)"
+    wild = "shiftleft(1L, CAST(shiftright(x.key, 32) % 32 AS int))"
+    # of a segment that is equal in both the first variant counts, else that of the bit that differs
+    first = lambda part, v: f"({part} = {wild} OR {part} = 0L AND shiftright(x.key, 32) = {v})"
     return (
         keyed.alias("x")
         .join(keyed.alias("y"), F.expr(f"""
-            x.v = y.v AND x.rest = y.rest AND x.fp < y.fp AND bit_count(x.fp ^ y.fp) <= {radius}
-            AND CASE WHEN x.v < 32 THEN
-                    (x.fp ^ y.fp) & 4294967295L = CASE WHEN x.v = 0 THEN (x.fp ^ y.fp) & 1L ELSE shiftleft(1L, x.v) END
-                ELSE bit_count((x.fp ^ y.fp) & 4294967295L) > 1
-                    AND shiftrightunsigned(x.fp ^ y.fp, 32) = CASE WHEN x.v = 32 THEN shiftrightunsigned(x.fp ^ y.fp, 32) & 1L ELSE shiftleft(1L, x.v - 32) END
-                END"""))
+            x.key = y.key AND x.fp < y.fp AND bit_count({differ}) <= {radius}
+            AND CASE WHEN shiftright(x.key, 32) < 32 THEN {first(low, 0)} ELSE bit_count({low}) > 1 AND {first(high, 32)} END"""))
         .select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     )
 
