@@ -11,8 +11,8 @@ are cut into `radius` + 1 blocks; by the pigeonhole principle an equality join o
 every window within `radius` bits of its item, and each such pair is verified by the exact weighted
 Jaccard similarity of the shingles. A pair that agrees in several blocks passes in the first only.
 
-At similarity 0.8 the fingerprints differ in about 10 bits, with a deviation of 3. The radius of 23
-leaves out one such pair in some 100,000; 15 would leave out one in 30.
+At similarity 0.8 the fingerprints should differ in about 10 bits, with a deviation of 3: by the normal
+approximation a radius of 23 leaves out fewer than one such pair in 100,000, and 15 about one in 30.
 
 Everything is built-in functions. The items' shingles are broadcast only after a count shows them
 under `broadcast_rows`; beyond, the join shuffles. Windows come back to their documents by a table
