@@ -9,10 +9,11 @@ classes. For the encoding that such a run's characters suggest (hex, base32, bas
 base64) it takes (1) chi-squared for a uniform alphabet, as the index of coincidence
 IC = (X2 + n - k) / (k (n - 1)), against that of readable names, (2) the runs of character classes,
 (3) the serial correlation of neighbouring codes. Each becomes a z score of "more random than a
-readable name", scaled by the run's length; Stouffer's sum of the three is the evidence. Over all
-runs of a length class the Benjamini-Hochberg rule at level fdr sets the cutoff; its p-values are
-counted by steps of 0.05 in z, rounded down, which is on the safe side. The counts have at most
-4 * 601 rows; nothing else leaves the executors.
+readable name", scaled by the run's length; Stouffer's sum of the three is the evidence. Over the
+distinct runs of a length class (told apart by a 64-bit hash; copies are no tests of their own) the
+Benjamini-Hochberg rule at level fdr sets the cutoff, which then holds for every occurrence; its
+p-values are counted by steps of 0.05 in z, rounded down, which is on the safe side. The counts
+have at most 4 * 601 rows; nothing else leaves the executors.
 
 Spans are code points, end exclusive; an added span overlaps no base span.
 
@@ -109,11 +110,11 @@ def evidence(m: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Runs that mix at least two of lower case, upper case and digits, with their evidence (z) and length class (c)."""
+    """Runs that mix at least two of lower case, upper case and digits, with their evidence (z), length class (c) and hash (h)."""
     mixed = lambda x: (x["m"].rlike("[a-z]").cast("int") + x["m"].rlike("[A-Z]").cast("int") + x["m"].rlike("[0-9]").cast("int")) >= 2
     at = F.filter(_found(text, TOKEN, 3), mixed)
     cls = lambda n: sum(((n >= c).cast("int") for c in CLASSES[1:]), F.lit(0))
-    return F.transform(at, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["m"].alias("m"), evidence(x["m"]).alias("z"), cls(F.length(x["m"])).alias("c")))
+    return F.transform(at, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["m"].alias("m"), evidence(x["m"]).alias("z"), cls(F.length(x["m"])).alias("c"), F.xxhash64(x["m"]).alias("h")))
 
 
 def _lone(cands: Column, base: Column) -> Column:
@@ -121,8 +122,9 @@ def _lone(cands: Column, base: Column) -> Column:
 
 
 def cutoffs(cands: DataFrame, fdr: float) -> list[float]:
-    """Smallest z that counts as a discovery, per length class, from rows (c, z): Benjamini-Hochberg."""
-    steps = cands.select("c", F.floor(F.greatest(F.lit(-15.0), F.least(F.lit(15.0), F.col("z"))) * 20).alias("step")).groupBy("c", "step").agg(F.count("*").alias("n"))
+    """Smallest z that counts as a discovery, per length class, from rows (c, z, h: the run's hash): Benjamini-Hochberg over distinct runs."""
+    step = F.floor(F.greatest(F.lit(-15.0), F.least(F.lit(15.0), F.col("z"))) * 20).alias("step")
+    steps = cands.select("c", step, "h").distinct().groupBy("c", "step").agg(F.count("*").alias("n"))
     w = Window.partitionBy("c")
     ranked = steps.withColumn("i", F.sum("n").over(w.orderBy(F.desc("step")))).withColumn("m", F.sum("n").over(w)).withColumn("p", F.expr(_normal_tail("(step / 20D)")))
     found = {r.c: r.z for r in ranked.where(F.col("p") <= F.lit(fdr) * F.col("i") / F.col("m")).groupBy("c").agg((F.min("step") / 20).alias("z")).collect()}
@@ -154,7 +156,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: f
     first = docs.select(F.col(id_col).cast("long").alias("doc_id"), _clean(text_col).alias("t"))
     first = first.select("doc_id", base_spans(F.col("t")).alias("base"), candidates(F.col("t")).alias("c"))
     first = cut(first.select("doc_id", _plain(F.col("base")).alias("base"), F.transform(_lone(F.col("c"), F.col("base")), lambda x: x.dropFields("m")).alias("c")), "spans")
-    cuts = cutoffs(first.select(F.explode("c").alias("x")).select("x.c", "x.z"), fdr)
+    cuts = cutoffs(first.select(F.explode("c").alias("x")).select("x.c", "x.z", "x.h"), fdr)
     marked = first.select("doc_id", "base", _chosen(F.col("c"), cuts).alias("more"))
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
     return marked.select(
@@ -168,7 +170,7 @@ def redact(docs: DataFrame, text_col: str = "text", fdr: float = 0.001, mask: st
     t = _clean(text_col)
     seen = docs.select(_lone(candidates(t), base_spans(t)).alias("c"))
     # outer, as the plain form makes Spark search a second time, to filter empty arrays
-    seen = seen.select(F.explode_outer("c").alias("x")).where("x IS NOT NULL").select("x.c", "x.z")
+    seen = seen.select(F.explode_outer("c").alias("x")).where("x IS NOT NULL").select("x.c", "x.z", "x.h")
     cuts = cutoffs(seen, fdr)
     base, spans = fresh(docs, "_base"), fresh(docs, "_spans")
     found = docs.withColumn(base, base_spans(t))

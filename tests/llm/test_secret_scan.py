@@ -86,6 +86,14 @@ def test_battery_tells_random_from_readable(spark):
         assert len(rows[i][1][s:e]) == 40
 
 
+def test_copies_are_no_tests_of_their_own(spark):
+    r, alphabet = random.Random(5), string.ascii_letters + string.digits
+    rows = [(i, f"see {name}V1a and {''.join(r.choices(alphabet, k=20))} here") for i, name in enumerate(["internalResponseHandler", "customerFactoryService", "defaultConfigurationName"])]
+    copies = spark.range(100, 60_100).select(F.col("id").alias("doc_id"), F.lit("the internalCustomerServiceV2 again").alias("text"))
+    got = ss.scan(copies.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))).where("n_random > 0").collect()
+    assert sorted(x.doc_id for x in got) == [0, 1, 2] and all(x.n_random == 1 for x in got)
+
+
 @pytest.mark.parametrize("z, p", [(0.0, 0.5), (1.0, 0.158655), (3.0, 0.001350), (-1.0, 0.841345), (5.0, 2.8665e-7)])
 def test_normal_tail(spark, z, p):
     got = spark.range(1).select(F.expr(ss._normal_tail(f"CAST({z} AS double)"))).first()[0]
