@@ -7,7 +7,7 @@ there and summing lengths: only built-in functions, no Python.
 The battery looks at other runs of 20 or more characters of [A-Za-z0-9+/_-] that mix character
 classes. For the encoding that such a run's characters suggest (hex, base32, base36, base62,
 base64) it takes (1) chi-squared for a uniform alphabet, as the index of coincidence
-IC = (X2 + n - k) / (k (n - 1)), against that of readable names, (2) the runs of character classes,
+IC = (X2 + n - k) / (k (n - 1)), against that of readable runs of the same alphabet, (2) the runs of character classes,
 (3) the serial correlation of neighbouring codes. Each becomes a z score of "more random than a
 readable name", scaled by the run's length; Stouffer's sum of the three is the evidence. Over the
 distinct runs of a length class (told apart by a 64-bit hash; copies are no tests of their own) the
@@ -40,6 +40,11 @@ MARK, OTHER, BLOCK = "\ue000", "\ue001", 128
 CLASSES = (20, 28, 40, 64)
 #: How often the class changes from character to character in names like readTimeoutV2 (random base 62: 0.62).
 CHANGES = 0.2
+#: Coincidence of readable runs and its variance's terms in 1 / (n (n - 1)) and 1 / n: 2 (s2 - s2^2) and 4 (s3 - s2^2)
+#: with s2, s3 the sums of squares and cubes of the characters' shares (READABLE's 0.13 leaves s2^2 out). Of names, whose
+#: alphabet of 32 or more spells any letter; and of readable hex digits: half a to f as often as in English, half digits
+#: as Benford's law has leading ones, with a zero in eight. Uniform hex has 0.0625, so names' 0.065 cannot tell it.
+READABLE, HEX_READABLE = (0.065, 0.13, 0.0052), (0.101, 0.1815, 0.0155)
 SPAN = "array<struct<s:int,k:int,e:int,m:string>>"
 
 
@@ -96,7 +101,8 @@ def evidence(m: Column) -> Column:
     )
     x2 = k / n * squares - n
     coincidence = (x2 + n - k) / (k * (n - 1))
-    z_uniform = (F.lit(0.065) - coincidence) / F.sqrt(F.lit(0.13) / (n * (n - 1)) + F.lit(0.0052) / n)
+    null = lambda i: F.when(k == 16, HEX_READABLE[i]).otherwise(READABLE[i])
+    z_uniform = (null(0) - coincidence) / F.sqrt(null(1) / (n * (n - 1)) + null(2) / n)
     changes = F.length(F.regexp_replace(m, "[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+", "x")) - 1
     z_runs = (changes - F.lit(CHANGES) * (n - 1)) / F.sqrt(F.lit(CHANGES * (1 - CHANGES)) * (n - 1))
     codes = F.transform(chars, lambda c: F.ascii(c).cast("double"))

@@ -94,6 +94,19 @@ def test_copies_are_no_tests_of_their_own(spark):
     assert sorted(x.doc_id for x in got) == [0, 1, 2] and all(x.n_random == 1 for x in got)
 
 
+def test_short_hex_keys_among_readable_runs(spark):
+    r = random.Random(6)
+    names = ["internal", "customer", "Response", "handler", "2024", "Service", "factory", "v2", "configuration", "Default"]
+    keys = ["".join(r.choices("0123456789abcdef" if i % 2 else "0123456789ABCDEF", k=r.randint(20, 31))) for i in range(600)]
+    readable = ["".join(r.choices(names, k=3)) + f"V{i}aLonger" for i in range(400)]
+    runs = spark.createDataFrame([(m, int(len(m) >= 28), i < len(keys)) for i, m in enumerate(keys + readable)], "m string, c int, secret boolean")
+    runs = runs.select("c", "secret", ss.evidence(F.col("m")).alias("z"), F.xxhash64("m").alias("h")).cache()
+    cuts = ss.cutoffs(runs, 0.001)
+    hit = [(x.secret, x.z >= cuts[x.c]) for x in runs.collect()]
+    caught = sum(s and h for s, h in hit) / len(keys)
+    assert caught >= 0.62 and sum(h for s, h in hit if not s) <= 0.02 * len(readable), (caught, sum(h for s, h in hit if not s))
+
+
 @pytest.mark.parametrize("z, p", [(0.0, 0.5), (1.0, 0.158655), (3.0, 0.001350), (-1.0, 0.841345), (5.0, 2.8665e-7)])
 def test_normal_tail(spark, z, p):
     got = spark.range(1).select(F.expr(ss._normal_tail(f"CAST({z} AS double)"))).first()[0]
