@@ -4,8 +4,8 @@ A page's html is cut into blocks of text (paragraphs, headings, list items, cell
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments, by
 element, role, class or id, are no main text. If the page marks its article (<article>, <main>),
 the main text is the blocks there. Otherwise all other blocks are candidates, and the page is
-differenced: pages are ordered by path within their host, each is paired with the neighbour that
-shares more of the path, their lines are aligned by longest common subsequence, and the lines they
+differenced: pages are ordered by path within their host, consecutive ones with equal lines are one
+run, each run is paired with the neighbouring run that shares more of the path, their lines are aligned by longest common subsequence, and the lines they
 share are deleted. Lines within a marked article are never deleted: there a line shared with a
 neighbour is a quotation or a near copy, not a template (see README).
 
@@ -14,8 +14,8 @@ pages spreads over many tasks; the page at a range's edge takes its neighbour fr
 The places to delete come back by a join that is empty where nothing is to be deleted.
 
 Edge cases: null html gives an empty text; a null URL is a host of its own; pages with equal lines
-are no pair (they'd delete each other); rows with equal id, URL and html share one verdict; one
-page alone in its host keeps all candidates; an empty table gives an empty result.
+in a row are no pair (they'd delete each other) and share one verdict, as do rows with equal id, URL
+and html; one page, or one run, alone in its host keeps all candidates; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,18 +138,41 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return [*range(head), *reversed(mid), *range(len(a) - tail, len(a))]
 
 
-def shared_with_neighbour(prev, row, nxt) -> list[int]:
-    """Places of row's lines to delete. Each argument: (path, line hashes) or None."""
-    def prefix(x) -> int:
+def shared_with_neighbour(prev, run, nxt) -> list[int]:
+    """Places of a run's lines to delete. Each argument: (host, first path, last path, line hashes, ...) or None."""
+    def prefix(a, b) -> int:
         n = 0
-        for p, q in zip(x[0], row[0]):
+        for p, q in zip(a or "", b or ""):
             if p != q:
                 break
             n += 1
         return n
 
-    near = [x for x in (prev, nxt) if x is not None and x[1] != row[1]]
-    return common_lines(row[1], max(near, key=prefix)[1]) if near else []
+    near = []
+    if prev is not None and prev[0] == run[0]:
+        near.append((prefix(prev[2], run[1]), prev[3]))
+    if nxt is not None and nxt[0] == run[0]:
+        near.append((prefix(nxt[1], run[2]), nxt[3]))
+    return common_lines(run[3], max(near, key=lambda x: x[0])[1]) if near else []
+
+
+def runs_of(batches: Iterator) -> Iterator[list]:
+    """Runs of consecutive pages of a host with equal lines: host, first and last path, lines, and (page_id, mark) of its unmarked pages."""
+    import pandas as pd
+
+    run = None
+    for b in batches:
+        for x in b.itertuples(index=False):
+            lines = list(x.lines)
+            if run is None or run[0] != x.host or run[3] != lines:
+                if run is not None:
+                    yield run
+                run = [x.host, x.path, x.path, lines, []]
+            run[2] = x.path
+            if not x.in_article:
+                run[4].append((None if pd.isna(x.page_id) else int(x.page_id), x.mark))
+    if run is not None:
+        yield run
 
 
 def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -180,29 +204,21 @@ def deletions(pages: DataFrame) -> DataFrame:
     where = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)"
     named = pages.select("page_id", "mark", "lines", "in_article", F.lower(F.regexp_extract("url", where, 1)).alias("host"), F.regexp_extract("url", where, 2).alias("path"))
 
-    def pages_of(batches):
-        for b in batches:
-            yield from b.itertuples(index=False)
-        yield None
-
-    def of_host(x, host):
-        return (x.path, list(x.lines)) if x is not None and x.host == host else None
-
     def frame(found: list) -> pd.DataFrame:
         return pd.DataFrame(found, columns=["page_id", "mark", "drop"]).astype({"page_id": "Int64"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        prev = row = None
+        prev = run = None
         found: list[tuple] = []
-        for nxt in pages_of(batches):
-            if row is not None and not row.in_article:
-                drop = shared_with_neighbour(of_host(prev, row.host), of_host(row, row.host), of_host(nxt, row.host))
+        for nxt in chain(runs_of(batches), [None]):
+            if run is not None and run[4]:
+                drop = shared_with_neighbour(prev, run, nxt)
                 if drop:
-                    found.append((None if pd.isna(row.page_id) else int(row.page_id), row.mark, drop))
+                    found += [(*x, drop) for x in run[4]]
             if len(found) >= 2000:
                 yield frame(found)
                 found = []
-            prev, row = row, nxt
+            prev, run = run, nxt
         if found:
             yield frame(found)
 

@@ -93,6 +93,21 @@ def test_neighbours_lose_shared_lines(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+@pytest.fixture
+def ranges(spark):
+    """Sets the number of ranges; afterwards it is as before."""
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    yield lambda n: spark.conf.set("spark.sql.shuffle.partitions", n)
+    spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_copies_in_a_row_share_a_verdict(spark, ranges):
+    rows = [(i, f"http://h.org/a/{i}", page(["same"] if 2 <= i <= 6 else [f"own {i}"])) for i in range(9)]
+    ranges("1")
+    got = pt.extract(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.page_id: r.text for r in got} == {i: "same" if 2 <= i <= 6 else f"own {i}" for i in range(9)}
+
+
 def test_a_host_with_most_pages_spreads(spark):
     rows = [(i, f"http://big.org/s{i % 7}/p{i:05d}", page([f"own {i}", f"more {i}"])) for i in range(3000)]
     got = pt.extract(spark.createDataFrame(rows, SCHEMA).repartition(12)).collect()
