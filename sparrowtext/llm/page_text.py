@@ -10,8 +10,9 @@ share are deleted. Lines within a marked article are never deleted: there a line
 neighbour is a quotation or a near copy, not a template (see README).
 
 Only hashes of the lines are dealt by (host, path), by range, so a host that holds a third of all
-pages spreads over many tasks; the page at a range's edge takes its neighbour from the inner side.
-The places to delete come back by a join that is empty where nothing is to be deleted.
+pages spreads over many tasks. The two runs at either end of each range (four rows of hashes a range)
+go to the driver, which pairs the outermost ones across the borders, so that the pairs are the same
+for any ranges. The places to delete come back by a join that is empty where nothing is to be deleted.
 
 Edge cases: null html gives an empty text; a null URL is a host of its own; pages with equal lines
 in a row are no pair (they'd delete each other) and share one verdict, as do rows with equal id, URL
@@ -49,6 +50,10 @@ WORDS = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 
 
+#: What a range of pages gives: deletions ("drop"); unmarked pages of its outermost runs ("page"), and the two runs at either end ("edge").
+PAIRED = "kind string, range int, at long, page_id long, mark long, drop array<int>, host string, first string, last string, lines array<long>"
+
+
 def _unwanted(tag: str, attrs: str, in_article: bool) -> bool:
     if tag in BOILER and not (tag == "header" and in_article):
         return True
@@ -175,6 +180,27 @@ def runs_of(batches: Iterator) -> Iterator[list]:
         yield run
 
 
+def of_edges(edges: list[tuple]) -> list[tuple]:
+    """(range, at, drop) of the outermost runs of each range, from the two runs at either end of every
+    range, (range, at, host, first path, last path, lines) in order. A run cut by borders is made whole."""
+    last_of = {r[0]: r[1] for r in edges}
+    runs: list[list] = []  # host, first path, last path, lines, its (range, at)
+    before = None
+    for part, at, host, first, last, lines in edges:
+        if before is not None and before[0] != part and runs[-1][0] == host and runs[-1][3] == lines:
+            runs[-1][2] = last
+            runs[-1][4].append((part, at))
+        else:
+            runs.append([host, first, last, lines, [(part, at)]])
+        before = (part, at)
+    out = []
+    for prev, x, nxt in zip([None, *runs], runs, [*runs[1:], None]):
+        outer = [k for k in x[4] if k[1] in (0, last_of[k[0]])]
+        drop = shared_with_neighbour(prev, x, nxt) if outer else []
+        out += [(*k, drop) for k in outer if drop]
+    return out
+
+
 def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, mark (hash of url and html), texts, lines (hashes), in_article."""
     import pandas as pd
@@ -199,31 +225,50 @@ def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
 def deletions(pages: DataFrame) -> DataFrame:
     """page_id, mark, drop (places of lines to delete), of pages that have any, from parsed()."""
     import pandas as pd
+    from pyspark import TaskContext
 
     spark = pages.sparkSession
     where = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)"
     named = pages.select("page_id", "mark", "lines", "in_article", F.lower(F.regexp_extract("url", where, 1)).alias("host"), F.regexp_extract("url", where, 2).alias("path"))
 
     def frame(found: list) -> pd.DataFrame:
-        return pd.DataFrame(found, columns=["page_id", "mark", "drop"]).astype({"page_id": "Int64"})
+        return pd.DataFrame(found, columns=[x.split()[0] for x in PAIRED.split(", ")], dtype=object).astype(dict.fromkeys(("range", "at", "page_id", "mark"), "Int64"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = TaskContext.get().partitionId()
         prev = run = None
         found: list[tuple] = []
-        for nxt in chain(runs_of(batches), [None]):
-            if run is not None and run[4]:
-                drop = shared_with_neighbour(prev, run, nxt)
-                if drop:
-                    found += [(*x, drop) for x in run[4]]
-            if len(found) >= 2000:
-                yield frame(found)
-                found = []
+
+        def edge(at: int, x: list) -> tuple:
+            return ("edge", part, at, None, None, None, *x[:4])
+
+        for at, nxt in enumerate(chain(runs_of(batches), [None]), -1):  # at: run's number
+            if run is not None:
+                outer = at == 0 or nxt is None
+                if outer:
+                    found += [("page", part, at, *x, None, None, None, None, None) for x in run[4]]
+                elif run[4]:
+                    drop = shared_with_neighbour(prev, run, nxt)
+                    if drop:
+                        found += [("drop", None, None, *x, drop, None, None, None, None) for x in run[4]]
+                if at <= 1:
+                    found.append(edge(at, run))
+                if nxt is None:
+                    found += [edge(k, x) for k, x in ((at - 1, prev), (at, run)) if k > 1]
+            while len(found) >= 2000:
+                yield frame(found[:2000])
+                found = found[2000:]
             prev, run = run, nxt
         if found:
             yield frame(found)
 
     dealt = named.repartitionByRange(shuffle_partitions(spark), "host", "path", "page_id", "mark").sortWithinPartitions("host", "path", "page_id", "mark")
-    return dealt.mapInPandas(run, "page_id long, mark long, drop array<int>")
+    paired = cut(dealt.mapInPandas(run, PAIRED), "pairs")
+    edges = [tuple(r) for r in paired.where("kind = 'edge'").select("range", "at", "host", "first", "last", "lines").orderBy("range", "at").collect()]
+    late = spark.createDataFrame(of_edges(edges), "range int, at long, drop array<int>")
+    pages_of_edges = paired.where("kind = 'page'").select("range", "at", "page_id", "mark").join(F.broadcast(late), ["range", "at"])
+    columns = ("page_id", "mark", "drop")
+    return paired.where("kind = 'drop'").select(*columns).unionByName(pages_of_edges.select(*columns))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

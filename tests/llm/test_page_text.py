@@ -108,6 +108,32 @@ def test_copies_in_a_row_share_a_verdict(spark, ranges):
     assert {r.page_id: r.text for r in got} == {i: "same" if 2 <= i <= 6 else f"own {i}" for i in range(9)}
 
 
+def by_hand(rows):
+    """page_id -> text, of pages with paths of their own, all on one machine."""
+    runs = []
+    for i, url, html in sorted(rows, key=lambda r: r[1]):
+        host, path, lines = url.split("/")[2], "/" + url.split("/", 3)[3], text_of(html).split("\n")
+        if runs and runs[-1][0] == host and runs[-1][3] == lines:
+            runs[-1][2] = path
+        else:
+            runs.append([host, path, path, lines, []])
+        runs[-1][4].append(i)
+    out = {}
+    for prev, run, nxt in zip([None, *runs], runs, [*runs[1:], None]):
+        drop = pt.shared_with_neighbour(prev, run, nxt)
+        out |= {i: "\n".join(x for k, x in enumerate(run[3]) if k not in drop) for i in run[4]}
+    return out
+
+
+@pytest.mark.parametrize("n", ["1", "7", "90"])
+def test_pairs_do_not_hang_on_the_ranges(spark, ranges, n):
+    rows = [(i, f"http://h{i // 40}.org/{i % 40 // 6}/{i:03d}", page(["same"] if 20 <= i < 35 else [f"own {i}", f"of section {i // 6}"])) for i in range(100)]
+    ranges(n)
+    got = pt.extract(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = by_hand(rows)
+    assert {r.page_id: r.text for r in got} == want and all("Site name" not in x for x in want.values())
+
+
 def test_a_host_with_most_pages_spreads(spark):
     rows = [(i, f"http://big.org/s{i % 7}/p{i:05d}", page([f"own {i}", f"more {i}"])) for i in range(3000)]
     got = pt.extract(spark.createDataFrame(rows, SCHEMA).repartition(12)).collect()
