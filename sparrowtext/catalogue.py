@@ -285,6 +285,13 @@ def postings_offsets(s, d):
     return post.select("term", "doc", F.explode(F.arrays_zip("positions", "starts", "lens")).alias("x")).select("term", "doc", F.col("x.positions").alias("pos"), F.col("x.starts").alias("start"), F.col("x.lens").alias("len"))
 
 
+@register("postings_offsets_text")  # whole texts; no SQL: the list sums above are quadratic in a text's tokens
+def postings_offsets_text(s, d):
+    docs = ixs.with_doc(corpora.spread(table(s, d, "documents")), "doc_id")
+    post = ixs.field_postings(docs, fd.text("text", level="offsets"))
+    return post.select("term", "doc", F.explode(F.arrays_zip("positions", "starts", "lens")).alias("x")).select("term", "doc", F.col("x.positions").alias("pos"), F.col("x.starts").alias("start"), F.col("x.lens").alias("len"))
+
+
 @register("term_vectors", f"WITH {_LISTS}, g AS (SELECT doc, term, count(*) AS tf FROM placed GROUP BY doc, term) SELECT doc, count(*) AS n_terms, string_agg(term || ':' || tf, ' ' ORDER BY term) AS vector FROM g GROUP BY doc")
 def term_vectors(s, d):
     tv = ixs.term_vectors(documents(s, d).postings.where("field = 'text'"))

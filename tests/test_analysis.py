@@ -1,8 +1,12 @@
 """Tokens of literal inputs."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SMALL
+
 from sparrowtext.functions import analysis
 from sparrowtext.operators import fields as fd
 from sparrowtext.operators import index as ixs
@@ -37,6 +41,19 @@ def test_offsets_are_bytes(spark):
     assert got == {(0, "hello"): ([0], [5]), (0, "world"): ([6], [5]), (1, "É"): ([0], [2]), (1, "été"): ([3], [5]), (1, "x"): ([9], [1])}
 
 
+def test_offsets_of_whole_texts(spark):
+    from sparrowtext import catalogue
+
+    want = []
+    for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect():
+        folded, at, upto = (r.text or "").translate(str.maketrans(analysis.UPPER, analysis.LOWER)), 0, 0
+        for pos, m in enumerate(re.finditer(r"\w+(?:['’][^\W_]\w*)*", folded)):
+            at, upto = at + len(folded[upto : m.start()].encode()), m.start()
+            want.append((m[0][:255], r.doc_id, pos, at, len(m[0][:255].encode())))
+    got = catalogue.QUERIES["postings_offsets_text"](spark, SMALL).toPandas()
+    assert sorted(got[["term", "doc", "pos", "start", "len"]].itertuples(index=False, name=None)) == sorted(want) and max(x[2] for x in want) > 1000
+
+
 def test_own_analyzer(spark):
     analysis.register("commas", lambda c: F.split(c, ","))
     docs = spark.createDataFrame([(0, "a b,c,a b")], "doc long, t string")
