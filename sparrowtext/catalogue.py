@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +15,7 @@ from .operators.index import SearchIndex
 from .operators.search import Searcher
 from .plans import parser
 from .plans.query import FILTER, MUST, MUST_NOT, SHOULD, Bool, Fuzzy, Phrase, PointRange, Prefix, Term, Wildcard
-from .sources import corpora
+from .sources import corpora, durable
 from .sources.store import Store
 from .streaming.ingest import ingest
 
@@ -27,11 +25,7 @@ _OPEN: dict[tuple[str, str, str], SearchIndex] = {}
 
 
 def _dir(spark: SparkSession) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='sparrowtext-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/sparrowtext-index/{spark.sparkContext.applicationId}"
+    return f"{durable.shared_dir(spark)}/sparrowtext-index/{spark.sparkContext.applicationId}"
 
 
 def table(spark, sf_dir, name) -> DataFrame:

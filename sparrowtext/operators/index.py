@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import analysis, encoding
 from ..functions.similarity import quantized_length
+from ..sources import durable
 from .fields import Field, checked
 
 POSTINGS = "field string, term string, doc long, tf int, dl int, dl_q int, positions array<int>, starts array<int>, lens array<int>"
@@ -114,11 +115,8 @@ def with_doc(df: DataFrame, key: str | list[str]) -> DataFrame:
 
 
 def ranks(distinct: DataFrame, name: str) -> DataFrame:
-    """Distinct rows with their rank from 0 in their order: range partitions, each numbered from
-    the counts of those before it."""
-    keys = distinct.columns
-    numbered = distinct.sort(*keys).rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return distinct.sparkSession.createDataFrame(numbered, distinct.schema.add(name, "long"))
+    """Distinct rows with their rank from 0 in their order."""
+    return durable.ranked(distinct, distinct.columns, name)
 
 
 def build(df: DataFrame, key: str | list[str], fields: list[Field], cache: bool = False) -> SearchIndex:
