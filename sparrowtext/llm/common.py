@@ -3,40 +3,19 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.durable import cut, drop_cut, new_path, ranked, remove, shared_dir  # noqa: F401  for the operators
+
 #: White space that ends a word: the space and U+0009 to U+000D, as in bytes.split().
 SPACES = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); where it is unset, as in tests, one of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='sparrowtext-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/sparrowtext/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
-
-
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once a context, for workers that don't have it on their path.
     To be called before a Python function is bound to a plan."""
@@ -52,22 +31,6 @@ def ship(spark: SparkSession) -> None:
     sc._sparrowtext_shipped = True
 
 
-def cut(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, lost executors cost
-    only their own tasks, and the planner knows the table's true size. by: a column to write apart by."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._sparrowtext_path = path
-    return out
-
-
-def drop_cut(df: DataFrame, part: str = "") -> None:
-    """Remove a table that cut() wrote, or a part of it ("kind=gram"); its readers must be done."""
-    remove(df.sparkSession, f"{df._sparrowtext_path}/{part}" if part else df._sparrowtext_path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like `name` that df doesn't have, in any case of its letters."""
     taken = {c.lower() for c in df.columns}
