@@ -22,15 +22,13 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, ship, shuffle_partitions
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-
 
 class WordEncoder:
     """Token ids of whole texts. The tokenizer never merges across ASCII white space, so each
@@ -127,27 +125,27 @@ def encoder(path: str) -> WordEncoder:
 
 
 def tokenized(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
-    """The pieces of all documents: doc_id, piece, start, length, ids_crc32."""
-    import pandas as pd
+    """The pieces of all documents: doc_id, piece, start, length, ids_crc32. Only texts go to Python; ids stay where they are."""
+
+    form = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
+    ship(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("array<struct<piece:int,start:long,length:long,ids_crc32:long>>")
+    def pieces_of(texts: pa.Array) -> pa.Array:
         import os
 
         import numpy as np
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for b in batches:
-            out = []
-            for doc_id, text in zip(b["doc_id"], b["t"]):
-                ids = enc.encode(text or "") + end
-                for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[start : start + 4 * capacity]
-                    out.append((doc_id, piece, start // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+        enc, end, out = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), []
+        for text in texts:
+            ids = enc.encode(text.as_py() or "") + end
+            parts = (ids[at : at + 4 * capacity] for at in range(0, len(ids), 4 * capacity))
+            out.append([{"piece": i, "start": i * capacity, "length": len(p) // 4, "ids_crc32": zlib.crc32(p)} for i, p in enumerate(parts)])
+        return pa.array(out, form)
 
-    ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInPandas(run, PIECES)
+    # outer, as the plain form makes Spark tokenize a second time, to filter empty arrays; none is empty
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.inline_outer(pieces_of(F.col(text_col))))
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 400) -> list[tuple[list[int], int]]:
@@ -280,7 +278,6 @@ def plan_with(histogram: dict[int, int], capacity: int, large_share: float, grou
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, **how) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece."""
     import numpy as np
-    import pandas as pd
 
     spark = docs.sparkSession
     pieces = cut(tokenized(docs, tokenizer, capacity, **how), "pieces")
@@ -301,14 +298,13 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, **how) -> DataFr
     ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy(*order)) - 1)
     ranked = ranked.join(sums, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before")).drop("bucket", "before")
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<sequence_id:long,offset:long>")
+    def place(length: pa.Array, rank: pa.Array) -> pa.Array:
         keys, rest = sent.value
-        for b in batches:
-            at = np.searchsorted(keys, b["length"].to_numpy() << 44 | b["rank"].to_numpy(), "right") - 1
-            r0, m, first, offset = rest[at].T
-            q = b["rank"].to_numpy() - r0
-            b["sequence_id"] = first + q // m
-            b["offset"] = offset + q % m * b["length"].to_numpy()
-            yield b[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
-
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(place, PIECES + ", sequence_id long, offset long")
+        length, rank = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (length, rank))
+        at = np.searchsorted(keys, length << 44 | rank, "right") - 1
+        r0, m, first, offset = rest[at].T if len(at) else np.empty((4, 0), np.int64)
+        q = rank - r0
+        return pa.StructArray.from_arrays([pa.array(first + q // m), pa.array(offset + q % m * length)], ["sequence_id", "offset"])
+
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", place("length", F.col("rank").cast("long")).alias("x")).select("doc_id", "piece", "start", "length", "ids_crc32", "x.sequence_id", "x.offset")

@@ -155,3 +155,9 @@ def test_small_table_is_packed_tightly(spark, tok):
     got = packing.pack(docs, PATH).collect()
     n = check(rows, got, tok, 2048)
     assert n <= 1.02 * -(-sum(r.length for r in got) // 2048) + 1
+
+
+def test_large_ids_beside_null(spark):
+    big = 2**53 + 1
+    docs = spark.createDataFrame([(big, "a b"), (None, "c d"), (big + 2, None)], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2048).collect()} == {big, big + 2, None}
