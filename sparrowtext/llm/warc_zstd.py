@@ -137,7 +137,7 @@ def _open(path: str):
 
 def archive(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 1000, records: int = 20_000, dict_size: int = 64 << 10, sample_rows: int = 2_000, sample_bytes: int = 16 << 10) -> DataFrame:
     """Write the archives; gives path, n_records, n_bytes of each."""
-    import pandas as pd
+    import pyarrow as pa
 
     spark = pages.sparkSession
     ship(spark)
@@ -145,11 +145,13 @@ def archive(pages: DataFrame, path: str | None = None, id_col: str = "page_id",
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     named = src.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n"))
-    # a bounded sample: the records of the smallest hashes; first the hashes alone, then their payloads
-    hashed = src.withColumn("h", F.xxhash64("page_id", "url"))
-    last = hashed.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
-    picked = hashed.where(F.col("h") <= (last if last is not None else 0)).select("h", F.substring("payload", 1, sample_bytes).alias("s")).where("octet_length(s) > 0")
-    picked = sorted((r.h, bytes(r.s)) for r in picked.limit(2 * sample_rows).collect())[:sample_rows]
+    # a bounded sample: the records of the smallest hashes. The share of hashes asked for hangs on the count, so
+    # tasks send about as many rows as are wanted in all, whatever their number
+    n_rows = src.count()
+    share = min(1.0, 1.5 * sample_rows / max(1, n_rows) + (100 / max(1, n_rows)))
+    hashed = src.withColumn("h", F.xxhash64("page_id", "url")).where(F.col("h") <= F.lit(int(-(1 << 63) + share * ((1 << 64) - 1025))))
+    picked = hashed.select("h", F.substring("payload", 1, sample_bytes).alias("s")).where("octet_length(s) > 0").orderBy("h")
+    picked = sorted((r.h, bytes(r.s)) for r in picked.limit(sample_rows).collect())[:sample_rows]
     samples = [record_bytes(0, "", s, hashlib.sha1(s).hexdigest()) for _, s in picked]
     dictionary = spark.sparkContext.broadcast(train(samples, dict_size))
 
@@ -159,13 +161,13 @@ def archive(pages: DataFrame, path: str | None = None, id_col: str = "page_id",
     same = src.page_id.eqNullSafe(revisits.page_id) & (F.sha1(src.payload) == revisits.digest)
     rows = src.join(revisits, same, "left").select(src.page_id, "url", "payload", "target")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         store, base = _open(path)
         store.create_dir(base, recursive=True)
         ctx, part = TaskContext.get(), 0
-        flow = (r for b in batches for r in b.itertuples(index=False))
+        flow = (r for b in batches for r in zip(*(b.column(c) for c in ("page_id", "url", "payload", "target"))))
         pending = next(flow, None)
         while pending is not None:
             name = f"{base}/part-{ctx.partitionId():06d}-{part:04d}-{uuid.uuid4().hex}.warc.zst"
@@ -177,33 +179,32 @@ def archive(pages: DataFrame, path: str | None = None, id_col: str = "page_id",
                     yield r
 
             def encoded(rows):
-                for r in rows:
-                    p = bytes(r.payload)
-                    yield record_bytes(None if pd.isna(r.page_id) else int(r.page_id), r.url, p, hashlib.sha1(p).hexdigest(), None if pd.isna(r.target) else int(r.target))
+                for page_id, url, p, target in ((x.as_py() for x in r) for r in rows):
+                    yield record_bytes(page_id, url, p, hashlib.sha1(p).hexdigest(), target)
 
             with store.open_output_stream(f"{name}.part", compression=None) as out:
                 for at, n in write_archive(out, encoded(some(pending)), dictionary.value):
                     count, size = count + 1, at + n
             store.move(f"{name}.part", name)
-            yield pd.DataFrame({"path": [f"{path}/{name.rsplit('/', 1)[1]}"], "n_records": [count], "n_bytes": [size]})
+            yield pa.RecordBatch.from_pydict({"path": [f"{path}/{name.rsplit('/', 1)[1]}"], "n_records": [count], "n_bytes": [size]})
             part += 1
             pending = next(flow, None)
 
-    return cut(rows.mapInPandas(run, "path string, n_records long, n_bytes long"), "archives")
+    return cut(rows.mapInArrow(run, "path string, n_records long, n_bytes long"), "archives")
 
 
 def read_back(archives: DataFrame) -> DataFrame:
     """page_id, url, record_type, payload_digest (hex), payload_bytes, refers_to, payload (null of revisits), payload_ok."""
     import base64
 
-    import pandas as pd
+    import pyarrow as pa
 
     spark = archives.sparkSession
     ship(spark)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path in b["path"]:
+            for path in b.column("path").to_pylist():
                 store, name = _open(path)
                 with store.open_input_stream(name, compression=None) as src:
                     rows, held = [], 0
@@ -222,12 +223,12 @@ def read_back(archives: DataFrame) -> DataFrame:
                         yield frame(rows)
 
     def frame(rows):
-        out = pd.DataFrame(rows, columns=["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload"])
-        return out.astype({"page_id": "Int64", "refers_to": "Int64"})
+        types = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), types)], [k for k, _ in types])
 
     schema = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
     parts = max(1, min(archives.count(), 100_000))
-    return archives.select("path").repartition(parts, "path").mapInPandas(run, schema)
+    return archives.select("path").repartition(parts, "path").mapInArrow(run, schema)
 
 
 def digests(pages: DataFrame, **how) -> DataFrame:

@@ -85,3 +85,10 @@ def test_empty_table(spark):
 def test_small_table(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     check([(r.page_id, r.url, r.html) for r in pages.collect()], wz.digests(pages).collect())
+
+
+def test_large_ids_beside_null(spark):
+    big = 2**53 + 1
+    pages = spark.createDataFrame([(big, "u", "x" * 2000), (None, "v", "y"), (big + 2, "w", "x" * 2000)], "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: r for r in wz.digests(pages).collect()}
+    assert set(got) == {big, big + 2, None} and got[big].refers_to == big + 2
