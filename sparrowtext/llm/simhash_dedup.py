@@ -18,8 +18,7 @@ other columns of the input are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,18 +57,15 @@ def _mark(text_col: str):
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id, mark (hash of the text), fp (the fingerprint's 64 bits as a signed long)."""
+    """doc_id, mark (hash of the text), fp (the fingerprint's 64 bits as a signed long). Only texts go to Python."""
     import numpy as np
-    import pandas as pd
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp = np.fromiter((fingerprint(t, shingle) for t in b["t"]), np.uint64, len(b)).astype(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "mark": b["mark"], "fp": fp})
+    @F.arrow_udf("long")
+    def of_text(texts: pa.Array) -> pa.Array:
+        return pa.array(np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts)).view(np.int64))
 
     ship(docs.sparkSession)
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), _mark(text_col).alias("mark"), F.col(text_col).alias("t"))
-    return src.mapInPandas(run, "doc_id long, mark long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), _mark(text_col).alias("mark"), of_text(F.col(text_col)).alias("fp"))
 
 
 def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -80,8 +76,11 @@ def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     if radius > 3:
         raise ValueError("two segments with one wildcard cover a radius of at most 3")
+    # 64 rows come of each class, so the few bytes of classes are dealt by what they grow to
+    n = classes.count()
+    dealt = classes.repartition(max(1, min(100_000, -(-n * 64 // 2_000_000))), "fp")
     # one number as the key: the variant above bit 32, the segment without the wildcard below
-    keyed = classes.select("fp", F.explode(F.expr("sequence(0L, 63L)")).alias("v")).select(
+    keyed = dealt.select("fp", F.explode(F.expr("sequence(0L, 63L)")).alias("v")).select(
         "fp", F.expr("shiftleft(v, 32) | CASE WHEN v < 32 THEN fp & 4294967295L ELSE shiftrightunsigned(fp, 32) END & ~shiftleft(1L, CAST(v % 32 AS int))").alias("key")
     )
     differ, low, high = "(x.fp ^ y.fp)", "((x.fp ^ y.fp) & 4294967295L)", "shiftrightunsigned(x.fp ^ y.fp, 32)"
@@ -132,7 +131,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: i
     ids, null last, and marks)."""
     fps = cut(fingerprints(docs, id_col, text_col, shingle), "fps")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark"))
-    classes = fps.groupBy("fp").agg(first.alias("first"))
+    classes = cut(fps.groupBy("fp").agg(first.alias("first")), "classes")
     roots = components(links(classes.select("fp"), radius))
     return fps, classes.join(roots, classes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
 

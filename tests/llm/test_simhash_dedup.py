@@ -111,3 +111,9 @@ def test_small_table(spark):
     want = brute_components([(i, brute_fingerprint(t)) for i, t in rows])
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in sd.near_duplicates(docs).collect()}
     assert got == {i: (f"{brute_fingerprint(t):016x}", c) for (i, t), c in zip(rows, want)}
+
+
+def test_large_ids_beside_null(spark):
+    big = 2**53 + 1
+    docs = spark.createDataFrame([(big, "a b c d"), (None, "e f g h"), (big + 2, "i j k l")], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in sd.near_duplicates(docs).collect()} == {big, big + 2, None}
