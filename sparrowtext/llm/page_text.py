@@ -1,36 +1,42 @@
-"""Main text of web pages: page structure, and differencing against the nearest page by URL.
-
-A page's html is cut into blocks of text (paragraphs, headings, list items, cells). Blocks within
-menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments, by
-element, role, class or id, are no main text. If the page marks its article (<article>, <main>),
-the main text is the blocks there. Otherwise all other blocks are candidates, and the page is
-differenced: pages are ordered by path within their host, consecutive ones with equal lines are one
-run, each run is paired with the neighbouring run that shares more of the path, their lines are aligned by longest common subsequence, and the lines they
-share are deleted. Lines within a marked article are never deleted: there a line shared with a
-neighbour is a quotation or a near copy, not a template (see README).
-
-Only hashes of the lines are dealt by (host, path), by range, so a host that holds a third of all
-pages spreads over many tasks. The two runs at either end of each range (four rows of hashes a range)
-go to the driver, which pairs the outermost ones across the borders, so that the pairs are the same
-for any ranges. The places to delete come back by a join that is empty where nothing is to be deleted.
-
-Edge cases: null html gives an empty text; a null URL is a host of its own; pages with equal lines
-in a row are no pair (they'd delete each other) and share one verdict, as do rows with equal id, URL
-and html; one page, or one run, alone in its host keeps all candidates; an empty table gives an empty result.
+"""Main text of web pages: each page is differenced against its nearest pages by URL.
+
+A page's html is cut into lines of text: paragraphs, headings, list items, cells, and the texts of
+menus and footers alike (scripts, styles and other text that no reader sees are none). Pages of a
+host with equal lines are one class. Classes stand in the order of their paths within the host; each
+is paired with the four nearest in this order, and each pair's lines are aligned by longest common
+subsequence. A line that at least two of these pages share with the class (or the only one, where a
+host has but two classes) is template and deleted: a quotation is shared with one.
+
+In a marked article (<article>, <main>) shared lines may be content, so there every one of at least three
+pages must share a line. A page whose article shares more than half its characters is a near copy and is not counted
+among them, and deletion goes from the article's first and last line inwards, to the first line that is
+kept (templates put their lines around an article's text, quotations stand within it).
+
+What differencing can't see, as it changes from page to page or is alone in its host, goes by
+structure: menus, headers, footers, sidebars, notices, adverts, forms and reader comments, by
+element, role, or words of a class or id (within an article only if all words of one class name say so). If
+the page marks its article, only lines there can be main text.
+
+Line hashes of one page a class are ranked by (host, path) over all hosts and dealt in blocks of ranks, each with the four classes
+before and after it, so a host that holds a third of all pages spreads over many tasks, pairs are
+the same for any partitioning, and nothing but partition sizes reaches the driver.
+
+Edge cases: null html gives an empty text; a URL without host (null among them) is paired with
+none; pages with equal lines share one verdict; a class alone in its host loses nothing by
+differencing; rows with equal id, URL or html are rows of their own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
 from html import unescape
-from itertools import chain
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship, shuffle_partitions
+from .common import cut, ranked, ship
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|title|math)\b[^>]*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)>|<[!?][^>]*+>",
@@ -43,15 +49,16 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose nesting decides; others may stay open, as <p> and <b> often do.
 NESTED = BOILER | ARTICLE | frozenset("div section ul ol dl table figure blockquote fieldset body html details".split())
+#: Names of what changes from page to page, so that differencing can't see it.
 WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promoted sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer "
+    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promoted sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead footer "
     "cookie cookies consent notice notices gdpr popup modal overlay comment comments reply replies disqus share sharing social subscribe newsletter signup related recommended widget".split()
 )
+#: What may stand beside one of WORDS in a class name within an article.
+PLAIN = frozenset("area articles bar block box buttons container content form group inner items links list outer panel posts reader section site slot stories top user wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
-
-
-#: What a range of pages gives: deletions ("drop"); unmarked pages of its outermost runs ("page"), and the two runs at either end ("edge").
-PAIRED = "kind string, range int, at long, page_id long, mark long, drop array<int>, host string, first string, last string, lines array<long>"
+#: Classes that a class is paired with, of which those of an article must be so many, and classes in a block.
+NEAR, ALL, BLOCK = 4, 3, 256
 
 
 def _unwanted(tag: str, attrs: str, in_article: bool) -> bool:
@@ -62,15 +69,24 @@ def _unwanted(tag: str, attrs: str, in_article: bool) -> bool:
         if m[1].lower() == "role":
             if value.strip() in ROLES:
                 return True
-        elif tag not in ARTICLE and tag not in ("body", "html") and any(w in WORDS for w in re.split(r"[^a-z]+", value)) and not (in_article and tag in INLINE):
-            return True
+        elif tag in ARTICLE or tag in ("body", "html"):
+            continue
+        elif not in_article:
+            if any(w in WORDS or w == "header" for w in re.split(r"[^a-z]+", value)):
+                return True
+        elif tag not in INLINE:
+            for name in value.split():
+                words = set(filter(None, re.split(r"[^a-z]+", name)))
+                if words & WORDS and words <= WORDS | PLAIN:
+                    return True
     return False
 
 
-def blocks(html: str | None) -> list[tuple[str, int]]:
-    """(text, 1 if within a marked article) of the blocks that are no boilerplate, in page order."""
-    out: list[tuple[str, int]] = []
+def blocks(html: str | None) -> list[tuple[str, bool, bool]]:
+    """(text, unwanted by structure, within a marked article) of a page's lines, in page order."""
+    out: list[tuple[str, bool, bool]] = []
     stack: list[tuple[str, bool]] = []  # open nesting elements; is it unwanted?
+    opened: dict[str, int] = {}
     unwanted = article = 0
     buf: list[str] = []
     at, html = 0, html or ""
@@ -78,11 +94,11 @@ def blocks(html: str | None) -> list[tuple[str, int]]:
     def flush() -> None:
         text = " ".join(unescape("".join(buf)).split()) if buf else ""
         if text:
-            out.append((text, int(article > 0)))
+            out.append((text, unwanted > 0, article > 0))
         buf.clear()
 
     for m in TOKEN.finditer(html):
-        if m.start() > at and not unwanted:
+        if m.start() > at:
             buf.append(html[at : m.start()])
         at = m.end()
         tag = m[3]
@@ -96,9 +112,10 @@ def blocks(html: str | None) -> list[tuple[str, int]]:
         if tag in VOID:
             continue
         if m[2]:
-            if tag in NESTED and any(t == tag for t, _ in stack):
+            if tag in NESTED and opened.get(tag):
                 while True:
                     t, bad = stack.pop()
+                    opened[t] -= 1
                     unwanted -= bad
                     article -= t in ARTICLE
                     if t == tag:
@@ -106,16 +123,23 @@ def blocks(html: str | None) -> list[tuple[str, int]]:
         elif tag in NESTED:
             bad = _unwanted(tag, m[4] or "", article > 0)
             stack.append((tag, bad))
+            opened[tag] = opened.get(tag, 0) + 1
             unwanted += bad
             article += tag in ARTICLE
-    if not unwanted:
-        buf.append(html[at:])
+    buf.append(html[at:])
     flush()
     return out
 
 
-def common_lines(a: list[int], b: list[int]) -> list[int]:
-    """Places in a of a longest common subsequence of a and b (Hunt and Szymanski)."""
+def candidates(lines: list[tuple[str, bool, bool]]) -> list[int]:
+    """Places of the lines that may be main text."""
+    marked = any(a and not bad for _, bad, a in lines)
+    return [i for i, (_, bad, a) in enumerate(lines) if not bad and (a or not marked)]
+
+
+def common_lines(a: list[int], b: list[int], most: int = 4_000_000) -> list[tuple[int, int]]:
+    """Places in a and b of a longest common subsequence (Hunt and Szymanski; where more than `most`
+    pairs of places are equal, a is halved as Hirschberg does, and b where the sum of both lengths is largest)."""
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
         head += 1
@@ -125,157 +149,135 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     where: dict[int, list[int]] = {}
     for j in range(len(b) - tail - 1, head - 1, -1):
         where.setdefault(b[j], []).append(j)
-    ends: list[int] = []
-    chains: list[tuple | None] = []
-    for i in range(head, len(a) - tail):
-        for j in where.get(a[i], ()):
-            k = bisect_left(ends, j)
-            node = (i, chains[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                chains.append(node)
-            else:
-                ends[k], chains[k] = j, node
-    mid, node = [], chains[-1] if chains else None
-    while node:
-        mid.append(node[0])
-        node = node[1]
-    return [*range(head), *reversed(mid), *range(len(a) - tail, len(a))]
-
-
-def shared_with_neighbour(prev, run, nxt) -> list[int]:
-    """Places of a run's lines to delete. Each argument: (host, first path, last path, line hashes, ...) or None."""
-    def prefix(a, b) -> int:
-        n = 0
-        for p, q in zip(a or "", b or ""):
-            if p != q:
-                break
-            n += 1
-        return n
-
-    near = []
-    if prev is not None and prev[0] == run[0]:
-        near.append((prefix(prev[2], run[1]), prev[3]))
-    if nxt is not None and nxt[0] == run[0]:
-        near.append((prefix(nxt[1], run[2]), nxt[3]))
-    return common_lines(run[3], max(near, key=lambda x: x[0])[1]) if near else []
-
-
-def runs_of(batches: Iterator) -> Iterator[list]:
-    """Runs of consecutive pages of a host with equal lines: host, first and last path, lines, and (page_id, mark) of its unmarked pages."""
-    import pandas as pd
-
-    run = None
-    for b in batches:
-        for x in b.itertuples(index=False):
-            lines = list(x.lines)
-            if run is None or run[0] != x.host or run[3] != lines:
-                if run is not None:
-                    yield run
-                run = [x.host, x.path, x.path, lines, []]
-            run[2] = x.path
-            if not x.in_article:
-                run[4].append((None if pd.isna(x.page_id) else int(x.page_id), x.mark))
-    if run is not None:
-        yield run
-
-
-def of_edges(edges: list[tuple]) -> list[tuple]:
-    """(range, at, drop) of the outermost runs of each range, from the two runs at either end of every
-    range, (range, at, host, first path, last path, lines) in order. A run cut by borders is made whole."""
-    last_of = {r[0]: r[1] for r in edges}
-    runs: list[list] = []  # host, first path, last path, lines, its (range, at)
-    before = None
-    for part, at, host, first, last, lines in edges:
-        if before is not None and before[0] != part and runs[-1][0] == host and runs[-1][3] == lines:
-            runs[-1][2] = last
-            runs[-1][4].append((part, at))
-        else:
-            runs.append([host, first, last, lines, [(part, at)]])
-        before = (part, at)
-    out = []
-    for prev, x, nxt in zip([None, *runs], runs, [*runs[1:], None]):
-        outer = [k for k in x[4] if k[1] in (0, last_of[k[0]])]
-        drop = shared_with_neighbour(prev, x, nxt) if outer else []
-        out += [(*k, drop) for k in outer if drop]
+    mid: list[tuple[int, int]] = []
+    if sum(len(where.get(x, ())) for x in a[head : len(a) - tail]) <= most or len(a) - tail - head < 2:
+        ends: list[int] = []
+        chains: list[tuple | None] = []
+        for i in range(head, len(a) - tail):
+            for j in where.get(a[i], ()):
+                k = bisect_left(ends, j)
+                node = (i, j, chains[k - 1] if k else None)
+                if k == len(ends):
+                    ends.append(j)
+                    chains.append(node)
+                else:
+                    ends[k], chains[k] = j, node
+        node = chains[-1] if chains else None
+        while node:
+            mid.append(node[:2])
+            node = node[2]
+        mid.reverse()
+    else:
+        inner_a, inner_b = a[head : len(a) - tail], b[head : len(b) - tail]
+        half = len(inner_a) // 2
+        both = [x + y for x, y in zip(_lengths(inner_a[:half], inner_b), reversed(_lengths(inner_a[:half - 1 : -1], inner_b[::-1])))]
+        k = both.index(max(both))
+        mid = [(i + head, j + head) for i, j in common_lines(inner_a[:half], inner_b[:k], most)]
+        mid += [(i + head + half, j + head + k) for i, j in common_lines(inner_a[half:], inner_b[k:], most)]
+    return [*((i, i) for i in range(head)), *mid, *((len(a) - k, len(b) - k) for k in range(tail, 0, -1))]
+
+
+def _lengths(a: list[int], b: list[int]) -> list[int]:
+    """Length of the longest common subsequence of a and each prefix of b, by whole rows as bits of one number."""
+    masks: dict[int, int] = {}
+    for j, x in enumerate(b):
+        masks[x] = masks.get(x, 0) | 1 << j
+    full = row = (1 << len(b)) - 1
+    for x in a:
+        hit = row & masks.get(x, 0)
+        row = (row + hit | row - hit) & full
+    out = [0]
+    for c in reversed(f"{row:0{len(b)}b}") if b else ():
+        out.append(out[-1] + (c == "0"))
     return out
 
 
-def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, mark (hash of url and html), texts, lines (hashes), in_article."""
-    import pandas as pd
+def template_lines(page: tuple, near: list[tuple]) -> list[int]:
+    """Places of a page's lines that its nearest pages make template. A page: (hashes, characters, codes) of its
+    lines; codes: 1 a line that may be main text, 3 one within a marked article, else 0."""
+    lines, size, codes = page
+    votes, inner, counted = [0] * len(lines), [0] * len(lines), 0
+    whole = sum(n for n, c in zip(size, codes) if c == 3)
+    for other in near:
+        same = [i for i, _ in common_lines(lines, other[0])]
+        theirs = sum(n for n, c in zip(other[1], other[2]) if c == 3)
+        copy = 2 * sum(size[i] for i in same if codes[i] == 3) > min(whole, theirs) if whole and theirs else False
+        counted += not copy
+        for i in same:
+            votes[i] += 1
+            inner[i] += not copy
+    need = min(2, len(near))
+    if not need:
+        return []
+    gone = {i for i in range(len(lines)) if votes[i] >= need and codes[i] != 3}
+    article = [i for i, c in enumerate(codes) if c == 3]
+    for order in (article, article[::-1]) if counted >= ALL else ():
+        for i in order:
+            if inner[i] < counted:
+                break
+            gone.add(i)
+    return sorted(gone)
 
-    ship(pages.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """page_id, url, host, path, texts (that may be main text), lines (hashes of all), size, codes, digest (of the three)."""
+    form = pa.struct([("texts", pa.list_(pa.string())), ("lines", pa.list_(pa.int64())), ("size", pa.list_(pa.int32())), ("codes", pa.list_(pa.int8()))])
+
+    @F.arrow_udf("struct<texts:array<string>,lines:array<long>,size:array<int>,codes:array<tinyint>>")
+    def of_pages(html: pa.Array) -> pa.Array:
         import xxhash
 
-        for b in batches:
-            got = [blocks(h) for h in b["html"]]
-            marked = [any(k for _, k in g) for g in got]
-            kept = [[t for t, k in g if k or not m] for g, m in zip(got, marked)]
-            b["texts"], b["in_article"] = kept, marked
-            b["lines"] = [[xxhash.xxh64_intdigest(t) - (1 << 63) for t in g] for g in kept]
-            yield b[["page_id", "url", "mark", "texts", "lines", "in_article"]]
+        out = []
+        for h in html:
+            got = blocks(h.as_py())
+            own = candidates(got)
+            codes = [0] * len(got)
+            for i in own:
+                codes[i] = 3 if got[i][2] else 1
+            out.append({"texts": [got[i][0] for i in own], "lines": [xxhash.xxh64_intdigest(t) - (1 << 63) for t, _, _ in got], "size": [len(t) for t, _, _ in got], "codes": codes})
+        return pa.array(out, form)
 
-    src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.xxhash64(url_col, html_col).alias("mark"), F.col(html_col).alias("html"))
-    return src.mapInPandas(run, "page_id long, url string, mark long, texts array<string>, lines array<long>, in_article boolean")
+    ship(pages.sparkSession)
+    where = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)"
+    url = F.coalesce(F.col(url_col), F.lit(""))
+    src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.lower(F.regexp_extract(url, where, 1)).alias("host"), F.regexp_extract(url, where, 2).alias("path"), of_pages(F.col(html_col)).alias("x"))
+    return src.select("page_id", "url", "host", "path", "x.*").withColumn("digest", F.xxhash64("lines", "size", "codes"))
 
 
 def deletions(pages: DataFrame) -> DataFrame:
-    """page_id, mark, drop (places of lines to delete), of pages that have any, from parsed()."""
-    import pandas as pd
-    from pyspark import TaskContext
-
-    spark = pages.sparkSession
-    where = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)"
-    named = pages.select("page_id", "mark", "lines", "in_article", F.lower(F.regexp_extract("url", where, 1)).alias("host"), F.regexp_extract("url", where, 2).alias("path"))
-
-    def frame(found: list) -> pd.DataFrame:
-        return pd.DataFrame(found, columns=[x.split()[0] for x in PAIRED.split(", ")], dtype=object).astype(dict.fromkeys(("range", "at", "page_id", "mark"), "Int64"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = TaskContext.get().partitionId()
-        prev = run = None
-        found: list[tuple] = []
-
-        def edge(at: int, x: list) -> tuple:
-            return ("edge", part, at, None, None, None, *x[:4])
-
-        for at, nxt in enumerate(chain(runs_of(batches), [None]), -1):  # at: run's number
-            if run is not None:
-                outer = at == 0 or nxt is None
-                if outer:
-                    found += [("page", part, at, *x, None, None, None, None, None) for x in run[4]]
-                elif run[4]:
-                    drop = shared_with_neighbour(prev, run, nxt)
-                    if drop:
-                        found += [("drop", None, None, *x, drop, None, None, None, None) for x in run[4]]
-                if at <= 1:
-                    found.append(edge(at, run))
-                if nxt is None:
-                    found += [edge(k, x) for k, x in ((at - 1, prev), (at, run)) if k > 1]
-            while len(found) >= 2000:
-                yield frame(found[:2000])
-                found = found[2000:]
-            prev, run = run, nxt
-        if found:
-            yield frame(found)
-
-    dealt = named.repartitionByRange(shuffle_partitions(spark), "host", "path", "page_id", "mark").sortWithinPartitions("host", "path", "page_id", "mark")
-    paired = cut(dealt.mapInPandas(run, PAIRED), "pairs")
-    edges = [tuple(r) for r in paired.where("kind = 'edge'").select("range", "at", "host", "first", "last", "lines").orderBy("range", "at").collect()]
-    late = spark.createDataFrame(of_edges(edges), "range int, at long, drop array<int>")
-    pages_of_edges = paired.where("kind = 'page'").select("range", "at", "page_id", "mark").join(F.broadcast(late), ["range", "at"])
-    columns = ("page_id", "mark", "drop")
-    return paired.where("kind = 'drop'").select(*columns).unionByName(pages_of_edges.select(*columns))
+    """host, digest, gone (places of template lines), of classes that have any, from parsed()."""
+    classes = pages.where("host <> ''").groupBy("host", "digest").agg(F.min("path").alias("path"), *(F.first(c).alias(c) for c in ("lines", "size", "codes")))
+    rows = ranked(classes, ["host", "path", "digest"], "at")
+    block, place = F.floor(F.col("at") / BLOCK), F.col("at") % BLOCK
+    sent = F.array(block, F.when(place < NEAR, block - 1), F.when(place >= BLOCK - NEAR, block + 1))
+    dealt = rows.select("*", F.explode(F.filter(sent, lambda b: b >= 0)).alias("block"))
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("at").to_pydict()
+        at, block, host = rows["at"], rows["block"][0], rows["host"]
+        each = list(zip(rows["lines"], rows["size"], rows["codes"]))
+        out: dict[str, list] = {"host": [], "digest": [], "gone": []}
+        for k in range(len(at)):
+            if at[k] // BLOCK != block:
+                continue
+            near = sorted((j for j in range(max(0, k - NEAR), min(len(at), k + NEAR + 1)) if j != k and host[j] == host[k]), key=lambda j: (abs(j - k), j))
+            gone = template_lines(each[k], [each[j] for j in near[:NEAR]])
+            if gone:
+                for name, v in zip(out, (host[k], rows["digest"][k], gone)):
+                    out[name].append(v)
+        return pa.table({"host": pa.array(out["host"], pa.string()), "digest": pa.array(out["digest"], pa.int64()), "gone": pa.array(out["gone"], pa.list_(pa.int32()))})
+
+    return dealt.groupBy("block").applyInArrow(run, "host string, digest long, gone array<int>")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars, n_deleted: one row per page."""
+    """page_id, url, text, n_chars, n_deleted (lines that differencing took from the main text), n_template (from the whole page): one row per page."""
     whole = cut(parsed(pages, id_col, url_col, html_col), "blocks")
-    gone = cut(deletions(whole).dropDuplicates(["page_id", "mark"]), "deletions")
-    same = whole.page_id.eqNullSafe(gone.page_id) & (whole.mark == gone.mark)
-    kept = F.when(F.col("drop").isNull(), F.col("texts")).otherwise(F.filter("texts", lambda x, i: ~F.array_contains("drop", i)))
-    out = whole.join(gone, same, "left").select(whole.page_id, "url", F.array_join(kept, "\n").alias("text"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_deleted"))
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.greatest("n_deleted", F.lit(0)).alias("n_deleted"))
+    gone = cut(deletions(whole), "deletions").withColumnsRenamed({"host": "of_host", "digest": "of_digest"})
+    rows = whole.join(gone, F.expr("host = of_host AND digest = of_digest"), "left")
+    # places of the candidates among all lines, beside their texts
+    own = F.expr("filter(transform(codes, (c, i) -> IF(c > 0, i, -1)), i -> i >= 0)")
+    kept = F.when(F.col("gone").isNull(), F.col("texts")).otherwise(F.filter("texts", lambda x, k: ~F.array_contains("gone", F.get(F.col("own"), k))))
+    out = rows.withColumn("own", F.when(F.col("gone").isNotNull(), own)).select("page_id", "url", F.size("texts").alias("n"), kept.alias("kept"), F.coalesce(F.array_size("gone"), F.lit(0)).cast("long").alias("n_template"))
+    out = out.select("page_id", "url", F.array_join("kept", "\n").alias("text"), (F.col("n") - F.size("kept")).cast("long").alias("n_deleted"), "n_template")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_deleted", "n_template")

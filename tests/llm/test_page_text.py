@@ -15,8 +15,7 @@ SCHEMA = "page_id long, url string, html string"
 
 def text_of(html):
     got = pt.blocks(html)
-    marked = any(k for _, k in got)
-    return "\n".join(t for t, k in got if k or not marked)
+    return "\n".join(got[i][0] for i in pt.candidates(got))
 
 
 PAGES = {
@@ -40,6 +39,7 @@ PAGES = {
     "</div></p>stray<p>ok": "stray\nok",
     "<ARTICLE><P>Upper</P></ARTICLE>": "Upper",
     "<script>never closed": "",
+    "<article><p>a</p><div class='related-work'><p>Our related work section.</p></div><div id='comment-policy-essay'>b</div><div class='x related-posts'>no</div></article>": "a\nOur related work section.\nb",
     "<p>tab\tand\nline and  more</p>": "tab and line and more",
 }
 
@@ -66,10 +66,15 @@ def lcs_length(a, b):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(0, 5), max_size=25), st.lists(st.integers(0, 5), max_size=25))
 def test_longest_common_subsequence(a, b):
-    got = pt.common_lines(a, b)
-    assert got == sorted(set(got)) and len(got) == lcs_length(a, b)
-    rest = iter(b)
-    assert all(any(y == a[i] for y in rest) for i in got)
+    for most in (10**6, 3):  # also by halves
+        got = pt.common_lines(a, b, most)
+        assert len(got) == lcs_length(a, b) and all(a[i] == b[j] for i, j in got)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
+
+
+def test_pages_of_one_repeated_line_end():
+    a = [1, 2] * 4000
+    assert len(pt.common_lines(a, [2, 1] * 4000)) == 7999
 
 
 def page(own, template=("Site name", "All our topics", "Contact us today")):
@@ -80,53 +85,97 @@ def test_neighbours_lose_shared_lines(spark):
     rows = [(i, f"http://h.org/a/{i}", page([f"own {i}", "shared by chance" if i < 2 else f"more {i}"])) for i in range(6)]
     rows += [(50, "http://other.org/x", page(["alone"])), (51, None, "<p>no url</p>"), (52, "http://q.org/1", None), (None, "http://q.org/2", "<p>null id</p>")]
     rows += [(60, "http://copies.org/1", page(["same"])), (61, "http://copies.org/1", page(["same"]))]
-    rows += [(70, "http://art.org/1", "<article><p>quote</p><p>x</p></article>"), (71, "http://art.org/2", "<article><p>quote</p><p>y</p></article>")]
-    docs = spark.createDataFrame([(*r, 1, "z", "z") for r in rows], SCHEMA + ", mark int, host string, drop string")
+    rows += [(53, None, page(["null"])), (54, None, page(["too"])), (80, "http://two.org/1", page(["first"])), (81, "http://two.org/2", page(["second"]))]
+    docs = spark.createDataFrame([(*r, 1, "z", "z") for r in rows], SCHEMA + ", digest int, host string, gone string")
     got = pt.extract(docs).collect()
     by = {r.page_id: r.text for r in got}
     assert len(got) == len(rows)
     for i in range(2, 6):
         assert by[i] == f"own {i}\nmore {i}"
+    assert by[0] == "own 0\nshared by chance" and by[80] == "first"  # one page shares it; two pages in all
     assert by[50] == "Site name\nAll our topics\nalone\nContact us today" and by[51] == "no url" and by[52] == "" and by[None] == "null id"
-    assert by[60] == by[61] == "Site name\nAll our topics\nsame\nContact us today"
-    assert by[70] == "quote\nx" and by[71] == "quote\ny"
-    assert all(r.n_chars == len(r.text) for r in got)
+    assert by[60] == by[61] == "Site name\nAll our topics\nsame\nContact us today" and by[53].startswith("Site name")
+    assert all(r.n_chars == len(r.text) for r in got) and {r.page_id: r.n_deleted for r in got}[3] == 3
+
+
+def test_articles_keep_quotations_and_near_copies(spark):
+    story = lambda i, *more: f"<nav><p>Home</p></nav><article><p>Follow us on our channel.</p><p>The story {i} and what came of it, told at such length that most of the article is its own.</p>{''.join(f'<p>{x}</p>' for x in more)}<p>It ended {i}.</p></article>"
+    rows = [(i, f"http://a.org/{i}", story(i, "A passage that all of them quote.")) for i in range(5)]
+    long = [f"Paragraph {k} of a text that was copied." for k in range(9)]
+    rows += [(10 + i, f"http://b.org/{i}", f"<article>{''.join(f'<p>{x}</p>' for x in long)}<p>edited by {i}</p></article>") for i in range(5)]
+    by = {r.page_id: r for r in pt.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i in range(5):
+        assert by[i].text == f"The story {i} and what came of it, told at such length that most of the article is its own.\nA passage that all of them quote.\nIt ended {i}."
+        assert by[10 + i].text == "\n".join([*long, f"edited by {i}"])
+        assert by[i].n_template == 2 and by[i].n_deleted == 1
 
 
 @pytest.fixture
 def ranges(spark):
-    """Sets the number of ranges; afterwards it is as before."""
+    """Sets the number of partitions; afterwards it is as before."""
     was = spark.conf.get("spark.sql.shuffle.partitions")
     yield lambda n: spark.conf.set("spark.sql.shuffle.partitions", n)
     spark.conf.set("spark.sql.shuffle.partitions", was)
 
 
-def test_copies_in_a_row_share_a_verdict(spark, ranges):
-    rows = [(i, f"http://h.org/a/{i}", page(["same"] if 2 <= i <= 6 else [f"own {i}"])) for i in range(9)]
-    ranges("1")
-    got = pt.extract(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert {r.page_id: r.text for r in got} == {i: "same" if 2 <= i <= 6 else f"own {i}" for i in range(9)}
-
-
 def by_hand(rows):
-    """page_id -> text, of pages with paths of their own, all on one machine."""
-    runs = []
-    for i, url, html in sorted(rows, key=lambda r: r[1]):
-        host, path, lines = url.split("/")[2], "/" + url.split("/", 3)[3], text_of(html).split("\n")
-        if runs and runs[-1][0] == host and runs[-1][3] == lines:
-            runs[-1][2] = path
-        else:
-            runs.append([host, path, path, lines, []])
-        runs[-1][4].append(i)
+    """page_id -> text, all on one machine: every pair of every host, and votes counted by a plain table of lengths."""
+
+    def shared(a, b):  # places of a in a longest common subsequence
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                table[i][j] = table[i + 1][j + 1] + 1 if a[i] == b[j] else max(table[i + 1][j], table[i][j + 1])
+        i = j = 0
+        out = set()
+        while i < len(a) and j < len(b):
+            if a[i] == b[j]:
+                out.add(i)
+                i, j = i + 1, j + 1
+            elif table[i + 1][j] >= table[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+        return out
+
+    hosts = {}
+    for i, url, html in rows:
+        lines = pt.blocks(html)
+        own = pt.candidates(lines)
+        codes = tuple((3 if lines[k][2] else 1) if k in own else 0 for k in range(len(lines)))
+        parts = url.split("?")[0].split("#")[0].split("/", 3)
+        kind = hosts.setdefault(parts[2].lower(), {}).setdefault((tuple(t for t, _, _ in lines), codes), [[], []])
+        kind[0].append("/" + parts[3] if len(parts) > 3 else "")
+        kind[1].append(i)
     out = {}
-    for prev, run, nxt in zip([None, *runs], runs, [*runs[1:], None]):
-        drop = pt.shared_with_neighbour(prev, run, nxt)
-        out |= {i: "\n".join(x for k, x in enumerate(run[3]) if k not in drop) for i in run[4]}
+    for kinds in hosts.values():
+        order = sorted(kinds, key=lambda k: min(kinds[k][0]))
+        for at, (lines, codes) in enumerate(order):
+            near = [order[j] for j in (at - 1, at + 1, at - 2, at + 2, at - 3, at + 3, at - 4, at + 4) if 0 <= j < len(order)][:4]
+            votes, inner, need, counted = [0] * len(lines), [0] * len(lines), min(2, len(near)), 0
+            for other, theirs in near:
+                same = shared(lines, other)
+                sizes = [sum(len(t) for t, c in zip(x, y) if c == 3) for x, y in ((lines, codes), (other, theirs))]
+                copy = min(sizes) > 0 and 2 * sum(len(lines[k]) for k in same if codes[k] == 3) > min(sizes)
+                counted += not copy
+                for k in same:
+                    votes[k] += 1
+                    inner[k] += not copy
+            gone = {k for k in range(len(lines)) if need and votes[k] >= need and codes[k] == 1}
+            article = [k for k, c in enumerate(codes) if c == 3]
+            for seq in (article, article[::-1]):
+                for k in seq:
+                    if counted < 3 or inner[k] < counted:
+                        break
+                    gone.add(k)
+            text = "\n".join(t for k, t in enumerate(lines) if codes[k] and k not in gone)
+            out |= dict.fromkeys(kinds[lines, codes][1], text)
     return out
 
 
-@pytest.mark.parametrize("n", ["1", "7", "90"])
-def test_pairs_do_not_hang_on_the_ranges(spark, ranges, n):
+@pytest.mark.parametrize("n", ["1", "8", "211"])
+def test_pairs_do_not_hang_on_partitions(spark, ranges, n, monkeypatch):
+    monkeypatch.setattr(pt, "BLOCK", 16)  # classes of a host in many blocks
     rows = [(i, f"http://h{i // 40}.org/{i % 40 // 6}/{i:03d}", page(["same"] if 20 <= i < 35 else [f"own {i}", f"of section {i // 6}"])) for i in range(100)]
     ranges(n)
     got = pt.extract(spark.createDataFrame(rows, SCHEMA)).collect()
@@ -134,6 +183,14 @@ def test_pairs_do_not_hang_on_the_ranges(spark, ranges, n):
     assert {r.page_id: r.text for r in got} == want and all("Site name" not in x for x in want.values())
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_whole_hosts_against_brute_force(spark, sf):
+    pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")
+    got = pt.extract(pages).collect()
+    assert {r.page_id: r.text for r in got} == by_hand([tuple(r) for r in pages.select("page_id", "url", "html").collect()])
+    assert sum(r.n_template for r in got) > 0
+
+
 def test_a_host_with_most_pages_spreads(spark):
     rows = [(i, f"http://big.org/s{i % 7}/p{i:05d}", page([f"own {i}", f"more {i}"])) for i in range(3000)]
     got = pt.extract(spark.createDataFrame(rows, SCHEMA).repartition(12)).collect()
