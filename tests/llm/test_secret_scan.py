@@ -1,6 +1,7 @@
 """Known forms against Python's re; the battery on random and readable runs."""
 
 import hashlib
+import math
 import random
 import re
 import string
@@ -80,7 +81,7 @@ def test_battery_tells_random_from_readable(spark):
     hits = {r.doc_id: r.spans for r in ss.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     caught = {i for i, s in hits.items() if "random" in s}
     secret = {i for i, _ in rows if i % 3 == 0}
-    assert len(caught & secret) >= 0.95 * len(secret) and len(caught - secret) <= 0.02 * len(rows)
+    assert len(caught & secret) >= 0.95 * len(secret) and not caught - secret
     for i in caught & secret:
         s, e = (int(x) for x in hits[i].split(",")[0].split(":")[1:])
         assert len(rows[i][1][s:e]) == 40
@@ -88,29 +89,127 @@ def test_battery_tells_random_from_readable(spark):
 
 def test_copies_are_no_tests_of_their_own(spark):
     r, alphabet = random.Random(5), string.ascii_letters + string.digits
-    rows = [(i, f"see {name}V1a and {''.join(r.choices(alphabet, k=20))} here") for i, name in enumerate(["internalResponseHandler", "customerFactoryService", "defaultConfigurationName"])]
-    copies = spark.range(100, 60_100).select(F.col("id").alias("doc_id"), F.lit("the internalCustomerServiceV2 again").alias("text"))
-    got = ss.scan(copies.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))).where("n_random > 0").collect()
+    rows = [(i, f"see {name}V1a and {''.join(r.choices(alphabet, k=32))} here") for i, name in enumerate(["internalResponseHandler", "customerFactoryService", "defaultConfigurationName"])]
+    copies = spark.range(100, 20_100).select(F.col("id").alias("doc_id"), F.lit("the internalCustomerServiceV2InThatFactory again").alias("text"))
+    others = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 500").select((F.col("doc_id") + 100_000).alias("doc_id"), F.regexp_replace("text", "[0-9+/_-]", " ").alias("text"))
+    got = ss.scan(copies.unionByName(spark.createDataFrame(rows, "doc_id long, text string")).unionByName(others)).where("n_random > 0").collect()
     assert sorted(x.doc_id for x in got) == [0, 1, 2] and all(x.n_random == 1 for x in got)
 
 
-def test_short_hex_keys_among_readable_runs(spark):
-    r = random.Random(6)
-    names = ["internal", "customer", "Response", "handler", "2024", "Service", "factory", "v2", "configuration", "Default"]
-    keys = ["".join(r.choices("0123456789abcdef" if i % 2 else "0123456789ABCDEF", k=r.randint(20, 31))) for i in range(600)]
-    readable = ["".join(r.choices(names, k=3)) + f"V{i}aLonger" for i in range(400)]
-    runs = spark.createDataFrame([(m, int(len(m) >= 28), i < len(keys)) for i, m in enumerate(keys + readable)], "m string, c int, secret boolean")
-    runs = runs.select("c", "secret", ss.evidence(F.col("m")).alias("z"), F.xxhash64("m").alias("h")).cache()
-    cuts = ss.cutoffs(runs, 0.001)
-    hit = [(x.secret, x.z >= cuts[x.c]) for x in runs.collect()]
-    caught = sum(s and h for s, h in hit) / len(keys)
-    assert caught >= 0.62 and sum(h for s, h in hit if not s) <= 0.02 * len(readable), (caught, sum(h for s, h in hit if not s))
-
-
-@pytest.mark.parametrize("z, p", [(0.0, 0.5), (1.0, 0.158655), (3.0, 0.001350), (-1.0, 0.841345), (5.0, 2.8665e-7)])
-def test_normal_tail(spark, z, p):
-    got = spark.range(1).select(F.expr(ss._normal_tail(f"CAST({z} AS double)"))).first()[0]
-    assert abs(got - p) <= 1e-6 * max(1, abs(z)) and (p > 1e-4 or abs(got / p - 1) < 0.2)
+#: Names, slugs and paths.
+READABLE_NAMES = """
+getElementsByClassNameAndTagId2 SomeVeryLongClassNameFactoryBean org-apache-spark-sql-types-StructType XMLHttpRequestEventTarget2 AbstractSingletonProxyFactoryBean
+how-to-install-python-3-on-ubuntu-22 com/example/project/v2/ClientFactoryTest MAX_RETRY_COUNT_BEFORE_FAIL_2 HTTPSConnectionPoolManager20 usr/local/lib/python3/site-packages
+2024-01-15T10-30-00Z-backup-7 user_profile_image_1280x720 my_variable_name_with_numbers_123 IllegalArgumentException42 spark_sql_shuffle_partitions_200
+blog/2023/05/17/ten-tips-for-better-sleep convertUtf8ToUtf16LittleEndian ENABLE_FEATURE_X86_64_SSE42 Lorem-ipsum-dolor-sit-amet-2 NSMutableAttributedStringKey
+CVE-2021-44228-log4j-exploit covid19vaccinationstatistics JsonWebTokenAuthenticationFilter3 base64EncodedStringToByteArray IMG_20230817_123456_HDR_edited
+x86_64-unknown-linux-gnu-gcc-12 test_user_can_login_with_oauth2 Intel-Core-i7-12700K-processor Q3FY2023EarningsReportFinal ThreadPoolTaskExecutorConfig
+""".split()
+#: Words of which no name was made while the battery's constants were picked.
+PARTS = """anchor apple autumn balance basket bicycle blanket bottle branch bridge brother butter cabin camera candle canyon carpet castle cattle chapter cherry chimney circle coffee corner cotton country
+couple cousin curtain danger desert dinner doctor dragon drawer engine evening fabric factory feather finger flower forest freedom garden ginger glacier guitar hammer harbor harvest helmet history holiday honey
+hospital hunter island jacket journey jungle kettle kitchen ladder lantern leather lemon letter library lizard machine marble meadow mirror monkey morning mountain museum needle ocean office orange oxygen
+painter pepper pilot planet pocket pottery prison puzzle quarter rabbit railway ribbon river rocket saddle sailor salmon season shadow shelter silver sister spider spring square stable statue stomach story
+sugar sunset supper symbol tailor temple theater thunder tiger tobacco tomato tower travel trumpet tunnel turtle uncle valley velvet village violin walnut weather whisper willow window winter wizard yellow""".split()
+
+
+def made_up_names(r, n):
+    styles = [lambda w: w[0] + "".join(x.title() for x in w[1:]), lambda w: "".join(x.title() for x in w), "_".join, "-".join, "/".join, lambda w: "_".join(w).upper()]
+    out = set()
+    while len(out) < n:
+        name = r.choice(styles)(r.choices(PARTS, k=r.randint(3, 5))) + r.choice(["", "2", "V2", "_v3", "2024", "-01", "64"])
+        if len(name) >= 20:
+            out.add(name)
+    return sorted(out)
+
+
+ALPHABETS = {"hex": "0123456789abcdef", "base32": string.ascii_uppercase + "234567", "base36": string.ascii_lowercase + string.digits, "base62": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/"}
+
+
+def test_rates_on_held_out_names_and_keys(spark):
+    """Next to 2,000 names: at most the level of them may be found, and 0.9 of keys of 24 and more characters of each encoding."""
+    r = random.Random(8)
+    names = made_up_names(r, 2000)
+    keys = {k: ["".join(r.choices(a, k=r.randint(24, 31))) for _ in range(200)] for k, a in ALPHABETS.items()}
+    docs = [r_.text for r_ in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").limit(500).collect()]
+    held = [("name", x) for x in names] + [(k, x) for k, xs in keys.items() for x in xs]
+    rows = [(i, f"see {x} here\n{docs[i % len(docs)] or ''}") for i, (_, x) in enumerate(held)]
+    spans = ss.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).where("n_random + n_hex > 0").select("doc_id", "spans").collect()
+    found = {x.doc_id for x in spans if any(int(one.split(":")[1]) == 4 for one in x.spans.split(","))}
+    caught = {k: [held[i][1] for i in range(len(held)) if held[i][0] == k and i in found] for k in ("name", *ALPHABETS)}
+    assert len(caught["name"]) <= 0.001 * len(names) + 2, caught["name"]
+    assert all(len(caught[k]) >= 0.9 * 200 for k in ALPHABETS), {k: len(v) for k, v in caught.items()}
+
+
+def by_hand(m, pairs):
+    """The battery, written out: (encoding, deviations, bits)."""
+    letters = string.ascii_lowercase
+    kinds = [(16, r"[0-9a-f]+|[0-9A-F]+", 6, 10), (32, r"[A-Z2-7]+", 26, 6), (36, r"[a-z0-9]+|[A-Z0-9]+", 26, 10), (62, r"[A-Za-z0-9]+", 26, 10), (64, r".+", 26, 10)]
+    k, _, n_letters, n_digits = next(x for x in kinds if re.fullmatch(x[1], m))
+    n, cls = len(m), ["u" if c.isupper() else "l" if c.islower() else "d" if c.isdigit() else "o" for c in m]
+    x2 = sum((m.count(c) - n / k) ** 2 / (n / k) for c in set(m)) + (k - len(set(m))) * n / k
+    uniform = (x2 - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
+    q = [n_letters / k, n_digits / k] if k < 62 else [26 / k, 26 / k, 10 / k] + ([2 / k] if k == 64 else [])
+    p, s2, s3 = 1 - sum(x * x for x in q), sum(x * x for x in q), sum(x**3 for x in q)
+    changes = sum(a != b for a, b in zip(cls, cls[1:]))
+    runs = (changes - (n - 1) * p) / math.sqrt((n - 1) * p * (1 - p) + 2 * (n - 2) * (s3 - s2 * s2))
+    codes = [ord(c) for c in m]
+    mean = sum(codes) / n
+    var = sum((c - mean) ** 2 for c in codes)
+    serial = ((sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:])) / var if var else 1) + 1 / n) * math.sqrt(n)
+    count = {b: 1 + sum(pairs.get(a + b, 0) for a in " " + letters) for b in letters}
+    share = {b: c / sum(count.values()) for b, c in count.items()}
+    english = dict(zip(letters, ss.ENGLISH))
+    mixed = lambda b, p: math.log2(0.55 * p + 0.35 * english[b] / sum(ss.ENGLISH) + 0.1 / 26)
+    rate = max(1e-3, min(0.3, changes / (n - 1)))
+    log = changes * math.log2(rate / 2) + (n - 1 - changes) * math.log2(1 - rate) + math.log2(1 / 3)
+    for i, c in enumerate(m):
+        low = c.lower()
+        if cls[i] == "d":
+            log += math.log2(1 / 10)
+        elif cls[i] == "o":
+            log += math.log2(1 / 2)
+        elif i and cls[i - 1] in "lu" and (cls[i] == "l" or cls[i - 1] == "u"):
+            before = m[i - 1].lower()
+            row = sum(pairs.get(before + b, 0) for b in letters)
+            log += mixed(low, (pairs.get(before + low, 0) + 26 * share[low]) / (row + 26))
+        else:
+            log += mixed(low, share[low])
+    return k, (uniform, runs, serial), -n * math.log2(k) - log
+
+
+def test_battery_against_brute_force(spark):
+    r = random.Random(2)
+    text = "The internal customer asked for the default configuration of a handler, then wrote it to the factory."
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "Zebra zoo ZEBRA")], "doc_id long, text string")
+    pairs = ss.letter_pairs(docs)
+    want = {}
+    for t in (text, "", "Zebra zoo ZEBRA"):
+        for w in set(re.split("[^a-z]+", t.lower())):
+            for a, b in zip(" " + w, w):
+                want[a + b] = want.get(a + b, 0) + 1
+    assert pairs == want
+    runs = ["".join(r.choices(a, k=r.randint(20, 70))) for a in ALPHABETS.values() for _ in range(40)] + READABLE_NAMES + ["a1" * 12, "A" * 19 + "1", "0123456789abcdef0123"]
+    got = spark.createDataFrame([(m,) for m in runs], "m string").select("m", ss.battery(F.col("m"), ss.Readable(pairs)).alias("b"), ss.evidence(F.col("m"), ss.Readable(pairs)).alias("e")).collect()
+    for x in got:
+        k, off, bits = by_hand(x.m, pairs)
+        assert x.b.k == k == x.e.k and all(abs(u - v) < 1e-6 for u, v in zip((x.b.uniform, x.b.runs, x.b.serial), off)), x
+        assert abs(x.b.bits_uniform + x.b.bits_runs + x.b.bits_serial - bits) < 1e-6
+        assert abs(x.e.bits - (bits if all(abs(v) <= 4 for v in off) else -1)) < 1e-6
+
+
+def test_cutoffs_against_brute_force(spark):
+    r = random.Random(9)
+    rows = [(c, r.uniform(-5, 10) if r.random() < 0.9 else r.uniform(10, 40), h) for c in (160, 621, 642) for h in range(r.choice([3, 60, 400]))]
+    rows += [(360, 1.0, 1), *rows[:5]]  # a class without discoveries; repeats
+    got = ss.cutoffs(spark.createDataFrame(rows, "c int, z double, h long"), 0.001)
+    want = {}
+    for c in {c for c, _, _ in rows}:
+        z = sorted((max(-1, math.floor(4 * z) / 4) for _, z in {(h, z) for k, z, h in rows if k == c}), reverse=True)
+        ok = [x for x in z if x >= math.log2(len(z) / (0.001 * sum(y >= x for y in z)))]
+        if ok:
+            want[c] = min(ok)
+    assert got == want
 
 
 def test_redaction_keeps_columns_and_masks(spark):
