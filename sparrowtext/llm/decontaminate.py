@@ -147,7 +147,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     # exact weighted Jaccard: sum of minima over (both sums less the minima)
     pairs = near.repartition("text_hash").withColumnsRenamed({"text_hash": "of_text", "size": "of_size"}).join(dealt, F.expr("text_hash = of_text AND size = of_size"))
-    pair = ["text_hash", "n", "start", "item_id", "hamming"]
+    pair = ["text_hash", "size", "n", "start", "item_id", "hamming"]  # with both keys of the join, so that nothing moves again
     counted = shingles_of(pairs, "item_id", "hamming").groupBy(*pair, "h").agg(F.count("*").alias("times")).alias("g")
     own = in_item.select(F.col("item_id").alias("of_item"), F.col("h").alias("of_h"), F.col("times").alias("own"))
     shared = counted.join(sent(own), F.expr("item_id = of_item AND h = of_h"), "left").join(sent(weights), "h", "left").withColumn("w", F.coalesce("idf", F.lit(most)))
