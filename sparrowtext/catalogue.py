@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from .operators import terms as tm
 from .operators.index import SearchIndex
 from .operators.search import Searcher
 from .plans import parser
-from .plans.query import FILTER, MUST, MUST_NOT, SHOULD, Bool, Fuzzy, Phrase, PointRange, Prefix, Term, Wildcard
+from .plans.query import FILTER, MUST, MUST_NOT, SHOULD, Bool, Fuzzy, MatchAll, MatchNone, Phrase, PointRange, Prefix, Term, Wildcard
 from .sources import corpora, durable
 from .sources.store import Store
 from .streaming.ingest import ingest
@@ -208,7 +210,7 @@ def collection_stats(s, d):
 
 @register("norms", f"{_P} SELECT doc, dl AS dl, {sql.q('dl')}::INTEGER AS dl_q FROM dl")
 def norms(s, d):
-    return documents(s, d).postings.where("field = 'text'").groupBy("doc").agg(F.first("dl").cast("long").alias("dl"), F.first("dl_q").alias("dl_q"))
+    return documents(s, d).norms.where("field = 'text'").select("doc", F.col("dl").cast("long").alias("dl"), "dl_q")
 
 
 @register("avg_field_length", f"{_P} SELECT round((s::DOUBLE / n)::FLOAT::DOUBLE, 4) AS avgdl FROM st")
@@ -228,7 +230,7 @@ def terms_enum(s, d):
     return tm.terms(documents(s, d), "text").select("term", "df")
 
 
-@register("terms_prefix_segment", f"{_P} SELECT term, df FROM dfs WHERE term LIKE 'lic%'")
+@register("terms_with_prefix", f"{_P} SELECT term, df FROM dfs WHERE term LIKE 'lic%'")
 def terms_prefix(s, d):
     return tm.terms(documents(s, d), "text", "lic").select("term", "df")
 
@@ -451,8 +453,6 @@ def segment_terms(s, d):
 
 @register("stream_ingest_search", sql.boolean(_CL))
 def stream_ingest_search(s, d):
-    import uuid
-
     at = f"{_dir(s)}/streamed-{uuid.uuid4().hex}"
     schema = table(s, d, "documents").schema
     path = s._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
@@ -465,23 +465,84 @@ def stream_ingest_search(s, d):
 
 @register("delete_docs", f"SELECT doc, score FROM ({_ALL}) WHERE doc % 3 <> 0 ORDER BY score DESC, doc LIMIT 10")
 def delete_docs(s, d):
-    ix = documents(s, d)
-    gone = SearchIndex(ix.spark, ix.fields, ix.docs, ix.postings, ix.terms, ix.stats, ix.docs.where("doc % 3 = 0").select("doc"))
-    return scored(Searcher(gone).search(_query(_CL), 10))
+    store = _new_store(s, "deleted")
+    store.write(table(s, d, "documents"), "doc_id", [fd.text("text")])
+    store.delete(store.open().docs.where("doc % 3 = 0").select("doc"))
+    return scored(Searcher(store.open()).search(_query(_CL), 10))
 
 
-@register("ext_phrase", f"WITH {_LISTS} SELECT a.doc AS doc, count(*) AS freq FROM placed a JOIN placed b ON a.doc = b.doc AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY a.doc")
-def ext_phrase(s, d):
-    ix = documents(s, d)
-    hits = Searcher(ix).hits(Phrase("text", ("of", "the"))).select("doc")
-    at = lambda t: ix.postings.where((F.col("field") == "text") & (F.col("term") == t)).select("doc", F.explode("positions").alias("p"))
-    pairs = at("of").alias("a").join(at("the").alias("b"), F.expr("a.doc = b.doc AND b.p = a.p + 1")).groupBy("a.doc").agg(F.count("*").alias("freq"))
-    return hits.join(pairs, "doc").select("doc", "freq")
+def _new_store(s, name) -> Store:
+    return Store(s, f"{_dir(s)}/{name}-{uuid.uuid4().hex}")
+
+
+def _over(docs: str, clauses, more: str) -> str:
+    """SQL of all hits where the documents are those of a subquery (doc_id, text)."""
+    three = [(c[0], c[1], 1.0) for c in clauses]
+    return f"WITH u AS ({docs}), {sql.postings('u')}, {sql.scores()}, hits AS ({sql.matched(sql.clause_hits(three), three)}) {more}"
+
+
+@register("merge_search", _over("SELECT doc_id, text FROM documents WHERE doc_id % 3 <> 0", _CL, f"SELECT {sql.OUT} FROM hits ORDER BY hits.score DESC, doc LIMIT 10"))
+def merge_search(s, d):
+    docs, fields, store = table(s, d, "documents"), [fd.text("text")], _new_store(s, "merged")
+    store.write(docs.where("doc_id % 2 = 0"), "doc_id", fields)
+    store.write(docs.where("doc_id % 2 = 1"), "doc_id", fields, mode="append")
+    store.delete(store.open().docs.where("doc % 3 = 0").select("doc"))
+    store.merge()
+    return scored(Searcher(store.open()).search(_query(_CL), 10))
+
+
+@register("update_docs", _over("SELECT doc_id, text FROM documents UNION ALL SELECT doc_id + 1000000000, text || ' the license' FROM documents WHERE doc_id % 5 = 0", [(MUST, "the"), (SHOULD, "license")],
+    "SELECT doc % 1000000000 AS doc, round(score::DOUBLE, 5) AS score FROM hits WHERE doc >= 1000000000 OR doc % 5 <> 0"))
+def update_docs(s, d):
+    docs, fields, store = table(s, d, "documents"), [fd.text("text")], _new_store(s, "updated")
+    store.write(docs, "doc_id", fields)
+    store.update(docs.where("doc_id % 5 = 0").withColumn("text", F.concat("text", F.lit(" the license"))), "doc_id", fields)
+    return scored(Searcher(store.open()).hits(_query([(MUST, "the"), (SHOULD, "license")])))
+
+
+@register("append_string_keys", f"SELECT 'd' || doc AS key, score FROM ({_ALL})")
+def append_string_keys(s, d):
+    docs = table(s, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("key"), "text", "doc_id")
+    fields, store = [fd.text("text"), fd.stored("key")], _new_store(s, "keyed")
+    store.write(docs.where("doc_id % 2 = 0"), "key", fields)
+    store.write(docs.where("doc_id % 2 = 1"), "key", fields, mode="append")
+    x = Searcher(store.open())
+    return x.fetch(scored(x.hits(_query(_CL))), "key").select("key", "score")
+
+
+@register("multi_valued_text", f"WITH u AS (SELECT doc_id, text || ' ' || source AS text FROM documents), {sql.postings('u')} SELECT term, count(*) AS df, sum(tf)::BIGINT AS ttf FROM post GROUP BY term")
+def multi_valued_text(s, d):
+    docs = ixs.with_doc(table(s, d, "documents").withColumn("parts", F.array("text", "source")), "doc_id")
+    return ixs.term_table(ixs.field_postings(docs, fd.text("parts", level="freqs"))).select("term", "df", "ttf")
+
+
+def _constant(where: str) -> str:
+    return f"{_P} SELECT DISTINCT doc, 1.0::DOUBLE AS score FROM post WHERE {where}"
+
+
+def _all_hits(query):
+    return lambda s, d: scored(Searcher(documents(s, d)).hits(query))
+
+
+register("match_all", "SELECT doc_id AS doc, 1.0::DOUBLE AS score FROM documents")(_all_hits(MatchAll()))
+register("match_none", "SELECT doc_id AS doc, 1.0::DOUBLE AS score FROM documents WHERE false")(_all_hits(MatchNone()))
+register("bool_empty", "SELECT doc_id AS doc, 1.0::DOUBLE AS score FROM documents WHERE false")(_all_hits(Bool([])))
+register("ext_prefix", _constant("term LIKE 'licen%'"))(_all_hits(Prefix("text", "licen")))
+register("ext_wildcard", _constant("term LIKE 'l_cen%ed'"))(_all_hits(Wildcard("text", "l?cen*ed")))
+register("ext_fuzzy", _constant("levenshtein(term, 'licence') <= 1"))(_all_hits(Fuzzy("text", "licence", 1)))
+register("ext_phrase", f"""WITH {sql.postings()}, {_LISTS}, p AS (SELECT a.doc AS doc, count(*) AS tf FROM placed a JOIN placed b ON a.doc = b.doc AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY a.doc),
+    w AS (SELECT sum(ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))::FLOAT::DOUBLE)::FLOAT AS w FROM dfs, st WHERE term IN ('of', 'the')),
+    x AS (SELECT doc, tf, w, (1.0::FLOAT / (1.2::FLOAT * ((1.0::FLOAT - 0.75::FLOAT) + (0.75::FLOAT * {sql.q('dl')}::FLOAT) / (s::DOUBLE / n)::FLOAT)))::FLOAT AS inv FROM p JOIN dl USING (doc), st, w)
+    SELECT doc, round({sql.SCORE.format(w='w')}::DOUBLE, 5) AS score FROM x""")(_all_hits(Phrase("text", ("of", "the"))))
+
+
+@register("explain_score", f"WITH {sql.postings()}, {sql.scores()}, h AS ({sql.clause_hits([(MUST, 'the', 1.0), (SHOULD, 'tion', 1.0)])}) SELECT c.term, round(h.score::DOUBLE, 5) AS score FROM h JOIN (VALUES (0, 'the'), (1, 'tion')) c(cid, term) USING (cid) WHERE h.doc = (SELECT doc FROM ({_ALL}) ORDER BY score DESC, doc LIMIT 1)")
+def explain_score(s, d):
+    x = Searcher(documents(s, d))
+    best = x.search(_query(_CL), 1).first().doc
+    return x.explain(_query(_CL), best).select("term", F.round(F.col("score").cast("double"), 5).alias("score"))
 
 
-register("ext_prefix", f"{_P} SELECT DISTINCT doc FROM post WHERE term LIKE 'licen%'")(lambda s, d: Searcher(documents(s, d)).hits(Prefix("text", "licen")).select("doc"))
-register("ext_wildcard", f"{_P} SELECT DISTINCT doc FROM post WHERE term LIKE 'l_cen%ed'")(lambda s, d: Searcher(documents(s, d)).hits(Wildcard("text", "l?cen*ed")).select("doc"))
-register("ext_fuzzy", f"{_P} SELECT DISTINCT doc FROM post WHERE levenshtein(term, 'licence') <= 1")(lambda s, d: Searcher(documents(s, d)).hits(Fuzzy("text", "licence", 1)).select("doc"))
-register("ext_range_points", "SELECT doc_id AS doc FROM documents WHERE n_chars BETWEEN 500 AND 600")(lambda s, d: Searcher(documents(s, d)).hits(PointRange("n_chars", 500, 600)).select("doc"))
+register("ext_range_points", "SELECT doc_id AS doc, 1.0::DOUBLE AS score FROM documents WHERE n_chars BETWEEN 500 AND 600")(_all_hits(PointRange("n_chars", 500, 600)))
 register("ext_sort_by_dv", f"SELECT doc, n_chars FROM ({_ALL}) JOIN documents ON doc = doc_id ORDER BY n_chars DESC, doc LIMIT 10")(lambda s, d: Searcher(documents(s, d)).sort_by(_query(_CL), "n_chars", 10, False).select("doc", "n_chars"))
 register("ext_facet_counts", f"SELECT source AS value, count(*) AS n FROM ({_ALL}) JOIN documents ON doc = doc_id GROUP BY 1")(lambda s, d: Searcher(documents(s, d)).facets(_query(_CL), "source"))

@@ -13,6 +13,7 @@ from ..sources import durable
 from .fields import Field, checked
 
 POSTINGS = "field string, term string, doc long, tf int, dl int, dl_q int, positions array<int>, starts array<int>, lens array<int>"
+NORMS = "field string, doc long, dl int, dl_q int"
 NONE = "CAST(NULL AS array<int>)"
 
 
@@ -27,6 +28,7 @@ class SearchIndex:
     terms: DataFrame
     stats: DataFrame
     deleted: DataFrame | None = None
+    norms: DataFrame | None = None
     extra: dict = dc_field(default_factory=dict)
 
     def full_stats(self) -> DataFrame:
@@ -40,13 +42,19 @@ class SearchIndex:
         raise KeyError(name)
 
 
+def source_text(docs: DataFrame, f: Field) -> Column:
+    """The text of a tokenized field; several values are one text, a blank between them."""
+    c = F.col(f.source)
+    return F.array_join(c, " ") if docs.schema[f.source].dataType.typeName() == "array" else c
+
+
 def _tokenized(docs: DataFrame, f: Field) -> DataFrame:
     """term, doc, pos, dl (tokens of the document) and, at level offsets, byte start and length."""
     if f.level != "offsets":
-        toks = docs.select("doc", analysis.ANALYZERS[f.analyzer](F.col(f.source)).alias("t"))
+        toks = docs.select("doc", analysis.ANALYZERS[f.analyzer](source_text(docs, f)).alias("t"))
         # outer, as the plain form makes Spark tokenize a second time, to filter empty arrays
         return toks.select("doc", F.size("t").alias("dl"), F.posexplode_outer("t").alias("pos", "term")).where("pos IS NOT NULL")
-    raw, gaps = analysis.pieces(F.col(f.source), f.analyzer)
+    raw, gaps = analysis.pieces(source_text(docs, f), f.analyzer)
     both = docs.select("doc", raw.alias("t"), gaps.alias("g"))
     at = both.select("doc", F.size("t").alias("dl"), F.posexplode_outer(F.arrays_zip("t", F.slice("g", 1, F.size("t")).alias("g"))).alias("pos", "x")).where("pos IS NOT NULL")
     w = Window.partitionBy("doc").orderBy("pos")
@@ -91,27 +99,57 @@ def all_postings(docs: DataFrame, fields: list[Field]) -> DataFrame:
     return out if out is not None else docs.sparkSession.createDataFrame([], POSTINGS)
 
 
+def field_norms(docs: DataFrame, f: Field) -> DataFrame:
+    """field, doc, dl, dl_q: a row for each document that has the field; dl is null where lengths do not count."""
+    c = F.col(f.source)
+    if f.tokenized:
+        rows = docs.select("doc", F.size(analysis.ANALYZERS[f.analyzer](source_text(docs, f))).alias("dl")).where("dl > 0")
+        return rows.select(F.lit(f.name).alias("field"), "doc", "dl", quantized_length(F.col("dl")).alias("dl_q"))
+    many = docs.schema[f.source].dataType.typeName() == "array"
+    held = F.size(F.array_compact(c)) > 0 if many else F.size(c) > 0 if f.feature else c.isNotNull()
+    return docs.where(held).select(F.lit(f.name).alias("field"), "doc", F.lit(None).cast("int").alias("dl"), F.lit(1).alias("dl_q"))
+
+
+def all_norms(docs: DataFrame, fields: list[Field]) -> DataFrame:
+    out = None
+    for f in fields:
+        if f.level != "none":
+            one = field_norms(docs, f)
+            out = one if out is None else out.unionByName(one)
+    return out if out is not None else docs.sparkSession.createDataFrame([], NORMS)
+
+
 def term_table(postings: DataFrame) -> DataFrame:
     """field, term, df, ttf."""
     return postings.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("ttf"))
 
 
-def stat_table(postings: DataFrame, terms: DataFrame, max_doc: int) -> DataFrame:
-    """One row per field: max_doc, doc_count, sum_ttf, sum_df, min_term, max_term."""
-    by_doc = postings.groupBy("field", "doc").agg(F.count("*").alias("n")).groupBy("field").agg(F.count("*").alias("doc_count"))
-    of_terms = terms.groupBy("field").agg(F.sum("ttf").alias("sum_ttf"), F.sum("df").alias("sum_df"), F.min("term").alias("min_term"), F.max("term").alias("max_term"))
-    return of_terms.join(by_doc, "field").select("field", F.lit(max_doc).cast("long").alias("max_doc"), "doc_count", "sum_ttf", "sum_df", "min_term", "max_term")
+def stat_table(norms: DataFrame, terms: DataFrame, max_doc: int) -> DataFrame:
+    """One row per field: max_doc, doc_count, sum_ttf, sum_df, max_df, min_term, max_term."""
+    by_doc = norms.groupBy("field").agg(F.count("*").alias("doc_count"))
+    of_terms = terms.groupBy("field").agg(F.sum("ttf").alias("sum_ttf"), F.sum("df").alias("sum_df"), F.max("df").alias("max_df"), F.min("term").alias("min_term"), F.max("term").alias("max_term"))
+    return of_terms.join(by_doc, "field").select("field", F.lit(max_doc).cast("long").alias("max_doc"), "doc_count", "sum_ttf", "sum_df", "max_df", "min_term", "max_term")
+
 
+def check_stats(row) -> None:
+    """What must hold of a field's statistics (a mapping), or scores would be off."""
+    if not 0 < row["doc_count"] <= row["max_doc"] or not row["doc_count"] <= row["sum_df"] <= row["sum_ttf"] or row["max_df"] > row["doc_count"]:
+        raise ValueError(f"statistics of field {row['field']} contradict each other (do documents share an id?): {dict(row)}")
 
-def with_doc(df: DataFrame, key: str | list[str]) -> DataFrame:
-    """df with `doc`: a long key itself, else the rank of the (composite) key in its order.
+
+def with_doc(df: DataFrame, key: str | list[str], base: int = 0) -> DataFrame:
+    """df with `doc`: a long key itself, else base plus the rank of the (composite) key in its order.
 
     The rank is made by range partitions and their counts, not in one task.
     """
-    if isinstance(key, str) and df.schema[key].dataType.typeName() in ("long", "integer"):
+    if is_number(df, key):
         return df.withColumn("doc", F.col(key).cast("long"))
     keys = [key] if isinstance(key, str) else key
-    return df.join(ranks(df.select(*keys).distinct(), "doc"), keys)
+    return df.join(ranks(df.select(*keys).distinct(), "doc").withColumn("doc", F.col("doc") + base), keys)
+
+
+def is_number(df: DataFrame, key: str | list[str]) -> bool:
+    return isinstance(key, str) and df.schema[key].dataType.typeName() in ("long", "integer")
 
 
 def ranks(distinct: DataFrame, name: str) -> DataFrame:
@@ -126,8 +164,8 @@ def build(df: DataFrame, key: str | list[str], fields: list[Field], cache: bool
     postings = all_postings(docs, fields)
     if cache:
         postings = postings.cache()
-    terms = term_table(postings)
-    return SearchIndex(df.sparkSession, fields, docs, postings, terms, stat_table(postings, terms, docs.count()))
+    terms, norms = term_table(postings), all_norms(docs, fields)
+    return SearchIndex(df.sparkSession, fields, docs, postings, terms, stat_table(norms, terms, docs.count()), norms=norms)
 
 
 def doc_values(docs: DataFrame, f: Field) -> DataFrame:

@@ -13,6 +13,8 @@ from ..operators.index import SearchIndex
 
 MUST, SHOULD, FILTER, MUST_NOT = "must", "should", "filter", "must_not"
 OCCURS = (MUST, SHOULD, FILTER, MUST_NOT)
+#: Terms up to which a pattern's terms are pushed into the scan of the postings.
+FEW_TERMS = 1000
 
 
 @dataclass
@@ -88,7 +90,11 @@ class TermFilter(Query):
     boost: float = 1.0
 
     def compile(self, ctx, boost=1.0):
-        post = ctx.index.postings.where((F.col("field") == self.field) & self.predicate(F.col("term")))
+        # the dictionary is asked first: few terms go into the postings' scan, many are joined
+        terms = ctx.index.terms.where((F.col("field") == self.field) & self.predicate(F.col("term"))).select("term")
+        some = [r.term for r in terms.limit(FEW_TERMS + 1).collect()]
+        post = ctx.index.postings.where(F.col("field") == self.field).select("term", "doc")
+        post = post.where(F.col("term").isin(some)) if len(some) <= FEW_TERMS else post.join(terms, "term", "left_semi")
         return post.select("doc").distinct().select("doc", f32(self.boost * boost).alias("score"))
 
 

@@ -1,12 +1,20 @@
 """An index directory: segments of Parquet tables and a versioned list of them.
 
-<dir>/segments/<id>/{docs,postings,terms,deletes}   tables of one segment
-<dir>/segments_<N>                                   JSON; the highest N is the index
-
-A commit writes its tables first and then renames the new list into place, so a reader sees a whole
-version or the one before. The list holds each segment's statistics by field; an index's are their
-sums, so opening one runs no job, and scores don't hang on how documents were dealt to segments. Postings are range-partitioned and sorted by (field, term, doc):
-a search reads the row groups of its terms.
+<dir>/segments/<id>/{docs,postings,terms,norms}   tables of one segment
+<dir>/deletes/<id>                                 documents that are gone from the segments of their time
+<dir>/segments_<N>                                 JSON; the highest N that is whole is the index
+
+A commit writes its tables first, under new names, and then creates the new list; the creation is
+exclusive, so of two writers one fails, and a list that was not written to its end is no version, so a reader sees a
+whole version or the one before. The list holds each segment's statistics by field; an index's are their
+sums, so opening one runs no job, and scores don't hang on how documents were dealt to segments.
+Postings are range-partitioned and sorted by (field, term, doc): a search reads the row groups of its
+terms.
+
+Documents are numbered by a whole-number key itself, or from the segment's base by the rank of their
+key: bases follow one another, so no two segments share a number. A delete counts for the segments
+that stood when it was committed, so a document that comes back later is there. As in other engines
+statistics forget deleted documents when segments are merged.
 """
 
 from __future__ import annotations
@@ -14,13 +22,15 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import fields as fields_
-from ..operators.index import POSTINGS, SearchIndex, all_postings, stat_table, summary, term_table, with_doc
 from ..operators.fields import Field, checked
+from ..operators.index import NORMS, POSTINGS, SearchIndex, all_norms, all_postings, check_stats, is_number, stat_table, summary, term_table, with_doc
 
 STATS = "field string, max_doc long, doc_count long, sum_ttf long, sum_df long, min_term string, max_term string"
 
@@ -42,93 +52,133 @@ class Store:
         return sorted(int(m[1]) for x in names if (m := re.fullmatch(r"segments_(\d+)", x)))
 
     def manifest(self, version: int | None = None) -> dict:
-        all_ = self.versions()
-        if not all_:
-            return {"segments": [], "fields": [], "deletes": []}
-        at = self._at(f"segments_{all_[-1] if version is None else version}")
-        stream = self._fs.open(at)
-        try:
-            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        for n in reversed(self.versions()) if version is None else [version]:
+            stream = self._fs.open(self._at(f"segments_{n}"))
+            try:
+                return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            except json.JSONDecodeError:  # being written, or its writer died
+                if version is not None:
+                    raise
+            finally:
+                stream.close()
+        return {"segments": [], "fields": [], "deletes": [], "next_doc": 0}
 
     def _commit(self, manifest: dict) -> int:
         version = (self.versions() or [0])[-1] + 1
-        pending = self._at(f"pending_segments_{version}_{uuid.uuid4().hex}")
-        out = self._fs.create(pending, True)
+        try:
+            out = self._fs.create(self._at(f"segments_{version}"), False)
+        except Py4JJavaError as e:
+            raise RuntimeError("another writer has committed this version") from e
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        if not self._fs.rename(pending, self._at(f"segments_{version}")):
-            raise RuntimeError("another writer has committed this version")
         return version
 
-    def _write_segment(self, docs: DataFrame, fields: list[Field], name: str) -> dict | None:
+    def _write_segment(self, docs: DataFrame, fields: list[Field], label: str | None, merged: tuple[DataFrame, DataFrame] | None = None) -> dict | None:
+        """A segment's tables under a new name. merged: its postings and norms, if they are known already."""
+        name = uuid.uuid4().hex
         base = f"{self.path}/segments/{name}"
-        docs.write.mode("overwrite").parquet(f"{base}/docs")
+        docs.write.parquet(f"{base}/docs")
         docs = self.spark.read.parquet(f"{base}/docs")
-        n = docs.count()
-        if not n:
+        n, distinct = docs.agg(F.count("*"), F.count_distinct("doc")).first()
+        if n != distinct or not n:
             self._fs.delete(self._at(f"segments/{name}"), True)
+            if n != distinct:
+                raise ValueError(f"documents share an id, or have none: {n} rows, {distinct} ids")
             return None
         # a document's tokens stay in its task: they are grouped without another shuffle
-        post = all_postings(docs.repartition("doc"), fields).repartitionByRange("field", "term", "doc").sortWithinPartitions("field", "term", "doc")
-        post.write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{base}/postings")
+        post, norms = merged or (all_postings(docs.repartition("doc"), fields), all_norms(docs, fields))
+        post = post.repartitionByRange("field", "term", "doc").sortWithinPartitions("field", "term", "doc")
+        post.write.option("parquet.bloom.filter.enabled#term", "true").parquet(f"{base}/postings")
         post = self.spark.read.schema(POSTINGS).parquet(f"{base}/postings")
-        term_table(post).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{base}/terms")
+        norms.write.parquet(f"{base}/norms")
+        norms = self.spark.read.schema(NORMS).parquet(f"{base}/norms")
+        term_table(post).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{base}/terms")
         terms = self.spark.read.parquet(f"{base}/terms")
-        stats = [r.asDict() for r in stat_table(post, terms, n).drop("max_doc").collect()]  # a row per field
-        return {"name": name, "max_doc": n, "stats": stats}
+        stats = [r.asDict() for r in stat_table(norms, terms, n).collect()]  # a row per field
+        for x in stats:
+            check_stats(x)
+        return {"name": name, "label": label or name, "max_doc": n, "stats": [{k: v for k, v in x.items() if k not in ("max_doc", "max_df")} for x in stats]}
 
     def write(self, df: DataFrame, key, fields: list[Field], mode: str = "overwrite", segment: str | None = None) -> int | None:
-        """Index df as a new segment; overwrite starts anew, append adds. None if there was no document.
+        """Index df as a new segment; overwrite starts anew, append adds, update adds and deletes what the index
+        holds under the same keys. None if there was no document.
 
-        A segment of the same name replaces itself, so a retried batch is not indexed twice.
+        A segment of the same name (`segment`) is replaced, so a retried batch is not indexed twice. Whole-number keys
+        that the index holds already can be updated but not appended.
         """
-        now = self.manifest()
-        if mode == "append" and now["fields"] and {f.name: f.shape() for f in map(_field, now["fields"])} != {f.name: f.shape() for f in checked(fields)}:
+        fields = checked(fields)
+        now = self.manifest() if mode != "overwrite" else {"segments": [], "fields": [], "deletes": [], "next_doc": 0}
+        if now["fields"] and {f.name: f.shape() for f in map(_field, now["fields"])} != {f.name: f.shape() for f in fields}:
             raise ValueError("appended fields differ in shape from the index's")
-        done = self._write_segment(with_doc(df, key), checked(fields), segment or uuid.uuid4().hex)
+        keep = [s for s in now["segments"] if segment is None or s["label"] != segment]
+        done = self._write_segment(with_doc(df, key, now["next_doc"]), fields, segment)
         if done is None:
             return None
-        keep = [] if mode == "overwrite" else [s for s in now["segments"] if s["name"] != done["name"]]
-        return self._commit({"segments": [*keep, done], "fields": [vars(f) for f in fields], "deletes": [] if mode == "overwrite" else now["deletes"]})
+        deletes = now["deletes"]
+        if keep:
+            keys = [key] if isinstance(key, str) else key
+            new = self.spark.read.parquet(f"{self.path}/segments/{done['name']}/docs").select(*keys)
+            held = self._live({**now, "segments": keep}, "docs").join(new, keys, "left_semi").select("doc")
+            if mode == "update":
+                deletes = [*deletes, self._deleted(held, keep)]
+            elif is_number(df, key) and not held.isEmpty():
+                raise ValueError("the index holds some of these ids already: update them")
+        numbers = 0 if is_number(df, key) else done["max_doc"]
+        return self._commit({"segments": [*keep, done], "fields": [vars(f) for f in fields], "deletes": deletes, "next_doc": now["next_doc"] + numbers})
+
+    def update(self, df: DataFrame, key, fields: list[Field], segment: str | None = None) -> int | None:
+        """Delete the documents with df's keys and add df, in one commit."""
+        return self.write(df, key, fields, "update", segment)
+
+    def _deleted(self, docs: DataFrame, segments: list[dict]) -> dict:
+        name = f"deletes/{uuid.uuid4().hex}"
+        docs.select("doc").distinct().write.parquet(f"{self.path}/{name}")
+        return {"path": name, "segments": [s["name"] for s in segments]}
 
     def delete(self, docs: DataFrame) -> int:
-        """Mark docs (column doc) as deleted; merge() takes them out."""
-        now, name = self.manifest(), f"deletes/{uuid.uuid4().hex}"
-        docs.select("doc").distinct().write.parquet(f"{self.path}/{name}")
-        return self._commit(now | {"deletes": [*now["deletes"], name]})
+        """Mark docs (column doc) as deleted from the segments that are there now; merge() takes them out."""
+        now = self.manifest()
+        return self._commit(now | {"deletes": [*now["deletes"], self._deleted(docs, now["segments"])]})
 
     def merge(self) -> int | None:
-        """All segments as one, without what is deleted."""
-        ix = self.open()
-        docs = ix.docs if ix.deleted is None else ix.docs.join(ix.deleted, "doc", "left_anti")
-        done = self._write_segment(docs, ix.fields, uuid.uuid4().hex)
-        return self._commit({"segments": [done] if done else [], "fields": [vars(f) for f in ix.fields], "deletes": []})
+        """All segments as one, without what is deleted. Postings are taken over, no text is analyzed again."""
+        now = self.manifest()
+        fields = [_field(f) for f in now["fields"]]
+        done = self._write_segment(self._live(now, "docs"), fields, None, (self._live(now, "postings"), self._live(now, "norms"))) if now["segments"] else None
+        return self._commit(now | {"segments": [done] if done else [], "deletes": []})
+
+    def _live(self, now: dict, table: str) -> DataFrame:
+        """A table of all segments, each without the documents deleted from it."""
+        schema = {"postings": POSTINGS, "norms": NORMS}.get(table)
+        read = self.spark.read.schema(schema) if schema else self.spark.read
+        of: dict[tuple, list[str]] = {}  # deletes -> segments
+        for s in now["segments"]:
+            of.setdefault(tuple(d["path"] for d in now["deletes"] if s["name"] in d["segments"]), []).append(f"{self.path}/segments/{s['name']}/{table}")
+        parts = []
+        for deletes, paths in of.items():
+            rows = read.parquet(*paths)
+            parts.append(rows.join(self.spark.read.parquet(*[f"{self.path}/{d}" for d in deletes]), "doc", "left_anti") if deletes else rows)
+        return reduce(DataFrame.unionByName, parts)
 
     def open(self, version: int | None = None, only: str = "") -> SearchIndex:
         """The index, of the last or a given version; only: the segments whose names begin so."""
         now = self.manifest(version)
-        now["segments"] = [s for s in now["segments"] if s["name"].startswith(only)]
+        now["segments"] = [s for s in now["segments"] if s["label"].startswith(only)]
         if not now["segments"]:
             raise FileNotFoundError(f"no index at {self.path}" + f" with segments {only}..." * bool(only))
-        of = lambda t: [f"{self.path}/segments/{s['name']}/{t}" for s in now["segments"]]
-        docs = self.spark.read.parquet(*of("docs"))
-        post = self.spark.read.schema(POSTINGS).parquet(*of("postings"))
-        terms = self.spark.read.parquet(*of("terms"))
+        terms = self.spark.read.parquet(*[f"{self.path}/segments/{s['name']}/terms" for s in now["segments"]])
         if len(now["segments"]) > 1:
             terms = terms.groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("ttf").alias("ttf"))
-        deleted = self.spark.read.parquet(*[f"{self.path}/{d}" for d in now["deletes"]]).distinct() if now["deletes"] else None
         fields = [_field(f) for f in now["fields"]]
         stats = self.spark.createDataFrame(_summed(now["segments"]), STATS)
-        return SearchIndex(self.spark, fields, docs, post, terms, stats, deleted)
+        return SearchIndex(self.spark, fields, self._live(now, "docs"), self._live(now, "postings"), terms, stats, norms=self._live(now, "norms"))
 
     def summary(self) -> DataFrame:
         """segment, json: the counts of each field of each segment."""
         out = None
         for s in self.manifest()["segments"]:
-            rows = summary(self.open(only=s["name"]))
-            one = rows.select(F.lit(s["name"]).alias("segment"), F.to_json(F.struct(*rows.columns)).alias("json"))
+            rows = summary(self.open(only=s["label"]))
+            one = rows.select(F.lit(s["label"]).alias("segment"), F.to_json(F.struct(*rows.columns)).alias("json"))
             out = one if out is None else out.unionByName(one)
         if out is None:
             raise FileNotFoundError(f"no index at {self.path}")

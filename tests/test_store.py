@@ -48,8 +48,8 @@ def test_versions_append_delete_merge(spark, tmp_path):
     store.merge()
     merged = store.open()
     assert merged.deleted is None and merged.docs.count() == 28 and merged.stats.where("field = 'text'").first().doc_count == 28
-    store.write(docs(spark, 20, 25), "id", FIELDS, mode="append", segment="batch")
-    store.write(docs(spark, 20, 25), "id", FIELDS, mode="append", segment="batch")  # replaces itself
+    store.write(docs(spark, 20, 25), "id", FIELDS, mode="update", segment="batch")
+    store.write(docs(spark, 20, 25), "id", FIELDS, mode="update", segment="batch")  # replaces itself
     assert len(store.manifest()["segments"]) == 2
     with pytest.raises(ValueError):
         store.write(docs(spark, 0, 1), "id", [fd.string("text")], mode="append")
