@@ -1,32 +1,27 @@
-"""Language-model scores by a probabilistic suffix tree.
+"""Language-model scores by a probabilistic suffix tree that grows with the corpus.
 
 The text is its words, lower-cased (A-Z), each followed by one space, then one end symbol; the tree
-predicts it byte by byte. A context, the last 0 to `depth` bytes, is a candidate if it makes up at
-least `least_share` of all training bytes, so at any corpus size at most 1 / least_share of them
-have one length. Candidates and their next-byte counts are exact, found in two steps. Each task
-writes blobs, the sorted distinct windows (context and next byte) of some megabytes of text with
-their counts, and names the contexts that make up at least half of least_share of a blob. A context
-can gain at most that half from every blob that does not name it, so the sums over the naming blobs
-tell which contexts can be candidates at all, at most 2 / least_share of each length. The blobs are
-then read once more and each window counted for the longest of these contexts that it ends with;
-sums along the suffixes give the counts of all.
-
-A candidate is retained if its distribution diverges from that of its longest proper suffix: twice
-its count times the Kullback-Leibler divergence, a G statistic, must pass the charge of ln(count)
-for each of its symbols (as in BIC); the suffixes of retained contexts stay, too. Distributions
-are smoothed from suffix to context: p(x|c) = (n(x|c) + d * p(x|suffix(c))) / (n(c) + d), with d
-twice the number of symbols seen after c (Witten-Bell, doubled), and the root is smoothed to uniform. A byte is scored
-in the longest retained suffix of what precedes it. As automaton (states are the retained contexts
-and their prefixes) the tree scores a text in one walk.
+predicts it byte by byte. A context is the last 0 to DEPTH bytes, across word borders. It is a
+candidate if it occurs `least` times in the training text, an absolute floor, so that the tree gains
+contexts as the corpus grows. A candidate is retained if its distribution diverges from that of its
+longest proper suffix: twice its count times the Kullback-Leibler divergence, a G statistic, must pass
+the charge of ln(count) for each of its symbols (as in BIC); the suffixes of retained contexts stay,
+too, and candidates of up to SHALLOW bytes always. Distributions are smoothed from suffix to context: p(x|c) = (n(x|c) + d *
+p(x|suffix(c))) / (n(c) + d), with d twice the number of symbols seen after c (Witten-Bell, doubled),
+and the root is smoothed to uniform. A byte is scored in the longest retained suffix of what precedes it.
+
+The tree is never in one place. A window is a context of DEPTH bytes, nearest byte first, with the byte
+after it. Each task cuts its documents into chunks and writes, for each chunk, its distinct windows with their
+training counts (0 if only held-out text has them), sorted, compressed and dealt by a hash of the SHALLOW + 1 nearest bytes: of one
+such bucket all contexts that are longer than SHALLOW have all their windows there. So each bucket builds its part of the tree by itself, from its
+windows of all chunks and the table of contexts of up to SHALLOW bytes (at most 2^24 numbers whatever the
+corpus, the one thing that is sent to all), and gives every window its probability; the chunks' windows
+look theirs up, and each chunk is scored with its own. A bucket has distinct windows only, so a common passage or a hot
+source is as small as any; where the chunks' windows of a bucket are many, they are merged and looked up in parts (`salts`).
 
 The base is unigram with add-one smoothing over words. Its counts grow with the corpus and are
-never sent to one place: each task writes chunks of documents as word numbers with the chunk's word
-list; a window over each word sums its counts and sends the sum back to the chunks' word numbers;
-then each chunk is scored with its own list. A chunk is bounded (`chunk_bytes` of text and at least
-one document) and has a word once, so no word has more rows than there are chunks.
-
-What reaches the driver is the possible candidates and their counts (bounded as above), and the
-automaton goes back as a broadcast of at most that many states times the bytes that occur.
+never sent to one place: each chunk has its words and their training counts once, a window over each word sums
+them and sends the sum back to the chunks' word numbers. A word has no more rows than there are chunks.
 
 Edge cases: null text is empty, its one token the end; null doc_id is in training (its text "" has
 no remainder of 2) and is not held out; without training documents all counts are zero and the tree is the uniform root; rows
@@ -44,10 +39,13 @@ from pyspark.sql import functions as F
 from .common import cut, drop_cut, ship
 
 #: END and START are bytes that no UTF-8 text holds.
-DEPTH, END, START = 6, 0xFE, 0xFF
+DEPTH, SHALLOW, END, START = 6, 2, 0xFE, 0xFF
 FOLDS, HELD = 7, 2
-#: Bytes of text whose windows are sorted at once, and windows after which a blob ends: bounds of memory.
-GRAM_BYTES, BLOB_WINDOWS = 4 << 20, 3_000_000
+#: Bytes of text whose windows are sorted at once; bytes of text a bucket, and the most buckets; chunks' windows of a bucket read at once.
+GRAM_BYTES, BUCKET_BYTES, MOST_BUCKETS, BLOBS_AT_ONCE = 4 << 20, 24 << 20, 4096, 2000
+
+
+START_BYTES = bytes([START]) * DEPTH
 
 
 def held_out(doc_id) -> bool:
@@ -59,19 +57,28 @@ def packed_words(words: list[bytes]) -> bytes:
     return (b" ".join(words) + b" " if words else b"") + bytes([END])
 
 
-def windows_of(lines: bytes):
-    """Distinct windows of DEPTH + 1 symbols (the last one predicted), as sorted numbers, and their counts."""
+def window_keys(a):
+    """Windows of an array of bytes: contexts of DEPTH bytes, nearest first, above the byte that follows. One for each place from DEPTH on."""
+    import numpy as np
+
+    keys = np.zeros(max(0, len(a) - DEPTH), np.uint64)
+    for k in range(DEPTH - 1, -1, -1):  # the nearest byte first
+        keys = keys << np.uint64(8) | a[k : k + len(keys)]
+    return keys << np.uint64(8) | a[DEPTH:]
+
+
+def windows_of(lines: bytes, counted: bool):
+    """Distinct windows, sorted, and their counts (0 if not counted)."""
     import numpy as np
 
     a, parts = np.frombuffer(lines, np.uint8), []
     for at in range(0, len(a) - DEPTH, GRAM_BYTES):
         part = a[at : at + GRAM_BYTES + DEPTH]
-        keys = np.zeros(len(part) - DEPTH, np.uint64)
-        for k in range(DEPTH + 1):
-            keys <<= np.uint64(8)
-            keys |= part[k : k + len(keys)]
-        parts.append(np.unique(keys[part[DEPTH:] != START], return_counts=True))  # no window predicts a START
-    return parts[0] if len(parts) == 1 else summed(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
+        parts.append(np.unique(window_keys(part)[part[DEPTH:] != START], return_counts=True))  # no window predicts a START
+    if not parts:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    keys, n = parts[0] if len(parts) == 1 else summed(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
+    return keys, n.astype(np.int64) * counted
 
 
 def summed(keys, n):
@@ -84,46 +91,136 @@ def summed(keys, n):
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def pack_windows(keys, n) -> bytes:
-    """Sorted windows and counts: differences by byte planes, compressed."""
+def bucket_of(keys, buckets: int):
+    """The bucket of each window: a hash of its SHALLOW + 1 nearest bytes."""
+    import numpy as np
+
+    near = keys >> np.uint64(8 * (DEPTH - SHALLOW))
+    return ((near * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)) >> np.uint64(8)) % np.uint64(buckets)
+
+
+def pack_windows(keys, more) -> bytes:
+    """Sorted windows and 4 bytes each beside them (counts or float32): differences by byte planes, compressed."""
     import numpy as np
     import zstandard
 
     gaps = np.diff(keys, prepend=np.uint64(0))
-    planes = np.concatenate([gaps.view(np.uint8).reshape(-1, 8), n.astype("<u4").view(np.uint8).reshape(-1, 4)], axis=1)
+    planes = np.concatenate([gaps.view(np.uint8).reshape(-1, 8), np.ascontiguousarray(more).view(np.uint8).reshape(-1, 4)], axis=1)
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes.T).tobytes())
 
 
-def unpack_windows(blob: bytes):
+def unpack_windows(blob: bytes, kind: str = "<u4"):
     import numpy as np
     import zstandard
 
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(12, -1)
     gaps = np.ascontiguousarray(planes[:8].T).view(np.uint64).ravel()
-    return np.cumsum(gaps, dtype=np.uint64), np.ascontiguousarray(planes[8:].T).view("<u4").ravel().astype(np.int64)
+    return np.cumsum(gaps, dtype=np.uint64), np.ascontiguousarray(planes[8:].T).view(kind).ravel()
 
 
-def context(keys, depth: int):
-    """The last `depth` symbols before the predicted one."""
+def pack_floats(values) -> bytes:
     import numpy as np
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<f4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpack_floats(blob: bytes):
+    import numpy as np
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<f4").ravel()
+
+
+class Shallow:
+    """Contexts of up to SHALLOW bytes: probabilities after them, and shares of their counts. Sent to all tasks."""
+
+    def __init__(self, depth, ctx, sym, n, least: int):
+        """From (depth, context, symbol, training count) of all that occur."""
+        import numpy as np
 
-    return (keys >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)
+        self.least, self.at, self.p = least, [], []
+        lower = np.full((1, 256), 1 / 256)
+        for d in range(SHALLOW + 1):
+            mine = depth == d
+            own = np.unique(ctx[mine]) if d else np.zeros(1, np.int64)
+            counts = np.zeros((len(own), 256))
+            np.add.at(counts, (np.searchsorted(own, ctx[mine]), sym[mine]), n[mine])
+            if d:
+                lower = self.p[-1][np.searchsorted(self.at[-1], own >> 8)]
+            total, weight = counts.sum(1), 2.0 * np.maximum(1, (counts > 0).sum(1))
+            p = (counts + weight[:, None] * lower) / (total + weight)[:, None]
+            self.at.append(own)
+            self.p.append(np.where((total >= (least if d else 0))[:, None], p, lower))
+        self.p = [x.astype(np.float32) for x in self.p]
+        self.shares = (counts / np.maximum(1, total)[:, None]).astype(np.float32)
+
+    def probability(self, ctx, sym):
+        """Of symbols after contexts of SHALLOW bytes; where a context was never seen, after its longest suffix that was."""
+        import numpy as np
+
+        out = self.p[0][0][sym].astype(float)
+        for d in range(1, SHALLOW + 1):
+            own, mine = self.at[d], ctx >> 8 * (SHALLOW - d)
+            if len(own):
+                k = np.minimum(np.searchsorted(own, mine), len(own) - 1)
+                out = np.where(own[k] == mine, self.p[d][k, sym], out)
+        return out
 
+    def share(self, ctx, sym):
+        """Of symbols among those seen after contexts of SHALLOW bytes, all of them seen."""
+        import numpy as np
+
+        return self.shares[np.searchsorted(self.at[-1], ctx), sym].astype(float)
 
-SCHEMA = "kind string, chunk long, doc_id long, held boolean, num long, n long, blob binary, depth int, total long"
 
+def bucket_probabilities(keys, n, shallow: Shallow):
+    """Probability of each window of a bucket, from all its windows (sorted) and their training counts."""
+    import numpy as np
 
-def first_pass(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, least_share: float) -> DataFrame:
+    keys, n = keys.astype(np.int64), n.astype(np.int64)
+    sym, p = keys & 255, shallow.probability(keys >> 8 * (DEPTH + 1 - SHALLOW), keys & 255)
+    levels, kept, above = [], [], None
+    for d in range(SHALLOW + 1, DEPTH + 1):
+        # (context, symbol) cells of this depth; the cell of each window, the context of each cell
+        cells, cell = np.unique(keys >> 8 * (DEPTH + 1 - d) << 8 | sym, return_inverse=True)
+        count = np.bincount(cell, n, len(cells))
+        own, row = np.unique(cells >> 8, return_inverse=True)
+        total, kinds = np.bincount(row, count, len(own)), np.bincount(row, count > 0, len(own))
+        seen = np.flatnonzero(count > 0)
+        parent = cells[seen] >> 16
+        if above is None:
+            share = shallow.share(parent, cells[seen] & 255)
+        else:
+            cells0, count0, own0, total0 = above
+            share = count0[np.searchsorted(cells0, parent << 8 | cells[seen] & 255)] / total0[np.searchsorted(own0, parent)]
+        g = 2 * np.bincount(row[seen], count[seen] * np.log(count[seen] / total[row[seen]] / share), len(own))
+        kept.append((total >= shallow.least) & (g > kinds * np.log(np.maximum(1, total))))
+        levels.append((own, cell, count, row, total, kinds))
+        above = (cells, count, own, total)
+    for d in range(len(levels) - 1, 0, -1):  # suffixes stay, too
+        kept[d - 1][np.searchsorted(levels[d - 1][0], levels[d][0][kept[d]] >> 8)] = True
+    for (_, cell, count, row, total, kinds), stays in zip(levels, kept):
+        at, weight = row[cell], 2.0 * np.maximum(1, kinds)
+        p = np.where(stays[at], (count[cell] + weight[at] * p) / (total + weight)[at], p)
+    return p
+
+
+SCHEMA = "kind string, chunk long, doc_id long, held boolean, num long, n long, blob binary, depth int"
+
+
+def first_pass(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, buckets: int) -> DataFrame:
     """Rows of four kinds: 'doc' (chunk, doc_id, held, n words, blob of word numbers), 'list' (chunk,
-    n words, blob of their training counts and the words), 'gram' (num windows in the blob), 'heavy'
-    (depth, num: the context, n, total: windows in its blob)."""
+    n words, blob of their training counts and the words), 'gram' (chunk, num: bucket, n windows, blob of windows and counts),
+    'shallow' (depth, num: context << 8 | symbol, n: training count)."""
     import pyarrow as pa
 
     ship(docs.sparkSession)
 
     def batch(kind: str, m: int, **cols):
-        types = {"chunk": pa.int64(), "doc_id": pa.int64(), "held": pa.bool_(), "num": pa.int64(), "n": pa.int64(), "blob": pa.binary(), "depth": pa.int32(), "total": pa.int64()}
-        return pa.RecordBatch.from_arrays([pa.array([kind] * m), *(pa.array(cols[k], t) if k in cols else pa.nulls(m, t) for k, t in types.items())], ["kind", *types])
+        types = {"chunk": pa.int64(), "doc_id": pa.int64(), "held": pa.bool_(), "num": pa.int64(), "n": pa.int64(), "blob": pa.binary(), "depth": pa.int32()}
+        return pa.RecordBatch.from_arrays([pa.array([kind] * m, pa.string()), *(pa.array(cols[k], t) if k in cols else pa.nulls(m, t) for k, t in types.items())], ["kind", *types])
 
     def run(batches):
         import numpy as np
@@ -131,36 +228,23 @@ def first_pass(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, le
         from pyspark import TaskContext
 
         part, seq, zip_ = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1)
-        rows, numbers, lines, size, pending = [], _Numbers(), [], 0, 0
+        rows, numbers, size = [], _Numbers(), 0
+        lines: dict[bool, list[bytes]] = {False: [], True: []}
+        pending = 0
         keys, n = np.empty(0, np.uint64), np.empty(0, np.int64)
 
         def add_windows() -> None:
             nonlocal keys, n, pending
-            if lines:
-                k, m = windows_of(b"".join(lines))
-                keys, n = summed(np.concatenate([keys, k]), np.concatenate([n, m]))
-                lines.clear()
-                pending = 0
-
-        def blob_rows():
-            nonlocal keys, n
-            if not len(keys):
-                return
-            total = int(n.sum())
-            yield batch("gram", 1, num=[total], blob=[pack_windows(keys, n)])
-            least = max(1, math.ceil(least_share / 2 * total))
-            ctx, m = keys >> np.uint64(8), n
-            for d in range(DEPTH, 0, -1):
-                ctx, m = summed(ctx & np.uint64((1 << 8 * d) - 1), m)
-                often = m >= least
-                c, k = ctx[often].astype(np.int64), m[often]
-                for at in range(0, len(c), 200_000):
-                    part_ = slice(at, at + 200_000)
-                    yield batch("heavy", len(c[part_]), num=c[part_], n=k[part_], depth=np.full(len(c[part_]), d, np.int32), total=np.full(len(c[part_]), total))
-            keys, n = np.empty(0, np.uint64), np.empty(0, np.int64)
+            for held, some in lines.items():
+                if some:
+                    k, m = windows_of(b"".join(some), not held)
+                    keys, n = summed(np.concatenate([keys, k]), np.concatenate([n, m]))
+                    some.clear()
+            pending = 0
 
         def chunk_rows():
-            nonlocal seq, size
+            nonlocal seq, size, keys, n
+            add_windows()
             chunk, counts = part << 24 | seq, np.zeros(len(numbers), np.uint32)
             for _, held, num in rows:
                 if not held:
@@ -169,29 +253,33 @@ def first_pass(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, le
             for at in range(0, len(rows), 1000):
                 some = rows[at : at + 1000]
                 yield batch("doc", len(some), chunk=[chunk] * len(some), doc_id=[i for i, _, _ in some], held=[h for _, h, _ in some], n=[len(x) for _, _, x in some], blob=[zip_.compress(x.tobytes()) for _, _, x in some])
+            bucket = bucket_of(keys, buckets)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+            for b in np.flatnonzero(np.diff(edges)):
+                mine = order[edges[b] : edges[b + 1]]
+                yield batch("gram", 1, chunk=[chunk], num=[int(b)], n=[len(mine)], blob=[pack_windows(keys[mine], n[mine].astype("<u4"))])
+            for d in range(SHALLOW + 1):
+                code, m = summed((keys >> np.uint64(8 * (DEPTH + 1 - d))) << np.uint64(8) | keys & np.uint64(255), n)
+                code, m = code[m > 0].astype(np.int64), m[m > 0]
+                yield batch("shallow", len(code), num=code, n=m, depth=np.full(len(code), d, np.int32))
             rows.clear(), numbers.clear()
+            keys, n = np.empty(0, np.uint64), np.empty(0, np.int64)
             seq, size = seq + 1, 0
 
-        start = bytes([START]) * DEPTH
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("t").to_pylist()):
-                words = (text or "").encode("utf-8", "replace").lower().split()
+            for doc_id, text in zip(b.column("doc_id"), b.column("t")):
+                doc_id, words = doc_id.as_py(), (text.as_py() or "").encode("utf-8", "replace").lower().split()
                 num = np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words))
                 held = held_out(doc_id)
                 rows.append((doc_id, held, num))
-                length = sum(map(len, words)) + len(words)
-                size += length
-                if not held:
-                    lines.append(start + packed_words(words))
-                    pending += length
+                lines[held].append(START_BYTES + packed_words(words))
+                size += len(lines[held][-1])
+                pending += len(lines[held][-1])
                 if pending >= GRAM_BYTES:
                     add_windows()
-                    if len(keys) >= BLOB_WINDOWS:
-                        yield from blob_rows()
                 if size >= chunk_bytes:
                     yield from chunk_rows()
-        add_windows()
-        yield from blob_rows()
         if rows:
             yield from chunk_rows()
 
@@ -216,193 +304,94 @@ def listed_words(blob: bytes, n: int):
     return np.frombuffer(data[: 4 * n], np.uint32), data[4 * n :].split(b"\n") if n else []
 
 
-def candidates(first: DataFrame, least_share: float):
-    """(depth, ctx, sym, n) arrays: exact next-symbol counts of every context that makes up least_share of the windows."""
+def merged_windows(blobs):
+    """Windows of some blobs together, sorted, with the sums of their counts. Blobs of like size are merged, as in merge sort."""
+    import numpy as np
+
+    done: list[tuple] = []  # (blobs in it, windows, counts)
+    for left, blob in zip(range(len(blobs) - 1, -1, -1), blobs):
+        keys, n = unpack_windows(blob.as_py())
+        done.append((1, keys, n.astype(np.int64)))
+        while len(done) > 1 and (done[-2][0] <= done[-1][0] or not left):
+            (k, keys, n), (m, keys2, n2) = done.pop(), done.pop()
+            done.append((k + m, *summed(np.concatenate([keys, keys2]), np.concatenate([n, n2]))))
+    return done[0][1:]
+
+
+def window_scores(first: DataFrame, shallow: Shallow) -> DataFrame:
+    """chunk, bucket, blob: log10 probabilities of each chunk's windows, bucket by bucket, in the windows' order."""
     import numpy as np
     import pyarrow as pa
 
     spark = first.sparkSession
-    grams = first.where("kind = 'gram'").select("num", "blob")
-    total, n_blobs = grams.agg(F.coalesce(F.sum("num"), F.lit(0)), F.count("*")).first()
-    least = max(2, math.ceil(least_share * total))
-    heavy = first.where("kind = 'heavy'").groupBy("depth", "num").agg(F.sum("n").alias("n"), F.sum("total").alias("of"))
-    possible = heavy.where(F.col("n") + F.lit(least_share / 2) * (F.lit(total) - F.col("of")) >= least).select("depth", "num").toArrow()
-    depth, ctx = (possible[c].to_numpy().astype(np.int64) for c in ("depth", "num"))
-    order = np.lexsort((ctx, depth))
-    depth, ctx = np.concatenate([[0], depth[order]]), np.concatenate([[0], ctx[order]]).astype(np.uint64)
-    edges = np.searchsorted(depth, np.arange(DEPTH + 2))  # contexts of depth d: edges[d] .. edges[d + 1]
-    known = spark.sparkContext.broadcast((ctx, edges))
+    grams = first.where("kind = 'gram'").select("chunk", F.col("num").alias("bucket"), "blob")
+    most = grams.groupBy("bucket").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    salts = max(1, -(-most // BLOBS_AT_ONCE))
+    salted = grams.withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(salts)).cast("int"))
+    sent = spark.sparkContext.broadcast(shallow)
 
-    def run(batches):
-        ctx, edges = known.value
-        codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-        for b in batches:
-            for blob in b.column("blob"):
-                keys, n = unpack_windows(blob.as_py())
-                state, rest = np.zeros(len(keys), np.int64), np.arange(len(keys))
-                for d in range(DEPTH, 0, -1):
-                    own, mine = ctx[edges[d] : edges[d + 1]], context(keys[rest], d)
-                    if len(own):
-                        at = np.minimum(np.searchsorted(own, mine), len(own) - 1)
-                        hit = own[at] == mine
-                        state[rest[hit]] = edges[d] + at[hit]
-                        rest = rest[~hit]
-                code, n = summed(state << 8 | (keys & np.uint64(255)).astype(np.int64), n)
-                codes, counts = summed(np.concatenate([codes, code]), np.concatenate([counts, n]))  # at most 256 a context
-        for at in range(0, len(codes), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(codes[at : at + 200_000]), pa.array(counts[at : at + 200_000])], ["code", "n"])
-
-    tasks = max(spark.sparkContext.defaultParallelism, int(n_blobs) // 16)  # few tasks: each sums over its blobs
-    counted = grams.coalesce(tasks).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    code, n = (counted[c].to_numpy().astype(np.int64) for c in ("code", "n"))
-    out = []
-    for d in range(DEPTH, -1, -1):  # what is counted for a context counts for its suffix, too
-        own = code >> 8 >= edges[d]
-        c, k = summed(code[own], n[own])
-        state = c >> 8
-        sums = np.bincount(state, k, len(ctx)).astype(np.int64) if len(c) else np.zeros(len(ctx), np.int64)
-        enough = (sums[state] >= least) | (d == 0)
-        out.append((np.full(enough.sum(), d), ctx[state][enough].astype(np.int64), (c & 255)[enough], k[enough]))
-        if d:
-            suffix = ctx[state] & np.uint64((1 << 8 * (d - 1)) - 1)
-            up = edges[d - 1] + np.searchsorted(ctx[edges[d - 1] : edges[d]], suffix)
-            code, n = np.concatenate([code[~own], up << 8 | c & 255]), np.concatenate([n[~own], k])
-    return [np.concatenate(x) for x in zip(*out)]
-
-
-class Tree:
-    """The retained contexts as an automaton: step[state, symbol] and logp[state, symbol] (log10)."""
-
-    def __init__(self, rows):
-        """rows: (depth, ctx, sym, n) arrays of the candidates, the empty context among them."""
-        import numpy as np
+    def merge(rows: pa.Table) -> pa.Table:
+        keys, n = merged_windows(rows["blob"])
+        return pa.table({"bucket": rows["bucket"][:1], "blob": pa.array([pack_windows(keys, np.minimum(n, (1 << 32) - 1).astype("<u4"))], pa.binary())})
 
-        depth, ctx, sym, n = (np.asarray(x, np.int64) for x in rows)
-        key = depth << 56 | ctx  # orders contexts by depth
-        order = np.lexsort((sym, key))
-        key, sym, n = key[order], sym[order], n[order]
-        own, row = np.unique(np.concatenate([[0], key]), return_inverse=True)  # the contexts; the row's context
-        row = row[1:]
-        total, kinds = np.bincount(row, n, len(own)), np.bincount(row, minlength=len(own))
-        parent = np.searchsorted(own, self._shorter(own))
-        # G statistic of each context against its suffix
-        cell = row << 8 | sym
-        above = n[np.searchsorted(cell, parent[row] << 8 | sym)] if len(n) else n
-        with np.errstate(divide="ignore", invalid="ignore"):
-            g = 2 * np.bincount(row, n * np.log(n / total[row] / (above / total[parent][row])), len(own))
-            kept = (g > kinds * np.log(total)) & (own > 0)
-        depths = own >> 56
-        kept[0] = True
-        for d in range(DEPTH, 0, -1):  # the suffixes
-            kept[parent[kept & (depths == d)]] = True
-        retained = own[kept]
-        states = {0: np.zeros(1, np.int64)}
-        for d in range(1, DEPTH + 1):  # and the prefixes, so that every state's successor is known
-            deeper = retained[retained >> 56 >= d]
-            states[d] = np.unique(d << 56 | (deeper & (1 << 56) - 1) >> 8 * ((deeper >> 56) - d))
-        all_ = np.concatenate([states[d] for d in range(DEPTH + 1)])
-        edges = np.searchsorted(all_ >> 56, np.arange(DEPTH + 2))
-        self.symbols = np.unique(np.concatenate([sym, [END, ord(" ")]])).astype(np.uint8)
-        code = np.full(256, len(self.symbols), np.int64)  # one more code for bytes never seen in training
-        code[self.symbols] = np.arange(len(self.symbols))
-        self.code, m = code, len(self.symbols) + 1
-        self.step, table = np.zeros((len(all_), m), np.int32), np.zeros((len(all_), m))
-        suffix = self._longest(all_, self._shorter(all_))
-        where = np.searchsorted(all_, own[kept])  # states of the retained
-        of = np.full(len(all_), -1)
-        of[where] = np.flatnonzero(kept)
-        for d in range(DEPTH + 1):
-            here = np.arange(edges[d], edges[d + 1])
-            table[here] = table[suffix[here]] if d else 1 / 256
-            mine = here[of[here] >= 0]
-            weight = 2.0 * np.maximum(1, kinds[of[mine]])
-            table[mine] *= weight[:, None]
-            lo, hi = np.searchsorted(row, of[mine]), np.searchsorted(row, of[mine], "right")
-            at = np.repeat(mine, hi - lo)
-            cells = np.repeat(lo, hi - lo) + np.arange(len(at)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
-            table[at, code[sym[cells]]] += n[cells]
-            table[mine] /= (total[of[mine]] + weight)[:, None]
-            if d:  # without a longer match, where the suffix goes
-                self.step[here] = self.step[suffix[here]]
-            if d < DEPTH:
-                longer = np.arange(edges[d + 1], edges[d + 2])
-                keys = all_[longer]
-                self.step[np.searchsorted(all_, d << 56 | (keys & (1 << 56) - 1) >> 8), code[keys & 255]] = longer
-        self.logp = np.log10(table).astype(np.float32)
-        state = np.zeros(1, np.int64)
-        for _ in range(DEPTH):
-            k = all_[state]
-            d = np.minimum((k >> 56) + 1, DEPTH)
-            state = self._longest(all_, d << 56 | (k << 8 | START) & (1 << 8 * DEPTH) - 1)
-        self.start, self.retained = int(state[0]), len(retained)
-
-    @staticmethod
-    def _shorter(keys):
-        """depth << 56 | context, without its first symbol; the empty one stays."""
-        import numpy as np
+    def build(rows: pa.Table) -> pa.Table:
+        keys, n = merged_windows(rows["blob"])
+        p = np.log10(bucket_probabilities(keys, n, sent.value)).astype("<f4")
+        return pa.table({"bucket": rows["bucket"][:1], "model": pa.array([pack_windows(keys, p)], pa.binary())})
 
-        d = np.maximum((keys >> 56) - 1, 0)
-        return d << 56 | keys & ((1 << 8 * d) - 1)
+    parts = salted.groupBy("bucket", "salt").applyInArrow(merge, "bucket long, blob binary") if salts > 1 else salted.select("bucket", "blob")
+    model = cut(parts.groupBy("bucket").applyInArrow(build, "bucket long, model binary"), "model")
+    models = model.select(F.col("bucket").alias("of"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("of_salt"), "model")
 
-    def _longest(self, all_, keys):
-        """The states that are the longest suffixes of keys."""
-        import numpy as np
+    def look_up(rows: pa.Table, model: pa.Table) -> pa.Table:
+        keys, p = unpack_windows(model["model"][0].as_py(), "<f4")
+        out = [pack_floats(p[np.searchsorted(keys, unpack_windows(blob.as_py())[0])]) for blob in rows["blob"]]
+        return pa.table({"chunk": rows["chunk"], "bucket": rows["bucket"], "blob": pa.array(out, pa.binary())})
 
-        for _ in range(DEPTH + 1):
-            at = np.minimum(np.searchsorted(all_, keys), len(all_) - 1)
-            missing = all_[at] != keys
-            if not missing.any():
-                break
-            keys = np.where(missing, self._shorter(keys), keys)
-        return at
-
-    def scores(self, lines: list[bytes], width: int = 512):
-        """log10 probability of each line. Lines are walked side by side in slices of `width`
-        symbols, each after DEPTH symbols of warm-up: the state hangs on these alone."""
-        import numpy as np
+    return salted.groupBy("bucket", "salt").cogroup(models.groupBy("of", "of_salt")).applyInArrow(look_up, "chunk long, bucket long, blob binary")
 
-        out = np.zeros(len(lines))
-        if not lines:
-            return out
-        lens = np.array([len(x) for x in lines])
-        flat = self.code[np.frombuffer(b"".join(lines), np.uint8)]
-        first = np.concatenate([[0], np.cumsum(lens)[:-1]])
-        n_slices = -(-lens // width)
-        line = np.repeat(np.arange(len(lines)), n_slices)
-        at = (np.arange(len(line)) - np.repeat(np.cumsum(n_slices) - n_slices, n_slices)) * width
-        end = np.minimum(at + width, lens[line])
-        order = np.argsort(at - end, kind="stable")  # longest first: the active ones are a prefix
-        line, at, end = line[order], at[order], end[order]
-        base, size = first[line], end - at
-        state = np.where(at == 0, self.start, 0)
-        for k in range(DEPTH, 0, -1):
-            go = at - k >= 0  # slices other than a line's first have width >= DEPTH symbols before them
-            pos = np.where(go, base + at - k, 0)
-            state = np.where(go, self.step[state, flat[pos]], state)
-        total = np.zeros(len(line))
-        step, logp = self.step.ravel(), self.logp.ravel()
-        m, active = self.step.shape[1], len(line)
-        for k in range(int(size.max(initial=0))):
-            while active and size[active - 1] <= k:
-                active -= 1
-            cell = state[:active] * m + flat[base[:active] + at[:active] + k]
-            total[:active] += logp[cell]
-            state[:active] = step[cell]
-        np.add.at(out, line, total)
-        return out
 
+def chunk_scores(lines: list[bytes], logp: list[tuple[int, bytes]], buckets: int):
+    """log10 probability of each line (START_BYTES and its symbols) of a chunk; logp: its windows' by bucket."""
+    import numpy as np
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_share: float = 2e-6, chunk_bytes: int = 12 << 20) -> DataFrame:
+    a, lens = np.frombuffer(b"".join(lines), np.uint8), np.array([len(x) for x in lines])
+    starts = np.cumsum(lens) - lens
+    parts = []
+    for at in range(0, len(a) - DEPTH, GRAM_BYTES):
+        keys, at_key = np.unique(window_keys(a[at : at + GRAM_BYTES + DEPTH]), return_inverse=True)
+        parts.append((at, keys, at_key.astype(np.int32)))
+    whole = np.unique(np.concatenate([k for _, k, _ in parts]))
+    whole = whole[whole & np.uint64(255) != START]
+    value = np.zeros(len(whole))
+    order = np.argsort(bucket_of(whole, buckets), kind="stable")
+    value[order] = np.concatenate([unpack_floats(blob) for _, blob in sorted(logp)])
+    out = np.zeros(len(lines))
+    for at, keys, at_key in parts:
+        k = np.minimum(np.searchsorted(whole, keys), len(whole) - 1)
+        p = np.where(keys & np.uint64(255) != START, value[k], 0.0)[at_key]
+        # the lines of the places at + DEPTH ...
+        lo, hi = at + DEPTH, at + DEPTH + len(p)
+        first = int(np.searchsorted(starts, lo, "right")) - 1
+        last = int(np.searchsorted(starts, hi, "left"))
+        of = np.repeat(np.arange(first, last), np.minimum(starts[first:last] + lens[first:last], hi) - np.maximum(starts[first:last], lo))
+        out += np.bincount(of, p, len(lines))
+    return out
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 16, chunk_bytes: int = 12 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs."""
     import numpy as np
     import pyarrow as pa
 
-    spark = docs.sparkSession
-    first = cut(first_pass(docs, id_col, text_col, chunk_bytes, least_share), "chunks", "kind")
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = max(1, min(MOST_BUCKETS, -(-size // BUCKET_BYTES)))
+    first = cut(first_pass(docs, id_col, text_col, chunk_bytes, buckets), "chunks", "kind")
     of_docs = first.where("kind = 'doc' AND NOT held").agg(F.sum("n").alias("w"), F.count("*").alias("d")).first()
-    tree = spark.sparkContext.broadcast(Tree(candidates(first, least_share)))
-    for kind in ("gram", "heavy"):
-        drop_cut(first, f"kind={kind}")
+    short = first.where("kind = 'shallow'").groupBy("depth", "num").agg(F.sum("n").alias("n")).toArrow()  # contexts of up to SHALLOW bytes
+    depth, num, n = (short[c].to_numpy().astype(np.int64) for c in ("depth", "num", "n"))
+    windows = cut(window_scores(first, Shallow(depth, num >> 8, num & 255, n, least)), "windows")
+    drop_cut(first, "kind=gram")
 
     def words_of_lists(batches):
         for b in batches:
@@ -421,34 +410,32 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     def run(rows: pa.Table, known: pa.Table) -> pa.Table:
         import zstandard
 
-        unzip, model = zstandard.ZstdDecompressor(), tree.value
-        chunk = rows.to_pydict()
-        at = next(i for i, h in enumerate(chunk["held"]) if h is None)  # the list
-        _, word = listed_words(chunk["blob"][at], chunk["n"][at])
+        unzip = zstandard.ZstdDecompressor()
+        kind, held, ids, sizes = (rows[c].to_pylist() for c in ("kind", "held", "doc_id", "n"))
+        at = kind.index("list")
+        _, word = listed_words(rows["blob"][at].as_py(), sizes[at])
         c = np.zeros(len(word), np.int64)
         c[known["num"].to_numpy()] = known["c"].to_numpy()
         value = np.log10(c + 1.0)
-        out: dict[str, list] = {k: [] for k in ("doc_id", "held_out", "n_words", "n_known", "sum_log", "score")}
-        group, size = [], 0
-        for i, blob in enumerate(chunk["blob"]):
-            if i == at:
-                continue
-            num = np.frombuffer(unzip.decompress(blob), np.uint32)
-            for k, v in zip(out, (chunk["doc_id"][i], chunk["held"][i], len(num), int((c[num] > 0).sum()), float(value[num].sum()))):
-                out[k].append(v)
-            group.append(packed_words([word[j] for j in num.tolist()]))
-            size += len(group[-1])
-            if size > 4 << 20:
-                out["score"] += model.scores(group).tolist()
-                group, size = [], 0
-        out["score"] += model.scores(group).tolist()
-        firsts = [int(known["first"].to_numpy(zero_copy_only=False).sum())] + [0] * (len(out["score"]) - 1)
-        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
-        return pa.table([pa.array(v, t) for v, t in zip([*out.values(), firsts], types)], [*out, "new_words"])
-
-    chunks = first.where("kind IN ('doc', 'list')").select("chunk", "doc_id", "held", "n", "blob")
+        out: dict[str, list] = {k: [] for k in ("doc_id", "held_out", "n_words", "n_known", "sum_log")}
+        lines, logp = [], []
+        for i, k in enumerate(kind):
+            if k == "window":
+                logp.append((sizes[i], rows["blob"][i].as_py()))
+            elif k == "doc":
+                num = np.frombuffer(unzip.decompress(rows["blob"][i].as_py()), np.uint32)
+                for o, v in zip(out.values(), (ids[i], held[i], len(num), int((c[num] > 0).sum()), float(value[num].sum()))):
+                    o.append(v)
+                lines.append(START_BYTES + packed_words([word[j] for j in num.tolist()]))
+        scores = chunk_scores(lines, logp, buckets)
+        firsts = [int(known["first"].to_numpy(zero_copy_only=False).sum())] + [0] * (len(lines) - 1)
+        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64()]
+        return pa.table([*(pa.array(v, t) for v, t in zip(out.values(), types)), pa.array(scores), pa.array(firsts)], [*out, "score", "new_words"])
+
+    chunks = first.where("kind IN ('doc', 'list')").select("kind", "chunk", "doc_id", "held", "n", "blob")
+    both = chunks.unionByName(windows.select(F.lit("window").alias("kind"), "chunk", F.col("bucket").alias("n"), "blob"), allowMissingColumns=True)
     schema = "doc_id long, held_out boolean, n_words long, n_known long, sum_log double, score double, new_words long"
-    scored = cut(chunks.groupBy("chunk").cogroup(known.groupBy("of_chunk")).applyInArrow(run, schema), "scored")
+    scored = cut(both.groupBy("chunk").cogroup(known.groupBy("of_chunk")).applyInArrow(run, schema), "scored")
     train_docs = of_docs.d or 0
     n_train, end = (of_docs.w or 0) + train_docs, int(train_docs > 0)
     v = (scored.agg(F.sum("new_words")).first()[0] or 0) + end

@@ -38,9 +38,9 @@ class Direct:
                 for d in range(lm.DEPTH + 1):
                     counts[s[i - d : i]][s[i]] += 1
         self.dist = {c: n for c, n in counts.items() if not c or sum(n.values()) >= least}
-        keep = {b""}
+        keep = {c for c in self.dist if len(c) <= lm.SHALLOW}
         for c, n in self.dist.items():
-            if c:
+            if len(c) > lm.SHALLOW:
                 total, parent = sum(n.values()), self.dist[c[1:]]
                 g = 2 * sum(k * math.log(k / total / (parent[s] / sum(parent.values()))) for s, k in n.items())
                 if g > len(n) * math.log(total):
@@ -82,13 +82,17 @@ def base(rows):
     return n, lambda t: sum(value(c[w]) for w in words_of(t)) + value(ends), lambda t: sum(c[w] > 0 for w in words_of(t)) + (ends > 0)
 
 
-@pytest.mark.parametrize("chunk", [200, 1 << 20])
-def test_scores(spark, chunk):
+@pytest.mark.parametrize("chunk, bucket_bytes, blobs, least, gram", [(200, 100, 3, 2, 64), (1 << 20, 1 << 20, 2000, 16, 4 << 20), (500, 1 << 20, 1, 5, 4 << 20)])
+def test_scores(spark, chunk, bucket_bytes, blobs, least, gram, monkeypatch):
+    """The tree in many chunks, buckets and parts of buckets, or in one."""
+    monkeypatch.setattr(lm, "BUCKET_BYTES", bucket_bytes)
+    monkeypatch.setattr(lm, "BLOBS_AT_ONCE", blobs)
+    monkeypatch.setattr(lm, "GRAM_BYTES", gram)
     rows = corpus()
     docs = spark.createDataFrame([(i, t, 1, "k", 2) for i, t in rows], SCHEMA + ", n int, kind string, num int").repartition(4)
-    got = lm.score(docs, least_share=1e-9, chunk_bytes=chunk).collect()
+    got = lm.score(docs, least=least, chunk_bytes=chunk).collect()
     n, base_score, known = base(rows)
-    model = Direct([t for _, t in training(rows)], 2)
+    model = Direct([t for _, t in training(rows)], least)
     want = sorted(((repr(i), i is not None and zlib.crc32(str(i).encode()) % 7 == 2, len(words_of(t)) + 1, known(t), n, round(base_score(t), 6), round(model.score(t), 3)) for i, t in rows))
     mine = sorted((repr(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 3)) for r in got)
     for a, b in zip(mine, want, strict=True):
@@ -96,19 +100,32 @@ def test_scores(spark, chunk):
 
 
 def test_distributions_sum_to_one():
-    rows = corpus()
-    counts = Counter()
-    for _, t in training(rows):
+    windows, shallow = Counter(), Counter()
+    for _, t in training(corpus()):
         s = bytes([lm.START]) * lm.DEPTH + symbols(t)
         for i in range(lm.DEPTH, len(s)):
-            for d in range(lm.DEPTH + 1):
-                counts[d, int.from_bytes(s[i - d : i], "big"), s[i]] += 1
-    tree = lm.Tree([np.array(x, np.int64) for x in zip(*[(*k, n) for k, n in counts.items()])])
-    p = 10.0 ** tree.logp.astype(float)
-    rest = 256 - len(tree.symbols)  # bytes never seen share one code
-    assert np.allclose(p[:, :-1].sum(1) + rest * p[:, -1], 1, atol=1e-5)
-    lines = [symbols(t) for _, t in rows]
-    assert np.allclose(tree.scores(lines, width=8), tree.scores(lines, width=10_000), atol=1e-6)
+            near = s[i - lm.DEPTH : i][::-1]
+            windows[int.from_bytes(near + s[i : i + 1], "big")] += 1
+            for d in range(lm.SHALLOW + 1):
+                shallow[d, int.from_bytes(near[:d], "big"), s[i]] += 1
+    table = lm.Shallow(*(np.array(x, np.int64) for x in zip(*[(*k, n) for k, n in shallow.items()])), 3)
+    contexts = {k >> 8 for k in windows} | {int.from_bytes(b"nevers", "big"), int.from_bytes(b"eh \xff\xff\xff", "big")}
+    keys = np.array(sorted(c << 8 | x for c in contexts for x in range(256)), np.uint64)
+    p = lm.bucket_probabilities(keys, np.array([windows.get(int(k), 0) for k in keys]), table)
+    assert np.allclose(p.reshape(-1, 256).sum(1), 1, atol=1e-5) and p.min() > 0
+
+
+def test_the_tree_grows_with_the_corpus():
+    """Contexts that may be kept, by what they are tested for: their number must not have a ceiling."""
+    import pyarrow.parquet as pq
+
+    def candidates(sf):
+        texts = pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["text"])["text"].to_pylist()
+        keys, n = lm.windows_of(b"".join(lm.START_BYTES + symbols(t) for t in texts[:4000]), True)
+        _, m = lm.summed(keys >> np.uint64(8), n)
+        return int((m >= 16).sum())
+
+    assert candidates("sf0.1") > 2 * candidates("sf0.01")
 
 
 def test_held_out_text_scores_better_than_the_base(spark):
