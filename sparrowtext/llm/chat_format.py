@@ -11,6 +11,8 @@ blocks' totals carried on, so a conversation that holds a third of all rows spre
 a conversation longer than `block` turns is rendered in parts of `block` turns, one row each
 (part 0, 1, ...), which read one after the other give the whole.
 
+A text or role that holds a marker's start is escaped, so it can't forge a turn.
+
 Edge cases: equal rows (conv_id, turn, role, text) count once; turns are ordered by (turn, role,
 text), nulls last; null role renders as "unknown", null text as empty, but both differ from these
 words when conversations are compared; null conv_id is a conversation of its own; an empty table gives an empty
@@ -64,12 +66,17 @@ def maximal(hashed: DataFrame) -> DataFrame:
     return whole.join(inner, ["n", "h1", "h2"], "left_anti").select("conv_id", "n", "copies")
 
 
+def plain(c):
+    """A text in which no marker stands: "<|" is written "<\\|", and "<\\" is "<\\\\", so that it can be read back."""
+    return F.replace(F.replace(c, F.lit("<\\"), F.lit("<\\\\")), F.lit("<|"), F.lit("<\\|"))
+
+
 def render(turns: DataFrame, block: int = 1024, head: str = "<|{}|>\n", tail: str = "<|end|>\n") -> DataFrame:
     """conv_id, part, n_turns (of the conversation), copies, text: the maximal conversations in chat format."""
     rows = cut(placed(turns, block), "turns")
     keep = cut(maximal(prefixes(rows, block)).select(F.col("conv_id").alias("kc"), "n", "copies"), "maximal").alias("k")
     before, after = head.split("{}")
-    line = F.concat(F.lit(before), F.coalesce("role", F.lit("unknown")), F.lit(after), F.coalesce("text", F.lit("")), F.lit("\n" if not tail.startswith("\n") else ""), F.lit(tail))
+    line = F.concat(F.lit(before), plain(F.coalesce("role", F.lit("unknown"))), F.lit(after), plain(F.coalesce("text", F.lit(""))), F.lit("\n" if not tail.startswith("\n") else ""), F.lit(tail))
     kept = rows.alias("r").join(keep, F.expr("conv_id <=> kc")).select("conv_id", "k.n", "k.copies", "pos", F.floor(F.col("pos") / block).alias("part"), line.alias("line"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "")
     return kept.groupBy("conv_id", "part", "n", "copies").agg(text.alias("text")).select("conv_id", "part", F.col("n").alias("n_turns"), "copies", "text")
@@ -83,6 +90,6 @@ q AS (SELECT *, list({'r': role, 't': text}) OVER (PARTITION BY conv_id ORDER BY
 whole AS (SELECT n, prefix, min(conv_id) AS conv_id, count(*) AS copies FROM q WHERE pos = n GROUP BY n, prefix),
 kept AS (SELECT * FROM whole w WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.pos < q.n AND q.pos = w.n AND q.prefix = w.prefix))
 SELECT p.conv_id, (p.pos - 1) // 1024 AS part, p.n AS n_turns, any_value(k.copies) AS copies,
-       string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10), '' ORDER BY p.pos) AS text
+       string_agg('<|' || replace(replace(coalesce(role, 'unknown'), '<\\', '<\\\\'), '<|', '<\\|') || '|>' || chr(10) || replace(replace(coalesce(text, ''), '<\\', '<\\\\'), '<|', '<\\|') || chr(10) || '<|end|>' || chr(10), '' ORDER BY p.pos) AS text
 FROM p JOIN kept k ON p.conv_id = k.conv_id GROUP BY p.conv_id, part, p.n
 """
