@@ -105,7 +105,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     members = hits.select("doc_id", "text_hash").distinct()
 
     # one document of each distinct text, with its shingles
-    one = hits.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.collect_set("size").alias("sizes"))
+    # (written, so that the planner knows how small it is beside the texts)
+    one = cut(hits.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.collect_set("size").alias("sizes")), "holders")
     again = docs.select(F.col(text_col).alias("t"), *key).alias("d").join(one.alias("b"), F.expr("d.doc_id <=> b.doc_id AND d.text_hash = b.text_hash"))
     shingled = F.coalesce(*[F.when(F.col("size") == k, _placed_shingles(F.col("w"), k)) for k in sizes])
     texts = again.select("d.text_hash", words_of(ascii_lower(F.col("t"))).alias("w"), F.explode("sizes").alias("size")).dropDuplicates(["text_hash", "size"])
