@@ -16,7 +16,7 @@ from .operators import terms as tm
 from .operators.index import SearchIndex
 from .operators.search import Searcher
 from .plans import parser
-from .plans.query import FILTER, MUST, MUST_NOT, SHOULD, Bool, Fuzzy, MatchAll, MatchNone, Phrase, PointRange, Prefix, Term, Wildcard
+from .plans.query import FILTER, MUST, MUST_NOT, SHOULD, Bool, Fuzzy, GeoBox, GeoDistance, MatchAll, MatchNone, Phrase, PointRange, Prefix, Term, Wildcard
 from .sources import corpora, durable
 from .sources.store import Store
 from .streaming.ingest import ingest
@@ -392,31 +392,45 @@ def field_summary(s, d):
     return ixs.summary(documents(s, d)).select("field", "term_count", "sum_ttf", "sum_df", "doc_count", "dv_docs", "point_docs")
 
 
-def _files(s, d) -> DataFrame:
-    """The documents as if each were a file."""
-    files = table(s, d, "documents").select("doc_id", F.concat(F.lit("corpus/doc_"), F.col("doc_id")).alias("path"), F.concat(F.lit("doc_"), F.col("doc_id")).alias("title"), F.col("text").alias("contents"), F.octet_length("text").alias("size"), (F.col("doc_id") * 1000).alias("modified"))
-    return files
+#: A field of every kind, each with a column that every_kind() makes of a document's id, text, source and length.
+KIND_FIELDS = [
+    fd.keyword("path", stored=True), fd.string("title", stored=True), fd.text("contents", level="offsets", vectors=True),
+    *(make(kind) for kind, make in (("an_int", fd.int_field), ("a_long", fd.long_field), ("a_float", fd.float_field), ("a_double", fd.double_field))),
+    *(make(kind) for kind, make in (("int_span", fd.int_range), ("long_span", fd.long_range), ("float_span", fd.float_range), ("double_span", fd.double_range))),
+    fd.lat_lon("place"), fd.feature("weights"), fd.stored("note"),
+    *(make(kind) for kind, make in (("dv_number", fd.numeric_dv), ("dv_bytes", fd.binary_dv), ("dv_word", fd.sorted_dv), ("dv_words", fd.sorted_set_dv), ("dv_numbers", fd.sorted_numeric_dv))),
+]
+
+
+def every_kind(docs: DataFrame) -> DataFrame:
+    """doc_id, text, source -> the columns of KIND_FIELDS; dv_number is there for even ids only."""
+    n, key = F.length("text"), F.col("doc_id")
+    span = lambda kind: F.struct(n.cast(kind).alias("min"), (n + 10).cast(kind).alias("max"))
+    numbers = [n.cast(kind).alias(name) for name, kind in (("an_int", "int"), ("a_long", "long"), ("a_float", "float"), ("a_double", "double"))]
+    spans = [span(kind).alias(f"{name}_span") for name, kind in (("int", "int"), ("long", "long"), ("float", "float"), ("double", "double"))]
+    return docs.select(
+        F.concat_ws("/", "source", key.cast("string")).alias("path"), F.concat(F.lit("no "), key).alias("title"), F.col("text").alias("contents"), *numbers, *spans,
+        F.struct((key % 90).cast("double").alias("lat"), (key % 180).cast("double").alias("lon")).alias("place"), F.create_map(F.lit("length"), (n + 1).cast("float")).alias("weights"), F.lit("a note").alias("note"),
+        F.when(key % 2 == 0, key).alias("dv_number"), F.col("source").alias("dv_bytes"), F.col("source").alias("dv_word"), F.array("source", "source").alias("dv_words"), F.array(key, n.cast("long")).alias("dv_numbers"),
+    )
 
 
-def _all_fields_sql() -> str:
-    n, feature = "(SELECT count(*) FROM documents)", lambda v: f"SELECT doc_id, ({v})::FLOAT::DOUBLE AS v FROM z"
-    freqs = f"""z AS (SELECT doc_id, strlen(text) AS size FROM documents WHERE text IS NOT NULL), fv AS ({feature('(size % 100) / 10.0::DOUBLE + 0.5::DOUBLE')} UNION ALL {feature('(size % 50) / 5.0::DOUBLE + 1')}),
-      fe AS (SELECT v, floor(log2(v)) AS e0 FROM fv), fx AS (SELECT v, CASE WHEN pow(2, e0) > v THEN e0 - 1 WHEN pow(2, e0 + 1) <= v THEN e0 + 1 ELSE e0 END AS e FROM fe),
+def _every_kind_sql() -> str:
+    has, n = "count(*) FILTER (text IS NOT NULL)", "count(*)"
+    feature = f"""z AS (SELECT (length(text) + 1)::FLOAT::DOUBLE AS v FROM documents WHERE text IS NOT NULL), fe AS (SELECT v, floor(log2(v)) AS e0 FROM z),
+      fx AS (SELECT v, CASE WHEN pow(2, e0) > v THEN e0 - 1 WHEN pow(2, e0 + 1) <= v THEN e0 + 1 ELSE e0 END AS e FROM fe),
       ff AS (SELECT count(*) AS c, sum(((e + 127) * 256 + floor((v / pow(2, e) - 1) * 256))::BIGINT)::BIGINT AS t FROM fx)"""
-    rows = [f"SELECT 'contents', count(DISTINCT term), sum(tf)::BIGINT, count(*), count(DISTINCT doc), 0::BIGINT, 0::BIGINT, count(DISTINCT doc), count(DISTINCT doc) FROM post", "SELECT 'features', 2, t, c, c // 2, 0, 0, 0, 0 FROM ff"]
-    exact = lambda f, dv: f"SELECT '{f}', {n}, {n}, {n}, {n}, {dv}, 0, 0, 0"
-    rows += [exact("path", n), exact("title", 0)]
-    rows += [f"SELECT '{f}', 0, 0, 0, 0, {n}, {n}, 0, 0" for f in ("modified",)] + [f"SELECT '{f}', 0, 0, 0, 0, count(*), count(*), 0, 0 FROM z" for f in ("size", "score", "rating")]
-    rows += [f"SELECT '{f}', 0, 0, 0, 0, 0, count(*), 0, 0 FROM z" for f in ("location", "int_range", "long_range", "float_range", "double_range")]
-    rows += [f"SELECT '{f}', 0, 0, 0, 0, 0, 0, 0, 0" for f in ("notes", "extra_int", "extra_float", "extra_double")]
-    rows += [f"SELECT '{f}', 0, 0, 0, 0, count(*), 0, 0, 0 FROM z" for f in ("dv_count", "dv_hash", "dv_priority")] + [f"SELECT '{f}', 0, 0, 0, 0, {n}, 0, 0, 0" for f in ("dv_category", "dv_tag")]
-    rows += ["SELECT 'sparse_count', 0, 0, 0, 0, count(*), 0, 0, 0 FROM documents WHERE doc_id % 2 = 0"]
-    return f"WITH {sql.postings()}, {freqs} SELECT * FROM ({' UNION ALL '.join(rows)}) r(field, term_count, sum_ttf, sum_df, doc_count, dv_docs, point_docs, norm_docs, vector_docs)"
-
-
-@register("all_field_summary", _all_fields_sql())
+    rows = ["SELECT 'contents', count(DISTINCT term), sum(tf)::BIGINT, count(*), count(DISTINCT doc), 0::BIGINT, 0::BIGINT, count(DISTINCT doc), count(DISTINCT doc) FROM post", "SELECT 'weights', 1, t, c, c, 0, 0, 0, 0 FROM ff"]
+    rows += [f"SELECT '{f}', {n}, {n}, {n}, {n}, {dv}, 0, 0, 0 FROM documents" for f, dv in (("path", n), ("title", 0))]
+    number = [f"SELECT '{f}', 0, 0, 0, 0, {has}, {has}, 0, 0 FROM documents" for f in ("an_int", "a_long", "a_float", "a_double")]
+    rows += [*number, *(f"SELECT '{f}_span', 0, 0, 0, 0, 0, {n}, 0, 0 FROM documents" for f in ("int", "long", "float", "double")), f"SELECT 'place', 0, 0, 0, 0, 0, {n}, 0, 0 FROM documents", "SELECT 'note', 0, 0, 0, 0, 0, 0, 0, 0"]
+    rows += [f"SELECT 'dv_number', 0, 0, 0, 0, {n}, 0, 0, 0 FROM documents WHERE doc_id % 2 = 0", *(f"SELECT '{f}', 0, 0, 0, 0, {n}, 0, 0, 0 FROM documents" for f in ("dv_bytes", "dv_word", "dv_words", "dv_numbers"))]
+    return f"WITH {sql.postings()}, {feature} SELECT * FROM ({' UNION ALL '.join(rows)}) r(field, term_count, sum_ttf, sum_df, doc_count, dv_docs, point_docs, norm_docs, vector_docs)"
+
+
+@register("all_field_summary", _every_kind_sql())
 def all_field_summary(s, d):
-    ix = _index(s, d, "files", lambda s, d: (corpora.all_fields(_files(s, d)), "path", corpora.ALL_FIELDS))
+    ix = _index(s, d, "kinds", lambda s, d: (every_kind(table(s, d, "documents")), "path", KIND_FIELDS))
     return ixs.summary(ix).select("field", "term_count", "sum_ttf", "sum_df", "doc_count", "dv_docs", "point_docs", "norm_docs", "vector_docs")
 
 
@@ -546,3 +560,47 @@ def explain_score(s, d):
 register("ext_range_points", "SELECT doc_id AS doc, 1.0::DOUBLE AS score FROM documents WHERE n_chars BETWEEN 500 AND 600")(_all_hits(PointRange("n_chars", 500, 600)))
 register("ext_sort_by_dv", f"SELECT doc, n_chars FROM ({_ALL}) JOIN documents ON doc = doc_id ORDER BY n_chars DESC, doc LIMIT 10")(lambda s, d: Searcher(documents(s, d)).sort_by(_query(_CL), "n_chars", 10, False).select("doc", "n_chars"))
 register("ext_facet_counts", f"SELECT source AS value, count(*) AS n FROM ({_ALL}) JOIN documents ON doc = doc_id GROUP BY 1")(lambda s, d: Searcher(documents(s, d)).facets(_query(_CL), "source"))
+
+
+# ---- analyzers with filters, places, suggestions, highlights, mixed batches -------------------------------
+
+_WORDS_OF_TEXT = f"SELECT unnest(regexp_extract_all(translate(text, {sql.AZ}), '{sql.WORDS}')) AS term FROM documents"
+
+
+def _counted(analyzer):
+    return lambda s, d: corpora.spread(table(s, d, "documents")).select(F.explode_outer(analyzer(F.col("text"))).alias("term")).where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("ttf"))
+
+
+register("analyze_stop_words", f"SELECT term, count(*) AS ttf FROM ({_WORDS_OF_TEXT}) WHERE term NOT IN ('the', 'of', 'and') GROUP BY term")(lambda s, d: _counted(analysis.without(analysis.standard, ["the", "of", "and"]))(s, d))
+register("analyze_synonyms", f"SELECT CASE term WHEN 'und' THEN 'and' WHEN 'et' THEN 'and' WHEN 'der' THEN 'the' ELSE term END AS term, count(*) AS ttf FROM ({_WORDS_OF_TEXT}) GROUP BY 1")(
+    lambda s, d: _counted(analysis.with_synonyms(analysis.standard, {"und": "and", "et": "and", "der": "the"}))(s, d)
+)
+register("analyze_stemmed", f"""SELECT CASE WHEN regexp_matches(t, '[^ea]ies$') THEN t[:-4] || 'y' WHEN t LIKE '%ies' THEN t WHEN regexp_matches(t, '[^aeo]es$') THEN t[:-2] WHEN t LIKE '%es' THEN t WHEN regexp_matches(t, '[^us]s$') THEN t[:-2] ELSE t END AS term,
+    count(*) AS ttf FROM (SELECT term AS t FROM ({_WORDS_OF_TEXT})) GROUP BY 1""")(lambda s, d: _counted(analysis.stemmed(analysis.standard))(s, d))
+
+
+def _placed(s, d) -> Searcher:
+    """Documents with places that their ids make."""
+    place = F.struct((F.col("doc_id") % 180 - 89.5).alias("lat"), (F.col("doc_id") % 360 - 179.25).alias("lon"))
+    return Searcher(ixs.build(table(s, d, "documents").withColumn("at", place), "doc_id", [fd.lat_lon("at")]))
+
+
+_AT = "SELECT doc_id AS doc, doc_id % 180 - 89.5::DOUBLE AS lat, doc_id % 360 - 179.25::DOUBLE AS lon FROM documents"
+register("geo_box", f"SELECT doc FROM ({_AT}) WHERE lat BETWEEN -20 AND 45 AND (lon >= 170 OR lon <= -30)")(lambda s, d: _placed(s, d).hits(GeoBox("at", -20, 45, 170, -30)).select("doc"))
+register("geo_distance", f"SELECT doc FROM ({_AT}) WHERE 2 * 6371008.7714::DOUBLE * asin(sqrt(least(1.0, pow(sin(radians(lat - 10) / 2), 2) + cos(radians(10)) * cos(radians(lat)) * pow(sin(radians(lon + 80) / 2), 2)))) <= 2000000")(
+    lambda s, d: _placed(s, d).hits(GeoDistance("at", 10, -80, 2_000_000)).select("doc")
+)
+register("suggest_terms", f"{_P} SELECT term, df FROM dfs WHERE term LIKE 'th%' ORDER BY df DESC, term LIMIT 10")(lambda s, d: tm.suggest(documents(s, d), "text", "th"))
+
+
+@register("highlight_hits", f"WITH h AS ({sql.boolean([(MUST, 'license')])}) SELECT doc, regexp_replace(text, '\\b(license)\\b', '<b>\\1</b>', 'gi') AS text FROM h JOIN documents ON doc = doc_id")
+def highlight_hits(s, d):
+    x = Searcher(documents(s, d))
+    return x.highlight(x.search(_query([(MUST, "license")]), 10).select("doc"), "text", ["license"]).select("doc", "text")
+
+
+@register("batch_of_any_queries", f"""WITH {sql.postings()}, {_LISTS}, p AS (SELECT DISTINCT a.doc AS doc FROM placed a JOIN placed b ON a.doc = b.doc AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the')
+    SELECT 0 AS query_id, count(*) AS total_hits FROM p UNION ALL SELECT 1, count(DISTINCT doc) FROM post WHERE term LIKE 'licen%' UNION ALL SELECT 2, count(DISTINCT doc) FROM post WHERE term = 'tion'""")
+def batch_of_any_queries(s, d):
+    queries = [Phrase("text", ("of", "the")), Bool([(MUST, Prefix("text", "licen"))]), Term("text", "tion")]
+    return Searcher(documents(s, d)).search_batch(queries, 5).select("query_id", "total_hits").distinct()

@@ -52,6 +52,33 @@ def register(name: str, analyzer: Callable[[Column], Column]) -> None:
     ANALYZERS[name] = analyzer
 
 
+def without(analyzer: Callable[[Column], Column], words: list[str]) -> Callable[[Column], Column]:
+    """An analyzer that leaves stop words out; what follows moves up."""
+    return lambda text: F.filter(analyzer(text), lambda t: ~t.isin(*words)) if words else analyzer(text)
+
+
+def with_synonyms(analyzer: Callable[[Column], Column], synonyms: dict[str, str]) -> Callable[[Column], Column]:
+    """An analyzer that writes every synonym as the one word that stands for it."""
+    table = F.create_map(*[F.lit(x) for pair in sorted(synonyms.items()) for x in pair])
+    return lambda text: F.transform(analyzer(text), lambda t: F.coalesce(F.try_element_at(table, t), t))
+
+
+def singular(token: Column) -> Column:
+    """English plurals as singulars: -ies (not -eies, -aies) to -y, -es (not -aes, -ees, -oes) to -e, -s (not -us, -ss) off."""
+    return (
+        F.when(token.rlike("[^ea]ies$"), F.regexp_replace(token, "ies$", "y"))
+        .when(token.rlike("ies$"), token)
+        .when(token.rlike("[^aeo]es$"), F.regexp_replace(token, "s$", ""))
+        .when(token.rlike("es$"), token)
+        .when(token.rlike("[^us]s$"), F.regexp_replace(token, "s$", ""))
+        .otherwise(token)
+    )
+
+
+def stemmed(analyzer: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda text: F.transform(analyzer(text), singular)
+
+
 def pieces(text: Column, analyzer: str = "standard") -> tuple[Column, Column]:
     """(raw tokens, gaps around them) for byte offsets; standard and unicode only. The unicode
     analyzer's offsets refer to the lower-cased text."""

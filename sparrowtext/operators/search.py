@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import BM25, Similarity, f32div
-from ..plans.query import FILTER, MUST, MUST_NOT, OCCURS, SHOULD, Bool, Context, Query, Term
+from ..plans.query import FILTER, MUST, MUST_NOT, OCCURS, SHOULD, Bool, Context, Query, Term, any_of
 from .index import SearchIndex
 
 ORDER = (F.desc, F.asc)
@@ -63,6 +64,13 @@ class Searcher:
         """value, n: matches by the values of a column."""
         return self.fetch(self.hits(query, False).select("doc"), column).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
 
+    def highlight(self, hits: DataFrame, column: str, terms: list[str], before: str = "<b>", after: str = "</b>") -> DataFrame:
+        """hits with the column's text, every token that is one of the terms (any ASCII case) marked."""
+        words = "|".join(re.escape(t) for t in sorted(terms, key=len, reverse=True))
+        pattern = rf"(?i)(?<![\p{{IsAlphabetic}}\p{{N}}_'’])({words})(?![\p{{IsAlphabetic}}\p{{N}}_]|['’][\p{{IsAlphabetic}}\p{{N}}])"
+        marked = F.regexp_replace(F.col(column), F.lit(pattern), F.lit(f"{before}$1{after}"))
+        return self.fetch(hits, column).withColumn(column, marked if terms else F.col(column))
+
     def explain(self, query: Term | Bool, doc: int) -> DataFrame:
         """The parts of one document's score, a row a term clause."""
         terms = [query] if isinstance(query, Term) else [q for o, q in query.clauses if isinstance(q, Term) and o in (MUST, SHOULD)]
@@ -73,17 +81,19 @@ class Searcher:
         return out
 
     def search_batch(self, queries: list[Query], n: int = 10) -> DataFrame:
-        """query_id, rank, doc, score, total_hits of many flat queries in one job.
+        """query_id, rank, doc, score, total_hits of many queries in one job.
 
-        All clauses go into one broadcast table; the postings are scanned once. Ranks are made per
+        All clauses of flat queries go into one broadcast table; the postings are scanned once for them. Other queries
+        (nested, phrases, ranges) are compiled one by one and join the others' hits. Ranks are made per
         query after a cut to the best n of each task's share of (query, doc bucket), so a query that
         matches a third of everything is ranked in many tasks.
         """
-        ix, rows, needs = self.index, [], []
+        ix, rows, needs, others = self.index, [], [], []
         for qid, q in enumerate(queries):
             b = q if isinstance(q, Bool) else Bool([(SHOULD, q)])
             if any(not isinstance(x, Term) for _, x in b.clauses):
-                raise ValueError("a batch takes queries of term clauses")
+                others.append(self.hits(q).select(F.lit(qid).alias("query_id"), "doc", "score"))
+                continue
             count = {o: sum(x == o for x, _ in b.clauses) for o in OCCURS}
             required = count[MUST] + count[FILTER]
             need = b.msm if b.msm or required else 1
@@ -94,7 +104,7 @@ class Searcher:
         asked = ix.spark.createDataFrame(rows, schema)
         limits = ix.spark.createDataFrame(needs, "query_id int, n_must long, n_filter long, need long")
         words, names = sorted({r[3] for r in rows}), sorted({r[2] for r in rows})
-        only = lambda d: d.where(F.col("term").isin(words) & F.col("field").isin(names))
+        only = lambda d: d.where(any_of(F.col("term"), words) & F.col("field").isin(names))
         known = asked.join(only(ix.terms).select("field", "term", "df"), ["field", "term"]).join(ix.stats.select("field", "doc_count", "sum_ttf"), "field")
         known = known.select("query_id", "occur", "field", "term", (F.col("boost") * self.similarity.idf(F.col("df"), F.col("doc_count"))).cast("float").alias("w"), f32div(F.col("sum_ttf"), F.col("doc_count")).alias("avgdl"))
         hits = only(ix.postings).select("field", "term", "doc", "tf", "dl_q").join(F.broadcast(known), ["field", "term"])
@@ -107,6 +117,8 @@ class Searcher:
         ok = seen.join(F.broadcast(limits), "query_id").where("m = n_must AND f = n_filter AND x = 0 AND s >= need").select("query_id", "doc", "score")
         if ix.deleted is not None:
             ok = ok.join(ix.deleted, "doc", "left_anti")
+        for hits in others:
+            ok = ok.unionByName(hits)
         best = Window.partitionBy("query_id", "bucket").orderBy(F.desc("score"), F.asc("doc"))
         local = ok.withColumn("bucket", F.pmod(F.hash("doc"), F.lit(64))).withColumn("r", F.row_number().over(best))
         totals = local.groupBy("query_id", "bucket").agg(F.count("*").alias("c"))

@@ -29,3 +29,8 @@ def seek_ceil(index: SearchIndex, field: str, term: str) -> DataFrame:
 
 def bounds(index: SearchIndex, field: str) -> DataFrame:
     return index.full_stats().where(F.col("field") == field).select("min_term", "max_term", "term_count")
+
+
+def suggest(index: SearchIndex, field: str, prefix: str, n: int = 10) -> DataFrame:
+    """term, df: the n terms with the prefix that most documents have."""
+    return index.terms.where((F.col("field") == field) & F.col("term").startswith(prefix)).orderBy(F.desc("df"), "term").limit(n).select("term", "df")

@@ -3,7 +3,9 @@ is one group-by over the union of the clauses' hits, whatever their number."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +34,11 @@ class Query:
         raise NotImplementedError
 
 
+def any_of(c, words: list[str]):
+    """c is one of the words: equalities that reach row groups one by one, as a long In is read as its whole range."""
+    return reduce(lambda a, b: a | b, [c == w for w in words]) if 10 < len(words) <= 200 else c.isin(words)
+
+
 def nothing(ctx: Context) -> DataFrame:
     return ctx.index.spark.createDataFrame([], "doc long, score float")
 
@@ -44,7 +51,7 @@ def _terms_hits(ctx: Context, clauses: list[tuple[int, str, str, float]]) -> Dat
     ix = ctx.index
     words, names = sorted({c[2] for c in clauses}), sorted({c[1] for c in clauses})
     asked = ix.spark.createDataFrame(clauses, "cid int, field string, term string, boost float")
-    only = lambda d: d.where(F.col("term").isin(words) & F.col("field").isin(names))
+    only = lambda d: d.where(any_of(F.col("term"), words) & F.col("field").isin(names))
     post = only(ix.postings)
     if not ctx.with_scores:
         return post.select("field", "term", "doc").join(F.broadcast(asked), ["field", "term"]).select("cid", "doc", f32(0.0).alias("score"))
@@ -94,7 +101,7 @@ class TermFilter(Query):
         terms = ctx.index.terms.where((F.col("field") == self.field) & self.predicate(F.col("term"))).select("term")
         some = [r.term for r in terms.limit(FEW_TERMS + 1).collect()]
         post = ctx.index.postings.where(F.col("field") == self.field).select("term", "doc")
-        post = post.where(F.col("term").isin(some)) if len(some) <= FEW_TERMS else post.join(terms, "term", "left_semi")
+        post = post.where(any_of(F.col("term"), some)) if len(some) <= FEW_TERMS else post.join(terms, "term", "left_semi")
         return post.select("doc").distinct().select("doc", f32(self.boost * boost).alias("score"))
 
 
@@ -150,6 +157,48 @@ class PointRange(Query):
         return ctx.index.docs.where(c.between(self.low, self.high)).select("doc", f32(self.boost * boost).alias("score"))
 
 
+@dataclass
+class GeoBox(Query):
+    """Documents whose point (a struct of lat and lon) lies within the box; where west exceeds east it crosses the 180th meridian. Constant score."""
+
+    field: str
+    south: float
+    north: float
+    west: float
+    east: float
+    boost: float = 1.0
+
+    def compile(self, ctx, boost=1.0):
+        c = F.col(ctx.index.field(self.field).source)
+        lon = c["lon"].between(self.west, self.east) if self.west <= self.east else (c["lon"] >= self.west) | (c["lon"] <= self.east)
+        return ctx.index.docs.where(c["lat"].between(self.south, self.north) & lon).select("doc", f32(self.boost * boost).alias("score"))
+
+
+#: Metres of the earth's mean radius.
+EARTH = 6_371_008.7714
+
+
+@dataclass
+class GeoDistance(Query):
+    """Documents whose point lies within so many metres of a place, along the great circle. Constant score."""
+
+    field: str
+    lat: float
+    lon: float
+    metres: float
+    boost: float = 1.0
+
+    def compile(self, ctx, boost=1.0):
+        c = F.col(ctx.index.field(self.field).source)
+        lat, lon = F.radians(c["lat"]), F.radians(c["lon"])
+        lat0, lon0 = math.radians(self.lat), math.radians(self.lon)
+        half = F.pow(F.sin((lat - lat0) / 2), 2) + math.cos(lat0) * F.cos(lat) * F.pow(F.sin((lon - lon0) / 2), 2)
+        near = 2 * EARTH * F.asin(F.sqrt(F.least(half, F.lit(1.0)))) <= self.metres
+        # a band of latitudes first: it needs no sines and reaches the scan
+        band = c["lat"].between(self.lat - math.degrees(self.metres / EARTH) - 1e-9, self.lat + math.degrees(self.metres / EARTH) + 1e-9)
+        return ctx.index.docs.where(band & near).select("doc", f32(self.boost * boost).alias("score"))
+
+
 @dataclass
 class Bool(Query):
     """Clauses (occur, query) and the least number of SHOULD clauses that must match.

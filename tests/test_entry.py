@@ -1,5 +1,6 @@
 """The driver's contract, with and without the training-data operators."""
 
+import json
 import re
 import subprocess
 import sys
@@ -43,3 +44,20 @@ def test_bench_names_exist():
     import bench
 
     assert set(bench.HEADLINE) <= set(e.queries())
+
+
+def test_commands(spark, tmp_path, capsys):
+    from sparrowtext.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.txt").write_text("The quick fox")
+    (tmp_path / "in" / "two.txt").write_text("the slow fox")
+    at = f"file://{tmp_path}/ix"
+    main(["index", f"{tmp_path}/in", at], spark)
+    main(["query", at, "+fox quick", "slow"], spark)
+    out = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert [(x["query"], x["rank"], x["path"].rsplit("/", 1)[1], x["hits"]) for x in out] == [(0, 1, "one.txt", 2), (0, 2, "two.txt", 2), (1, 1, "two.txt", 1)]
+    main(["terms", at, "--prefix", "s"], spark)
+    main(["summary", at], spark)
+    lines = capsys.readouterr().out.splitlines()
+    assert lines[0] == "slow\t1\t1" and len(lines) == 6

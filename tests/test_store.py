@@ -7,6 +7,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from sparrowtext.catalogue import KIND_FIELDS, every_kind
 from sparrowtext.functions import encoding
 from sparrowtext.functions.similarity import quantized_length
 from sparrowtext.operators import fields as fd
@@ -14,7 +15,7 @@ from sparrowtext.operators import index as ixs
 from sparrowtext.operators import terms as tm
 from sparrowtext.operators.search import Searcher
 from sparrowtext.plans import parser
-from sparrowtext.plans.query import SHOULD, Bool, Term
+from sparrowtext.plans.query import MUST, SHOULD, Bool, Term
 from sparrowtext.sources import corpora
 from sparrowtext.sources.store import Store
 from sparrowtext.streaming.ingest import ingest
@@ -72,11 +73,53 @@ def test_every_kind_of_field(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for i in range(4):
         (tmp_path / "in" / f"doc_{i}.txt").write_text(f"some words {i}\n" * (i + 1))
+    files = corpora.text_files(spark, f"{tmp_path}/in")
+    assert sorted((r.title, r.contents.count("\n"), r.size) for r in files.collect()) == [(f"doc_{i}", i + 1, 13 * (i + 1)) for i in range(4)]
+    rows = files.select(F.regexp_extract("title", "[0-9]+", 0).cast("long").alias("doc_id"), F.col("contents").alias("text"), F.lit("disk").alias("source"))
     store = Store(spark, f"file://{tmp_path}/ix")
-    store.write(corpora.all_fields(corpora.text_files(spark, f"{tmp_path}/in")), "path", corpora.ALL_FIELDS)
+    store.write(every_kind(rows), "path", KIND_FIELDS)
     by = {r.field: r for r in ixs.summary(store.open()).collect()}
-    assert len(by) == 23 and by["contents"].sum_ttf == 30 and by["contents"].vector_docs == 4 and by["sparse_count"].dv_docs == 2
-    assert by["location"].point_docs == by["double_range"].point_docs == by["path"].dv_docs == 4 and by["features"].sum_df == 8
+    assert len(by) == len(KIND_FIELDS) and by["contents"].sum_ttf == 30 and by["contents"].vector_docs == 4 and by["dv_number"].dv_docs == 2
+    assert by["place"].point_docs == by["double_span"].point_docs == by["path"].dv_docs == 4 and by["weights"].sum_df == 4
+
+
+def test_string_keys_of_segments_do_not_collide(spark, tmp_path):
+    store, fields = Store(spark, f"file://{tmp_path}/ix"), [fd.text("text")]
+    for k, text in (("a", "apple"), ("b", "pear"), ("c", "apple pear")):
+        store.write(spark.createDataFrame([(k, text)], "path string, text string"), "path", fields, mode="append")
+    assert sorted(r.doc for r in store.open().docs.collect()) == [0, 1, 2]
+    both = Bool([(MUST, Term("text", "apple")), (MUST, Term("text", "pear"))])
+    x = Searcher(store.open())
+    assert [r.path for r in x.fetch(x.hits(both), "path").collect()] == ["c"]
+
+
+def test_updates_replace_and_come_back(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/ix")
+    store.write(docs(spark, 0, 6), "id", FIELDS)
+    store.delete(spark.createDataFrame([(1,)], "doc long"))
+    store.write(docs(spark, 1, 2).withColumn("text", F.lit("new apple")), "id", FIELDS, mode="update")
+    assert [d for d, _ in ranked(store.open(), "apple")] == [1] and 1 not in {d for d, _ in ranked(store.open(), "common")}
+    store.update(docs(spark, 2, 4).withColumn("text", F.lit("changed")), "id", FIELDS)
+    assert {d for d, _ in ranked(store.open(), "common")} == {0, 4, 5} and {d for d, _ in ranked(store.open(), "changed")} == {2, 3}
+    x = Searcher(store.open())
+    assert x.fetch(x.hits(Term("text", "changed")), "tag").count() == 2
+    with pytest.raises(ValueError, match="update"):
+        store.write(docs(spark, 5, 7), "id", FIELDS, mode="append")
+    with pytest.raises(ValueError, match="share an id"):
+        store.write(docs(spark, 8, 9).union(docs(spark, 8, 9)), "id", FIELDS, mode="append")
+    before = store.versions()
+    store.merge()
+    assert len(store.versions()) == len(before) + 1 and {d for d, _ in ranked(store.open(), "common")} == {0, 4, 5}
+    assert store.open().stats.where("field = 'text'").first().doc_count == 6
+
+
+def test_a_list_cut_short_is_no_version(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/ix")
+    store.write(docs(spark, 0, 3), "id", FIELDS)
+    (tmp_path / "ix" / "segments_2").write_text('{"segments": [')
+    assert store.open().docs.count() == 3
+    store.write(docs(spark, 3, 5), "id", FIELDS, mode="append")
+    assert store.open().docs.count() == 5 and store.versions() == [1, 2, 3]
 
 
 def test_opening_runs_no_job(spark, tmp_path):
