@@ -41,8 +41,10 @@ from .common import cut, drop_cut, ship
 #: END and START are bytes that no UTF-8 text holds.
 DEPTH, SHALLOW, END, START = 6, 2, 0xFE, 0xFF
 FOLDS, HELD = 7, 2
+#: The least log10 probability on the way to a chunk; what is less likely counts as this.
+LOWEST = 16.0
 #: Bytes of text whose windows are sorted at once; bytes of text a bucket, and the most buckets; chunks' windows of a bucket read at once.
-GRAM_BYTES, BUCKET_BYTES, MOST_BUCKETS, BLOBS_AT_ONCE = 4 << 20, 24 << 20, 4096, 2000
+GRAM_BYTES, BUCKET_BYTES, MOST_BUCKETS, BLOBS_AT_ONCE = 1 << 20, 24 << 20, 4096, 2000
 
 
 START_BYTES = bytes([START]) * DEPTH
@@ -118,19 +120,22 @@ def unpack_windows(blob: bytes, kind: str = "<u4"):
     return np.cumsum(gaps, dtype=np.uint64), np.ascontiguousarray(planes[8:].T).view(kind).ravel()
 
 
-def pack_floats(values) -> bytes:
+def pack_logs(logs) -> bytes:
+    """log10 probabilities in two bytes each, by planes, compressed. Steps widen with the square root, from 0 to -LOWEST: they
+    are finest for likely bytes, of which a text has most (0.0001 at a probability of 0.1)."""
     import numpy as np
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<f4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    steps = np.rint(np.sqrt(np.clip(-logs.astype(float), 0, LOWEST) / LOWEST) * 65535).astype("<u2")
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 2).T).tobytes())
 
 
-def unpack_floats(blob: bytes):
+def unpack_logs(blob: bytes):
     import numpy as np
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<f4").ravel()
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(2, -1)
+    return -LOWEST * (np.ascontiguousarray(planes.T).view("<u2").ravel() / 65535) ** 2
 
 
 class Shallow:
@@ -276,7 +281,7 @@ def first_pass(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, bu
                 lines[held].append(START_BYTES + packed_words(words))
                 size += len(lines[held][-1])
                 pending += len(lines[held][-1])
-                if pending >= GRAM_BYTES:
+                if pending >= 4 * GRAM_BYTES:
                     add_windows()
                 if size >= chunk_bytes:
                     yield from chunk_rows()
@@ -345,7 +350,7 @@ def window_scores(first: DataFrame, shallow: Shallow) -> DataFrame:
 
     def look_up(rows: pa.Table, model: pa.Table) -> pa.Table:
         keys, p = unpack_windows(model["model"][0].as_py(), "<f4")
-        out = [pack_floats(p[np.searchsorted(keys, unpack_windows(blob.as_py())[0])]) for blob in rows["blob"]]
+        out = [pack_logs(p[np.searchsorted(keys, unpack_windows(blob.as_py())[0])]) for blob in rows["blob"]]
         return pa.table({"chunk": rows["chunk"], "bucket": rows["bucket"], "blob": pa.array(out, pa.binary())})
 
     return salted.groupBy("bucket", "salt").cogroup(models.groupBy("of", "of_salt")).applyInArrow(look_up, "chunk long, bucket long, blob binary")
@@ -365,7 +370,7 @@ def chunk_scores(lines: list[bytes], logp: list[tuple[int, bytes]], buckets: int
     whole = whole[whole & np.uint64(255) != START]
     value = np.zeros(len(whole))
     order = np.argsort(bucket_of(whole, buckets), kind="stable")
-    value[order] = np.concatenate([unpack_floats(blob) for _, blob in sorted(logp)])
+    value[order] = np.concatenate([unpack_logs(blob) for _, blob in sorted(logp)])
     out = np.zeros(len(lines))
     for at, keys, at_key in parts:
         k = np.minimum(np.searchsorted(whole, keys), len(whole) - 1)
@@ -379,7 +384,7 @@ def chunk_scores(lines: list[bytes], logp: list[tuple[int, bytes]], buckets: int
     return out
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 16, chunk_bytes: int = 12 << 20) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 16, chunk_bytes: int = 24 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs."""
     import numpy as np
     import pyarrow as pa
