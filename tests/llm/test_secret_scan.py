@@ -6,7 +6,6 @@ import random
 import re
 import string
 
-import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL
