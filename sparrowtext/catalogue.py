@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle as sql
-from .functions import analysis, encoding
+from .functions import analysis
 from .functions.similarity import BM25
 from .operators import fields as fd
 from .operators import index as ixs

@@ -59,3 +59,14 @@ def test_own_analyzer(spark):
     docs = spark.createDataFrame([(0, "a b,c,a b")], "doc long, t string")
     got = {r.term: r.tf for r in ixs.field_postings(docs, fd.text("t", analyzer="commas")).collect()}
     assert got == {"a b": 2, "c": 1}
+
+
+def test_unicode_against_word_boundaries(spark):
+    """Tokens of whole texts are the parts between default word boundaries that hold a letter or digit, by another implementation."""
+    import regex
+
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").where("text IS NOT NULL").select("text", analysis.unicode(F.col("text")).alias("a")).collect()
+    assert len(rows) > 100
+    for r in rows:
+        parts = regex.split(r"(?V1)(?w)\b", r.text.lower())
+        assert r.a == [p for p in parts if regex.search(r"[\p{Alphabetic}\p{N}]", p)], r.text[:80]
