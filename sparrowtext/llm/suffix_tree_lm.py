@@ -357,34 +357,48 @@ def window_scores(first: DataFrame, shallow: Shallow) -> DataFrame:
 
 
 def chunk_scores(lines: list[bytes], logp: list[tuple[int, bytes]], buckets: int):
-    """log10 probability of each line (START_BYTES and its symbols) of a chunk; logp: its windows' by bucket."""
+    """log10 probability of each line (START_BYTES and its symbols) of a chunk; logp: its windows' by bucket. Empties both
+    lists. Pieces are sorted twice, as keeping each place's window would take most of a task's memory."""
     import numpy as np
 
-    a, lens = np.frombuffer(b"".join(lines), np.uint8), np.array([len(x) for x in lines])
-    starts = np.cumsum(lens) - lens
-    parts = []
+    lens = np.array([len(x) for x in lines])
+    a, starts, pieces = np.frombuffer(b"".join(lines), np.uint8), np.cumsum(lens) - lens, []
+    lines.clear()
+
+    def piece(at: int):
+        return window_keys(a[at : at + GRAM_BYTES + DEPTH])
+
+    whole = np.empty(0, np.uint64)
     for at in range(0, len(a) - DEPTH, GRAM_BYTES):
-        keys, at_key = np.unique(window_keys(a[at : at + GRAM_BYTES + DEPTH]), return_inverse=True)
-        parts.append((at, keys, at_key.astype(np.int32)))
-    whole = np.unique(np.concatenate([k for _, k, _ in parts]))
+        pieces.append(np.unique(piece(at)))
+        if len(pieces) == 4 or at + GRAM_BYTES >= len(a) - DEPTH:
+            whole = np.unique(np.concatenate([whole, *pieces]))
+            pieces.clear()
     whole = whole[whole & np.uint64(255) != START]
-    value = np.zeros(len(whole))
-    order = np.argsort(bucket_of(whole, buckets), kind="stable")
-    value[order] = np.concatenate([unpack_logs(blob) for _, blob in sorted(logp)])
-    out = np.zeros(len(lines))
-    for at, keys, at_key in parts:
+    order = np.argsort(bucket_of(whole, buckets), kind="stable").astype(np.int32)
+    value, done = np.zeros(len(whole), np.float32), 0
+    for _, blob in sorted(logp):
+        some = unpack_logs(blob)
+        value[order[done : done + len(some)]] = some
+        done += len(some)
+    assert done == len(whole), "a chunk's windows must all come back"
+    logp.clear()
+    del order
+    out = np.zeros(len(lens))
+    for at in range(0, len(a) - DEPTH, GRAM_BYTES):
+        keys, at_key = np.unique(piece(at), return_inverse=True)
         k = np.minimum(np.searchsorted(whole, keys), len(whole) - 1)
         p = np.where(keys & np.uint64(255) != START, value[k], 0.0)[at_key]
         # the lines of the places at + DEPTH ...
         lo, hi = at + DEPTH, at + DEPTH + len(p)
         first = int(np.searchsorted(starts, lo, "right")) - 1
         last = int(np.searchsorted(starts, hi, "left"))
-        of = np.repeat(np.arange(first, last), np.minimum(starts[first:last] + lens[first:last], hi) - np.maximum(starts[first:last], lo))
-        out += np.bincount(of, p, len(lines))
+        of = np.repeat(np.arange(last - first), np.minimum(starts[first:last] + lens[first:last], hi) - np.maximum(starts[first:last], lo))
+        out[first:last] += np.bincount(of, p, last - first)
     return out
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 16, chunk_bytes: int = 24 << 20) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 16, chunk_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs."""
     import numpy as np
     import pyarrow as pa
@@ -432,8 +446,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
                 for o, v in zip(out.values(), (ids[i], held[i], len(num), int((c[num] > 0).sum()), float(value[num].sum()))):
                     o.append(v)
                 lines.append(START_BYTES + packed_words([word[j] for j in num.tolist()]))
+        n_lines, firsts = len(lines), [int(known["first"].to_numpy(zero_copy_only=False).sum())]
+        del rows, known, word, c, value
         scores = chunk_scores(lines, logp, buckets)
-        firsts = [int(known["first"].to_numpy(zero_copy_only=False).sum())] + [0] * (len(lines) - 1)
+        firsts += [0] * (n_lines - 1)
         types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64()]
         return pa.table([*(pa.array(v, t) for v, t in zip(out.values(), types)), pa.array(scores), pa.array(firsts)], [*out, "score", "new_words"])
 
