@@ -87,9 +87,10 @@ def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     wild = "shiftleft(1L, CAST(shiftright(x.key, 32) % 32 AS int))"
     # of a segment that is equal in both the first variant counts, else that of the bit that differs
     first = lambda part, v: f"({part} = {wild} OR {part} = 0L AND shiftright(x.key, 32) = {v})"
+    # the planner takes keyed to be as small as classes, so it would send all 64 rows of each to the driver as a broadcast
     return (
         keyed.alias("x")
-        .join(keyed.alias("y"), F.expr(f"""
+        .join(keyed.alias("y").hint("merge"), F.expr(f"""
             x.key = y.key AND x.fp < y.fp AND bit_count({differ}) <= {radius}
             AND CASE WHEN shiftright(x.key, 32) < 32 THEN {first(low, 0)} ELSE bit_count({low}) > 1 AND {first(high, 32)} END"""))
         .select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))

@@ -72,6 +72,13 @@ def test_links_are_all_pairs_once(spark):
         sd.links(spark.createDataFrame([(1,)], "fp long"), 4)
 
 
+def test_variants_are_not_broadcast(spark):
+    # a written table of classes is below the broadcast threshold, the 64 rows that come of each class are not
+    classes = sd.cut(spark.range(1000).selectExpr("xxhash64(id) AS fp"), "classes")
+    plan = sd.links(classes)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(300, 200), (200, 250), (7, 7000)]
     edges = [(min(e), max(e)) for e in edges]
