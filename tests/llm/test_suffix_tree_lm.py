@@ -100,7 +100,7 @@ def test_scores(spark, chunk, bucket_bytes, blobs, least, gram, monkeypatch):
 
 
 def test_chunk_scores_sort(monkeypatch):
-    """Sums by line, and no np.unique that hashes: that was most of the query's CPU time."""
+    """Sums by line, and no np.unique that hashes: that was most of a chunk's scoring."""
     plain = np.unique
 
     def unique(a, **asked):
