@@ -290,7 +290,7 @@ def postings_offsets_text(s, d):
 
 @register("term_vectors", f"WITH {_LISTS}, g AS (SELECT doc, term, count(*) AS tf FROM placed GROUP BY doc, term) SELECT doc, count(*) AS n_terms, string_agg(term || ':' || tf, ' ' ORDER BY term) AS vector FROM g GROUP BY doc")
 def term_vectors(s, d):
-    tv = ixs.term_vectors(documents(s, d).postings.where("field = 'text'"))
+    tv = ixs.term_vectors(ixs.with_doc(corpora.spread(table(s, d, "documents")), "doc_id"), fd.text("text"))
     return tv.select("doc", F.size("terms").cast("long").alias("n_terms"), F.array_join(F.transform("terms", lambda t: F.concat_ws(":", t["term"], t["tf"].cast("string"))), " ").alias("vector"))
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,3 +88,17 @@ def pieces(text: Column, analyzer: str = "standard") -> tuple[Column, Column]:
     folded = F.lower(text) if analyzer == "unicode" else ascii_lower(text)
     folded = F.coalesce(folded, F.lit(""))
     return _all(folded, pattern), F.split(folded, pattern, -1)
+
+
+def running_sums(numbers: Column) -> Column:
+    """array<int> -> the sum of its elements up to each, for batches of rows, in time linear in their elements."""
+
+    def sums(lists: pa.Array) -> pa.Array:
+        begins = lists.offsets.to_numpy().astype(np.int64)
+        flat = lists.values.to_numpy(zero_copy_only=False)[begins[0] : begins[-1]]
+        begins = begins - begins[0]
+        total = np.concatenate(([0], np.cumsum(flat, dtype=np.int64)))
+        own = total[1:] - np.repeat(total[begins[:-1]], np.diff(begins))
+        return pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(own, pa.int32()))
+
+    return F.arrow_udf(sums, "array<int>")(numbers)

@@ -48,46 +48,54 @@ def source_text(docs: DataFrame, f: Field) -> Column:
     return F.array_join(c, " ") if docs.schema[f.source].dataType.typeName() == "array" else c
 
 
-def _tokenized(docs: DataFrame, f: Field) -> DataFrame:
-    """term, doc, pos, dl (tokens of the document) and, at level offsets, byte start and length."""
-    if f.level != "offsets":
-        toks = docs.select("doc", analysis.ANALYZERS[f.analyzer](source_text(docs, f)).alias("t"))
-        # outer, as the plain form makes Spark tokenize a second time, to filter empty arrays
-        return toks.select("doc", F.size("t").alias("dl"), F.posexplode_outer("t").alias("pos", "term")).where("pos IS NOT NULL")
-    raw, gaps = analysis.pieces(source_text(docs, f), f.analyzer)
-    both = docs.select("doc", raw.alias("t"), gaps.alias("g"))
-    at = both.select("doc", F.size("t").alias("dl"), F.posexplode_outer(F.arrays_zip("t", F.slice("g", 1, F.size("t")).alias("g"))).alias("pos", "x")).where("pos IS NOT NULL")
-    w = Window.partitionBy("doc").orderBy("pos")
-    rows = at.select("doc", "dl", "pos", F.col("x.t").alias("raw"), F.octet_length("x.g").alias("gap"))
-    start = F.sum(F.col("gap") + F.octet_length("raw")).over(w) - F.octet_length("raw")
-    term = F.substring("raw", 1, analysis.MAX_TOKEN) if f.analyzer == "standard" else F.col("raw")
-    rows = rows.select("doc", "dl", "pos", term.alias("term"), start.cast("int").alias("start"))
-    return rows.withColumn("len", F.octet_length("term"))
+def _terms(docs: DataFrame, f: Field) -> DataFrame:
+    """doc, dl (tokens of the document), groups: a document's terms in byte order, each with its frequency,
+    places and, at level offsets, byte starts and lengths.
+
+    Everything happens within a document's own row, so no token is shuffled, sorted across documents or spilled.
+    docs has one row a document.
+    """
+    if f.level == "offsets":
+        raw, gaps = analysis.pieces(source_text(docs, f), f.analyzer)
+        both = docs.select("doc", raw.alias("t"), gaps.alias("g"))
+        # a token's end is the sum of the gaps and tokens up to it
+        both = both.select("doc", "t", analysis.running_sums(F.transform("t", lambda x, i: F.octet_length(x) + F.octet_length(F.get("g", i)))).alias("ends"))
+        term = (lambda x: F.substring(x, 1, analysis.MAX_TOKEN)) if f.analyzer == "standard" else lambda x: x
+        place = lambda x, i: F.struct(term(x).alias("term"), i.alias("pos"), (F.get("ends", i) - F.octet_length(x)).alias("start"), F.octet_length(term(x)).alias("len"))
+    else:
+        both = docs.select("doc", analysis.ANALYZERS[f.analyzer](source_text(docs, f)).alias("t"))
+        place = lambda x, i: F.struct(x.alias("term"), i.alias("pos"))
+    # each step is a projection of its own, as Spark would otherwise do the one before again at each use
+    placed = both.select("doc", F.size("t").alias("dl"), F.sort_array(F.transform("t", place)).alias("s"))
+    parts = {"positions": "pos", "starts": "start", "lens": "len"}
+    held = [k for k in parts if f.level == "offsets" or f.level == "positions" and k == "positions"]
+    first = F.transform("s", lambda x, i: F.when((i == 0) | (x["term"] != F.get("s", i - 1)["term"]), i))
+    lists = [F.col("s")[parts[k]].alias(k) for k in held]
+    found = placed.select("doc", "dl", F.col("s")["term"].alias("words"), F.col("s")["pos"].alias("places"), *lists, F.filter(first, lambda i: i.isNotNull()).alias("firsts"))
+
+    def group(at: Column, k: Column) -> Column:
+        n = F.coalesce(F.get("firsts", k + 1), F.col("dl")) - at
+        run = lambda name: (F.slice(name, at + 1, n) if name in held else F.expr(NONE)).alias(name)
+        return F.struct(F.get("words", at).alias("term"), n.alias("tf"), *map(run, parts), (F.get("places", at) == 0).alias("head"))
+
+    return found.select("doc", "dl", F.transform("firsts", group).alias("groups"))
 
 
 def field_postings(docs: DataFrame, f: Field) -> DataFrame:
-    """Postings of one field, from docs with a `doc` column."""
+    """Postings of one field, from docs with a `doc` column. head marks the term that a tokenized text begins with."""
     if f.feature:
         kv = docs.select("doc", F.explode(f.source).alias("term", "v")).select("doc", "term", F.when(F.col("v") > 0, encoding.feature_freq(F.col("v"))).otherwise(F.raise_error(F.lit("feature values must be positive"))).alias("tf"))
-        return kv.selectExpr(f"'{f.name}' AS field", "term", "doc", "CAST(tf AS int) AS tf", "CAST(NULL AS int) AS dl", "1 AS dl_q", f"{NONE} AS positions", f"{NONE} AS starts", f"{NONE} AS lens")
+        return kv.selectExpr(f"'{f.name}' AS field", "term", "doc", "CAST(tf AS int) AS tf", "CAST(NULL AS int) AS dl", "1 AS dl_q", f"{NONE} AS positions", f"{NONE} AS starts", f"{NONE} AS lens", "false AS head")
     if not f.tokenized:
         value = F.col(f.source)
         multi = docs.schema[f.source].dataType.typeName() == "array"
         values = F.explode(F.array_distinct(value)) if multi else value.cast("string")
         terms = docs.select("doc", values.alias("term")).where("term IS NOT NULL").select("doc", F.col("term").cast("string"))
-        return terms.selectExpr(f"'{f.name}' AS field", "term", "doc", "1 AS tf", "CAST(NULL AS int) AS dl", "1 AS dl_q", f"{NONE} AS positions", f"{NONE} AS starts", f"{NONE} AS lens")
-    toks = _tokenized(docs, f)
-    aggs = [F.count("*").cast("int").alias("tf")]
-    positions = f.level in ("positions", "offsets")
-    if f.level == "offsets":
-        aggs.append(F.sort_array(F.collect_list(F.struct("pos", "start", "len"))).alias("x"))
-    elif positions:
-        aggs.append(F.sort_array(F.collect_list("pos")).alias("positions"))
-    post = toks.groupBy("term", "doc", "dl").agg(*aggs)
-    if f.level == "offsets":
-        post = post.select("*", F.col("x.pos").alias("positions"), F.col("x.start").alias("starts"), F.col("x.len").alias("lens")).drop("x")
-    pick = lambda c: F.col(c) if c in post.columns else F.expr(NONE).alias(c)
-    return post.select(F.lit(f.name).alias("field"), "term", "doc", F.col("tf") if f.level != "docs" else F.lit(1).alias("tf"), "dl", quantized_length(F.col("dl")).alias("dl_q"), pick("positions"), pick("starts"), pick("lens"))
+        return terms.selectExpr(f"'{f.name}' AS field", "term", "doc", "1 AS tf", "CAST(NULL AS int) AS dl", "1 AS dl_q", f"{NONE} AS positions", f"{NONE} AS starts", f"{NONE} AS lens", "false AS head")
+    # outer, as the plain form makes Spark tokenize a second time, to filter empty arrays
+    post = _terms(docs, f).select("doc", "dl", F.explode_outer("groups").alias("x")).where("x IS NOT NULL")
+    tf = F.col("x.tf") if f.level != "docs" else F.lit(1)
+    return post.select(F.lit(f.name).alias("field"), "x.term", "doc", tf.alias("tf"), "dl", quantized_length(F.col("dl")).alias("dl_q"), "x.positions", "x.starts", "x.lens", "x.head")
 
 
 def all_postings(docs: DataFrame, fields: list[Field]) -> DataFrame:
@@ -96,7 +104,7 @@ def all_postings(docs: DataFrame, fields: list[Field]) -> DataFrame:
         if f.level != "none":
             one = field_postings(docs, f)
             out = one if out is None else out.unionByName(one)
-    return out if out is not None else docs.sparkSession.createDataFrame([], POSTINGS)
+    return out if out is not None else docs.sparkSession.createDataFrame([], f"{POSTINGS}, head boolean")
 
 
 def field_norms(docs: DataFrame, f: Field) -> DataFrame:
@@ -145,7 +153,8 @@ def with_doc(df: DataFrame, key: str | list[str], base: int = 0) -> DataFrame:
     if is_number(df, key):
         return df.withColumn("doc", F.col(key).cast("long"))
     keys = [key] if isinstance(key, str) else key
-    return df.join(ranks(df.select(*keys).distinct(), "doc").withColumn("doc", F.col("doc") + base), keys)
+    # the ranks are hashed, so that the documents are not sorted to meet them
+    return df.join(ranks(df.select(*keys).distinct(), "doc").withColumn("doc", F.col("doc") + base).hint("shuffle_hash"), keys)
 
 
 def is_number(df: DataFrame, key: str | list[str]) -> bool:
@@ -202,9 +211,11 @@ def point_columns(docs: DataFrame, f: Field) -> DataFrame:
     return rows.select("doc", c.cast(f.point).alias("value"))
 
 
-def term_vectors(postings: DataFrame) -> DataFrame:
-    """doc, field, terms: each document's terms in order, with their places."""
-    return postings.groupBy("doc", "field").agg(F.sort_array(F.collect_list(F.struct("term", "tf", "positions", "starts", "lens"))).alias("terms"))
+def term_vectors(docs: DataFrame, f: Field) -> DataFrame:
+    """doc, field, terms: each document's terms of a tokenized field in order, with their places; made within its row."""
+    # a generated column, as a filter on groups would be made before them, with a second tokenization
+    held = _terms(docs, f).select("doc", F.explode_outer(F.when(F.size("groups") > 0, F.array("groups"))).alias("terms")).where("terms IS NOT NULL")
+    return held.select("doc", F.lit(f.name).alias("field"), F.transform("terms", lambda x: x.dropFields("head")).alias("terms"))
 
 
 def summary(index: SearchIndex) -> DataFrame:

@@ -132,9 +132,11 @@ class Phrase(Query):
         ix = ctx.index
         slots = ix.spark.createDataFrame([(i, t) for i, t in enumerate(self.terms)], "slot int, term string")
         post = ix.postings.where((F.col("field") == self.field) & F.col("term").isin(*set(self.terms)))
-        at = post.join(F.broadcast(slots), "term").select("doc", "dl_q", "slot", F.explode("positions").alias("pos"))
-        runs = at.groupBy("doc", "dl_q", (F.col("pos") - F.col("slot")).alias("start")).agg(F.countDistinct("slot").alias("n")).where(F.col("n") == len(self.terms))
-        freq = runs.groupBy("doc", "dl_q").agg(F.count("*").alias("tf"))
+        # a document's lists of places, moved back by their slots, are met in its own row
+        lists = post.join(F.broadcast(slots), "term").select("doc", "dl_q", F.struct("slot", F.transform("positions", lambda p: p - F.col("slot")).alias("p")).alias("x"))
+        lists = lists.groupBy("doc", "dl_q").agg(F.collect_list("x").alias("xs")).where(F.size("xs") == len(self.terms))
+        met = F.aggregate(F.slice("xs", 2, len(self.terms)), F.get("xs", F.lit(0))["p"], lambda a, x: F.array_intersect(a, x["p"]))
+        freq = lists.select("doc", "dl_q", F.explode(F.array(F.size(met).cast("long"))).alias("tf")).where("tf > 0")
         sizes = ix.stats.where(F.col("field") == self.field)
         dfs = slots.join(ix.terms.where((F.col("field") == self.field) & F.col("term").isin(*set(self.terms))), "term")
         known = dfs.join(sizes.select("field", "doc_count", "sum_ttf"), "field").groupBy("doc_count", "sum_ttf").agg(F.sum(ctx.similarity.idf(F.col("df"), F.col("doc_count")).cast("double")).cast("float").alias("idf"))

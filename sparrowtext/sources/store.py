@@ -8,8 +8,9 @@ A commit writes its tables first, under new names, and then creates the new list
 exclusive, so of two writers one fails, and a list that was not written to its end is no version, so a reader sees a
 whole version or the one before. The list holds each segment's statistics by field; an index's are their
 sums, so opening one runs no job, and scores don't hang on how documents were dealt to segments.
-Postings are range-partitioned and sorted by (field, term, doc): a search reads the row groups of its
-terms.
+Postings are runs: each file holds one field's postings of a bounded share of the documents, sorted by
+(term, doc), with bloom filters and page indexes of terms, so a search reads the pages of its terms of each
+file. Postings are never shuffled: a run is made of its documents by one task, and fits its memory.
 
 Documents are numbered by a whole-number key itself, or from the segment's base by the rank of their
 key: bases follow one another, so no two segments share a number. A delete counts for the segments
@@ -22,16 +23,21 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from contextlib import contextmanager
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import fields as fields_
 from ..operators.fields import Field, checked
-from ..operators.index import NORMS, POSTINGS, SearchIndex, all_norms, all_postings, check_stats, is_number, stat_table, summary, term_table, with_doc
+from ..operators.index import NORMS, POSTINGS, SearchIndex, all_norms, all_postings, check_stats, is_number, source_text, stat_table, summary, term_table, with_doc
 
+#: Bytes of text, and of postings' files when merged, that one task makes a run of.
+RUN_BYTES = 16 << 20
+#: Deleted documents up to which they are broadcast to the tables that they are taken from.
+FEW_DELETES = 2_000_000
 STATS = "field string, max_doc long, doc_count long, sum_ttf long, sum_df long, min_term string, max_term string"
 
 
@@ -79,26 +85,49 @@ class Store:
         base = f"{self.path}/segments/{name}"
         docs.write.parquet(f"{base}/docs")
         docs = self.spark.read.parquet(f"{base}/docs")
-        n, distinct = docs.agg(F.count("*"), F.count_distinct("doc")).first()
+        text = [F.coalesce(F.octet_length(source_text(docs, f)), F.lit(0)) for f in fields if f.tokenized]
+        n, distinct, size = docs.agg(F.count("*"), F.count_distinct("doc"), F.sum(reduce(Column.__add__, text, F.lit(64)).cast("long"))).first()
         if n != distinct or not n:
             self._fs.delete(self._at(f"segments/{name}"), True)
             if n != distinct:
                 raise ValueError(f"documents share an id, or have none: {n} rows, {distinct} ids")
             return None
-        # a document's tokens stay in its task: they are grouped without another shuffle
-        post, norms = merged or (all_postings(docs.repartition("doc"), fields), all_norms(docs, fields))
-        post = post.repartitionByRange("field", "term", "doc").sortWithinPartitions("field", "term", "doc")
-        post.write.option("parquet.bloom.filter.enabled#term", "true").parquet(f"{base}/postings")
-        post = self.spark.read.schema(POSTINGS).parquet(f"{base}/postings")
+        options = {"parquet.bloom.filter.enabled#term": "true", "parquet.bloom.filter.adaptive.enabled": "true", "compression": "zstd"}
+        if merged:
+            with self._small_splits():
+                runs = merged[0].withColumn("head", F.lit(None).cast("boolean")).sortWithinPartitions("field", "term", "doc")
+                runs.write.options(**options).parquet(f"{base}/postings")
+        else:  # field by field: sorting begins with what differs
+            shares = docs.repartition(-(-int(size) // RUN_BYTES), "doc")
+            for one in [[f] for f in fields if f.level != "none"] or [[]]:
+                all_postings(shares, one).sortWithinPartitions("term", "doc").write.options(**options).mode("append").parquet(f"{base}/postings")
+        post = self.spark.read.schema(f"{POSTINGS}, head boolean").parquet(f"{base}/postings")
+        if merged:
+            norms = merged[1]
+        else:  # a text's length stands at the term that it begins with
+            norms = post.where("head").select("field", "doc", "dl", "dl_q").unionByName(all_norms(docs, [f for f in fields if not f.tokenized]))
         norms.write.parquet(f"{base}/norms")
         norms = self.spark.read.schema(NORMS).parquet(f"{base}/norms")
-        term_table(post).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{base}/terms")
+        term_table(post).sortWithinPartitions("field", "term").write.parquet(f"{base}/terms")
         terms = self.spark.read.parquet(f"{base}/terms")
         stats = [r.asDict() for r in stat_table(norms, terms, n).collect()]  # a row per field
         for x in stats:
             check_stats(x)
         return {"name": name, "label": label or name, "max_doc": n, "stats": [{k: v for k, v in x.items() if k not in ("max_doc", "max_df")} for x in stats]}
 
+    @contextmanager
+    def _small_splits(self):
+        """Files are read in tasks of RUN_BYTES, small ones together, so that what a task reads it can sort in memory."""
+        want = {"spark.sql.files.maxPartitionBytes": str(RUN_BYTES), "spark.sql.files.openCostInBytes": "65536"}
+        was = {k: self.spark.conf.get(k) for k in want}
+        try:
+            for k, v in want.items():
+                self.spark.conf.set(k, v)
+            yield
+        finally:
+            for k, v in was.items():
+                self.spark.conf.set(k, v)
+
     def write(self, df: DataFrame, key, fields: list[Field], mode: str = "overwrite", segment: str | None = None) -> int | None:
         """Index df as a new segment; overwrite starts anew, append adds, update adds and deletes what the index
         holds under the same keys. None if there was no document.
@@ -133,7 +162,8 @@ class Store:
     def _deleted(self, docs: DataFrame, segments: list[dict]) -> dict:
         name = f"deletes/{uuid.uuid4().hex}"
         docs.select("doc").distinct().write.parquet(f"{self.path}/{name}")
-        return {"path": name, "segments": [s["name"] for s in segments]}
+        n = self.spark.read.parquet(f"{self.path}/{name}").count()
+        return {"path": name, "n": n, "segments": [s["name"] for s in segments]}
 
     def delete(self, docs: DataFrame) -> int:
         """Mark docs (column doc) as deleted from the segments that are there now; merge() takes them out."""
@@ -152,12 +182,16 @@ class Store:
         schema = {"postings": POSTINGS, "norms": NORMS}.get(table)
         read = self.spark.read.schema(schema) if schema else self.spark.read
         of: dict[tuple, list[str]] = {}  # deletes -> segments
+        size = {d["path"]: d.get("n", FEW_DELETES + 1) for d in now["deletes"]}
         for s in now["segments"]:
             of.setdefault(tuple(d["path"] for d in now["deletes"] if s["name"] in d["segments"]), []).append(f"{self.path}/segments/{s['name']}/{table}")
         parts = []
         for deletes, paths in of.items():
             rows = read.parquet(*paths)
-            parts.append(rows.join(self.spark.read.parquet(*[f"{self.path}/{d}" for d in deletes]), "doc", "left_anti") if deletes else rows)
+            if deletes:  # few are broadcast, many are hashed: the table itself is not sorted for it
+                gone = self.spark.read.parquet(*[f"{self.path}/{d}" for d in deletes])
+                rows = rows.join(gone.hint("broadcast" if sum(size[d] for d in deletes) <= FEW_DELETES else "shuffle_hash"), "doc", "left_anti")
+            parts.append(rows)
         return reduce(DataFrame.unionByName, parts)
 
     def open(self, version: int | None = None, only: str = "") -> SearchIndex:
