@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,15 +91,59 @@ def pieces(text: Column, analyzer: str = "standard") -> tuple[Column, Column]:
     return _all(folded, pattern), F.split(folded, pattern, -1)
 
 
-def running_sums(numbers: Column) -> Column:
-    """array<int> -> the sum of its elements up to each, for batches of rows, in time linear in their elements."""
-
-    def sums(lists: pa.Array) -> pa.Array:
-        begins = lists.offsets.to_numpy().astype(np.int64)
-        flat = lists.values.to_numpy(zero_copy_only=False)[begins[0] : begins[-1]]
-        begins = begins - begins[0]
-        total = np.concatenate(([0], np.cumsum(flat, dtype=np.int64)))
-        own = total[1:] - np.repeat(total[begins[:-1]], np.diff(begins))
-        return pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(own, pa.int32()))
-
-    return F.arrow_udf(sums, "array<int>")(numbers)
+#: Tokens that term_groups sorts at once.
+SORTED_AT_ONCE = 1 << 20
+_PLACES = pa.list_(pa.int32())
+
+
+def _grouped(words: pa.Array, ends: np.ndarray, steps: np.ndarray | None, raw: np.ndarray | None, places: bool) -> pa.ListArray:
+    """term_groups of the texts whose tokens end at `ends`, in flat arrays. Each token is one number, (text, term, place), so that sorting numbers sorts tokens."""
+    begins, counts = np.concatenate(([0], ends[:-1])), np.diff(ends, prepend=0)
+    coded = words.dictionary_encode(null_encoding="encode")
+    order = pc.sort_indices(coded.dictionary).to_numpy()  # in the order of their bytes
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    longest, kinds = int(counts.max(initial=1)) or 1, len(order) or 1
+    text = np.repeat(np.arange(len(ends)), counts)
+    key = (text * kinds + rank[coded.indices.to_numpy()]) * longest + np.arange(len(words)) - begins[text]
+    key.sort()
+    group, pos = np.divmod(key, longest)
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    bounds = pa.array(np.append(first, len(key)), pa.int32())
+    lists = lambda v: pa.ListArray.from_arrays(bounds, pa.array(v, pa.int32()))
+    held = [lists(pos)] if places else []
+    if steps is not None:
+        at = begins[group // kinds] + pos
+        total = np.cumsum(steps)
+        before = (total - steps)[np.minimum(begins, max(len(steps) - 1, 0))] if len(steps) else begins
+        held += [lists((total - raw - before[text])[at]), lists(pc.binary_length(words).to_numpy(zero_copy_only=False)[at])]
+    held += [pa.nulls(len(first), _PLACES)] * (3 - len(held))
+    of, term = np.divmod(group[first], kinds)
+    columns = [coded.dictionary.take(pa.array(order[term])), pa.array(np.diff(first, append=len(key)), pa.int32()), *held, pa.array(pos[first] == 0)]
+    groups = pa.StructArray.from_arrays(columns, ["term", "tf", "positions", "starts", "lens", "head"])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(of, minlength=len(ends)))), pa.int32()), groups)
+
+
+def term_groups(terms: Column, places: bool, steps: Column | None = None, raw: Column | None = None) -> Column:
+    """array<string> tokens of a text -> its terms in byte order, each with its frequency, places and whether the text begins with it;
+    given the bytes from each token's end to the next one's (steps) and of each token (raw), with byte starts and lengths too."""
+
+    def flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        return lists.values[ends[0] : ends[-1]], ends[1:] - ends[0]
+
+    def groups(terms: pa.Array, *sizes: pa.Array) -> pa.Array:
+        words, ends = flat(terms)
+        sizes = [flat(x)[0].to_numpy(zero_copy_only=False).astype(np.int64) for x in sizes] or [None, None]
+        out, row, done = [], 0, 0
+        while row < len(ends) or not out:  # whole texts, as many as are sorted at once, one at least
+            to = max(int(np.searchsorted(ends, done + SORTED_AT_ONCE, "right")), min(row + 1, len(ends)))
+            end = int(ends[to - 1]) if to else 0
+            out.append(_grouped(words[done:end], ends[row:to] - done, *[x if x is None else x[done:end] for x in sizes], places))
+            row, done = to, end
+        return pa.concat_arrays(out)
+
+    kind = "array<struct<term:string,tf:int,positions:array<int>,starts:array<int>,lens:array<int>,head:boolean>>"
+    if steps is None:
+        return F.arrow_udf(lambda t: groups(t), kind)(terms)
+    return F.arrow_udf(lambda t, s, r: groups(t, s, r), kind)(terms, steps, raw)

@@ -55,30 +55,16 @@ def _terms(docs: DataFrame, f: Field) -> DataFrame:
     Everything happens within a document's own row, so no token is shuffled, sorted across documents or spilled.
     docs has one row a document.
     """
-    if f.level == "offsets":
-        raw, gaps = analysis.pieces(source_text(docs, f), f.analyzer)
-        both = docs.select("doc", raw.alias("t"), gaps.alias("g"))
-        # a token's end is the sum of the gaps and tokens up to it
-        both = both.select("doc", "t", analysis.running_sums(F.transform("t", lambda x, i: F.octet_length(x) + F.octet_length(F.get("g", i)))).alias("ends"))
-        term = (lambda x: F.substring(x, 1, analysis.MAX_TOKEN)) if f.analyzer == "standard" else lambda x: x
-        place = lambda x, i: F.struct(term(x).alias("term"), i.alias("pos"), (F.get("ends", i) - F.octet_length(x)).alias("start"), F.octet_length(term(x)).alias("len"))
-    else:
+    places = f.level in ("positions", "offsets")
+    if f.level != "offsets":
         both = docs.select("doc", analysis.ANALYZERS[f.analyzer](source_text(docs, f)).alias("t"))
-        place = lambda x, i: F.struct(x.alias("term"), i.alias("pos"))
-    # each step is a projection of its own, as Spark would otherwise do the one before again at each use
-    placed = both.select("doc", F.size("t").alias("dl"), F.sort_array(F.transform("t", place)).alias("s"))
-    parts = {"positions": "pos", "starts": "start", "lens": "len"}
-    held = [k for k in parts if f.level == "offsets" or f.level == "positions" and k == "positions"]
-    first = F.transform("s", lambda x, i: F.when((i == 0) | (x["term"] != F.get("s", i - 1)["term"]), i))
-    lists = [F.col("s")[parts[k]].alias(k) for k in held]
-    found = placed.select("doc", "dl", F.col("s")["term"].alias("words"), F.col("s")["pos"].alias("places"), *lists, F.filter(first, lambda i: i.isNotNull()).alias("firsts"))
-
-    def group(at: Column, k: Column) -> Column:
-        n = F.coalesce(F.get("firsts", k + 1), F.col("dl")) - at
-        run = lambda name: (F.slice(name, at + 1, n) if name in held else F.expr(NONE)).alias(name)
-        return F.struct(F.get("words", at).alias("term"), n.alias("tf"), *map(run, parts), (F.get("places", at) == 0).alias("head"))
-
-    return found.select("doc", "dl", F.transform("firsts", group).alias("groups"))
+        return both.select("doc", F.size("t").alias("dl"), analysis.term_groups(F.col("t"), places).alias("groups"))
+    raw, gaps = analysis.pieces(source_text(docs, f), f.analyzer)
+    both = docs.select("doc", raw.alias("t"), gaps.alias("g"))
+    # a token's end is the sum of the gaps and tokens up to it
+    term = (lambda x: F.substring(x, 1, analysis.MAX_TOKEN)) if f.analyzer == "standard" else lambda x: x
+    steps = F.transform("t", lambda x, i: F.octet_length(x) + F.octet_length(F.get("g", i)))
+    return both.select("doc", F.size("t").alias("dl"), analysis.term_groups(F.transform("t", term), places, steps, F.transform("t", F.octet_length)).alias("groups"))
 
 
 def field_postings(docs: DataFrame, f: Field) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from sparrowtext.functions import analysis
 from sparrowtext.operators import fields as fd
 from sparrowtext.operators import index as ixs
 from sparrowtext.operators.search import Searcher
@@ -60,6 +61,14 @@ def test_vectors_are_made_within_a_row(spark):
     assert all([t.term for t in r.terms] == sorted(t.term for t in r.terms) for r in vectors.collect())
 
 
+def test_texts_are_sorted_some_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(analysis, "SORTED_AT_ONCE", 50)  # less than the longest text
+    rows = texts(60)
+    post = ixs.field_postings(spark.createDataFrame(rows, "doc long, text string").coalesce(1), fd.text("text", level="offsets"))
+    got = {(r.term, r.doc): list(zip(r.positions, r.starts, r.lens)) for r in post.collect()}
+    assert got == brute(rows)
+
+
 def test_a_segment_is_runs_of_bounded_size(spark, tmp_path, monkeypatch):
     rows, fields = texts(200), [fd.text("text"), fd.string("kind")]
     docs = spark.createDataFrame([(i, t, f"k{i % 3}") for i, t in rows], "id long, text string, kind string")
